@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads a finite request file to the end and writes once; it has
+no watermark, window, state or late-data handling, so nothing streaming is
+built.  The batch jobs in ``cribra.plans.jobs`` run unchanged inside
+``foreachBatch`` if requests ever arrive as a stream.
+"""
