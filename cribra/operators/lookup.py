@@ -43,22 +43,29 @@ def ladder_keys(fields) -> Column:
     )
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object ``level -> key -> [row objects]`` -> ``(level, key,
+def read_index(spark: SparkSession, path: str, layout: str = "object") -> DataFrame:
+    """Index as JSON ``level -> key -> [row objects]`` -> ``(level, key,
     pos, row VARIANT)``.
 
-    A single JSON document is read by one task; large indexes should arrive as a
-    ready ``(level, key, pos, row)`` table instead.  A top-level value that is
-    not an object fails the job.
+    ``layout="object"``: every file is one JSON object (the reference's form; a
+    file is read by one task, so big indexes should be split into several
+    files).  ``layout="lines"``: every line is such an object, read in
+    parallel; each (level, key) list must sit whole in one line.  A value that
+    is not an object fails the job.  Lists of the same (level, key) in several
+    documents are not merged.
     """
-    raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.from_json("value", "map<string,map<string,array<string>>>",
-                                    {"mode": "FAILFAST"}).alias("idx"),
-                        F.trim("value").startswith("{").alias("is_object"))
-    checked = parsed.select(
-        F.when(F.col("is_object"), F.col("idx"))
+    if layout == "object":
+        raw = spark.read.text(path, wholetext=True)
+    elif layout == "lines":
+        raw = spark.read.text(path)
+    else:
+        raise ValueError("layout must be 'object' or 'lines'")
+    raw = raw.filter(F.trim("value") != "")
+    parsed = raw.select(
+        F.when(F.trim("value").startswith("{"),
+               F.from_json("value", "map<string,map<string,array<string>>>"))
          .otherwise(F.raise_error(F.lit("prototype index must be a JSON object"))).alias("idx"))
-    lv = checked.select(F.explode("idx").alias("level", "keys"))
+    lv = parsed.select(F.explode("idx").alias("level", "keys"))
     kv = lv.select("level", F.explode("keys").alias("key", "rows"))
     return kv.select("level", "key", F.posexplode("rows").alias("pos", "row_json")) \
              .select("level", "key", "pos", F.parse_json("row_json").alias("row"))

@@ -43,7 +43,10 @@ def kv_map(c, sep: str = "=") -> Column:
         last = F.filter(e, lambda x, j: (j == n - 1) | (F.element_at(e, j + 2)["k"] != x["k"]))
         return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
 
-    return let(F.array_sort(kv_entries(c, sep)), dedup)
+    # sort by (key, line): the last entry of each key run is the last duplicate
+    by_key_line = F.transform(kv_entries(c, sep), lambda x: F.struct(
+        x["k"].alias("k"), x["i"].alias("i"), x["v"].alias("v")))
+    return let(F.array_sort(by_key_line), dedup)
 
 
 def kv_table(df: DataFrame, text_col: str, keys: list[str], sep: str = "=") -> DataFrame:

@@ -491,3 +491,424 @@ def q_formula_parse(spark, sf):
         F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n_atoms"),
         F.size(counts).alias("n_elements"),
         fm.same_reduced(counts, fm.formula_counts("doubled")).alias("same_as_doubled"))
+
+
+# --------------------------------------------------------------- P3 P4 P5 P6
+
+def _order_fields() -> tuple[Column, Column, Column, Column]:
+    """Request formula, space group and a field map (with absent and empty
+    entries) built from orders joined to customers."""
+    k = F.col("o_orderkey")
+    n = F.col("c_nationkey")
+    sym = F.array(*[F.lit(x) for x in SYMBOLS])
+    e1 = F.element_at(sym, (n % 10 + 1).cast("int"))
+    e2 = F.element_at(sym, ((n + 5) % 10 + 1).cast("int"))
+    formula = F.concat(e1, F.lit("2"), e2)
+    sg = (F.col("o_custkey") % 230 + 1).cast("int")
+    vals = {
+        "formula": F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.lit(""))
+                    .otherwise(F.concat(e1, F.lit(" 2 "), e2)),
+        "reduced_ratio": F.when(F.col("o_orderstatus") == "O", F.lit("1:1")).otherwise(F.lit("2:1")),
+        "condition_sg_number": F.when(k % 9 != 0, sg.cast("string")),
+        "condition_crystal_system": F.when(F.col("o_orderpriority") == "2-HIGH", F.lit("cubic"))
+                                     .otherwise(lb.crystal_system(sg)),
+        "target_cell_mode": F.lit("primitive"),
+        "output_Z_raw": F.when(k % 6 == 0, F.lit("4.0")).when(k % 6 == 1, F.lit("-1"))
+                         .when(k % 6 == 2, F.lit(None)).when(k % 6 == 3, F.lit(" 3 "))
+                         .when(k % 6 == 4, F.lit("+2")).otherwise(F.lit("1")),
+        "metric_family": F.col("c_mktsegment"),
+        "length_pattern": F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.lit("ALL_EQ")),
+        "angle_pattern": F.lit("ALL_EQ"),
+        "vol_per_atom_bin": F.lit("V1"),
+        "position_family": F.col("c_mktsegment"),
+        "stack_family": F.when(k % 4 != 0, F.lit("NO_LAYER")),
+        "site_schema": F.when(k % 2 == 0, F.lit("x:1")),
+        "n_listed_sites": F.when(k % 3 == 0, F.lit("0")).when(k % 3 == 1, F.lit("x"))
+                           .otherwise(F.lit("6")),
+    }
+    m = F.map_filter(F.create_map(*[x for kk, v in vals.items() for x in (F.lit(kk), v)]),
+                     lambda _k, v: v.isNotNull())
+    return formula, sg, m, k
+
+
+@register("rules_codes", f"""
+WITH t AS (
+  SELECT o_orderkey AS k, o_orderstatus, o_orderpriority, c_acctbal, o_custkey % 230 + 1 AS sg
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+c AS (
+  SELECT k, list_filter([
+      CASE WHEN k % 5 IN (0, 1) THEN 'formula_mismatch' END,
+      CASE WHEN o_orderstatus = 'O' THEN 'reduced_ratio_mismatch' END,
+      CASE WHEN k % 9 = 0 THEN 'condition_sg_mismatch' END,
+      CASE WHEN o_orderpriority = '2-HIGH' AND sg < 195 THEN 'crystal_system_mismatch' END,
+      CASE WHEN k % 5 IN (0, 1) THEN 'missing_formula' END,
+      CASE WHEN k % 9 = 0 THEN 'missing_condition_sg_number' END,
+      CASE WHEN k % 6 = 2 THEN 'missing_output_Z_raw' END,
+      CASE WHEN c_acctbal < 0 THEN 'missing_length_pattern' END,
+      CASE WHEN k % 4 = 0 THEN 'missing_stack_family' END,
+      CASE WHEN k % 6 IN (0, 1, 2) THEN 'bad_output_Z_raw' END], lambda x: x IS NOT NULL) AS core,
+    list_filter([
+      CASE WHEN k % 2 <> 0 THEN 'missing_site_schema' END,
+      'missing_formula_sum_expected', 'missing_geometry_signature_v4', 'missing_prototype_bucket_v4',
+      CASE WHEN k % 3 IN (0, 1) THEN 'bad_n_listed_sites' END], lambda x: x IS NOT NULL) AS extra
+  FROM t)
+SELECT k AS o_orderkey, len(core) = 0 AS valid_core, array_to_string(core, '|') AS codes_core,
+       array_to_string(list_concat(core, extra), '|') AS codes_full
+FROM c""")
+def q_rules_codes(spark, sf):
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"),
+                                        F.col("o_custkey") == F.col("c_custkey"))
+    formula, sg, m, k = _order_fields()
+    t = o.select(k.alias("o_orderkey"), formula.alias("f"), sg.alias("sg"), m.alias("m"))
+    core = rl.check_scaffold("m", "f", "sg", expect_full=False)
+    full = rl.check_scaffold("m", "f", "sg", expect_full=True)
+    return t.select("o_orderkey", core["valid"].alias("valid_core"),
+                    F.array_join(core["errors"], "|").alias("codes_core"),
+                    F.array_join(full["errors"], "|").alias("codes_full"))
+
+
+# --------------------------------------------------------------- J1 D5 W6 F7 J4
+
+def _part_ladder_fields() -> Column:
+    return F.create_map(
+        F.lit("prototype_bucket_v4"), F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")),
+        F.lit("reduced_ratio"), F.col("p_brand"),
+        F.lit("condition_sg_number"), F.col("p_type"),
+        F.lit("metric_family"), (F.col("p_size") % 3).cast("string"))
+
+
+def _hint_value() -> Column:
+    return F.concat(F.col("p_type"), F.lit(" "), (F.col("p_size") % 7).cast("string"))
+
+
+def _part_index(p: DataFrame) -> DataFrame:
+    """Index (level, key, pos, row) built from part: every part is listed under
+    its own three keys, in part-key order; rows are JSON objects (VARIANT)."""
+    from cribra.operators.lookup import ladder_keys
+    t = p.select("p_partkey", F.posexplode(ladder_keys(_part_ladder_fields())).alias("lv", "lk"),
+                 F.parse_json(F.to_json(F.struct(_hint_value().alias("scaffold_full"))))
+                 .alias("row"))
+    t = t.select("p_partkey", F.col("lk.level").alias("level"), F.col("lk.key").alias("key"), "row")
+    return sl.number_rows(t, ["level", "key"], "p_partkey", "pos").drop("p_partkey")
+
+
+_SQL_LADDER = """
+WITH base AS (
+  SELECT p_partkey,
+         p_brand || '/' || p_type || '/' || CAST(p_size AS VARCHAR) AS k1,
+         p_brand || '|' || p_type || '|z|n|' || CAST(p_size % 3 AS VARCHAR) || '||' AS k2,
+         p_brand || '|' || p_type || '|z|n' AS k3,
+         p_type || ' ' || CAST(p_size % 7 AS VARCHAR) AS val
+  FROM part),
+idx AS (
+  SELECT 1 AS level_no, k1 AS key, p_partkey AS pos, val FROM base
+  UNION ALL SELECT 2, k2, p_partkey, val FROM base
+  UNION ALL SELECT 3, k3, p_partkey, val FROM base),
+req AS (
+  SELECT p_partkey AS row_id, 1 AS level_no, k1 AS key FROM base
+  UNION ALL SELECT p_partkey, 2, k2 FROM base
+  UNION ALL SELECT p_partkey, 3, k3 FROM base),
+j AS (SELECT r.row_id, i.level_no, i.pos, i.val FROM req r JOIN idx i USING (level_no, key)),
+d AS (SELECT *, row_number() OVER (PARTITION BY row_id, val ORDER BY level_no, pos) AS rn FROM j),
+h AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY level_no, pos) - 1 AS hint_no
+      FROM d WHERE rn = 1)"""
+
+
+@register("ladder_hints", _SQL_LADDER + """
+SELECT row_id AS p_partkey,
+  '<PROTOTYPE_HINTS_V4>' || chr(10)
+  || string_agg('[hint_' || CAST(hint_no AS VARCHAR) || ']' || chr(10) || val, chr(10) ORDER BY hint_no)
+  || chr(10) || '</PROTOTYPE_HINTS_V4>' AS hints
+FROM h WHERE hint_no < 3 GROUP BY row_id""")
+def q_ladder_hints(spark, sf):
+    from cribra.operators.lookup import hint_block, ladder_join, ladder_keys, row_text
+    p = table(spark, sf, "part")
+    index = _part_index(p)
+    reqs = p.select(F.col("p_partkey").alias("row_id"),
+                    ladder_keys(_part_ladder_fields()).alias("keys"))
+    hits = ladder_join(reqs, "keys", index.withColumn("hint", row_text(F.col("row"))),
+                       F.to_json(F.col("row")), "hint", k=3)
+    return hint_block(hits, "hint").select(F.col("row_id").alias("p_partkey"), "hints")
+
+
+_CONST_HINT = "  Use the cubic rock-salt prototype.  "
+
+
+@register("hint_override", f"""
+SELECT p_partkey, {_sql_lit(_CONST_HINT.strip())} AS hints_const, '' AS hints_none
+FROM part""")
+def q_hint_override(spark, sf):
+    from cribra.operators.lookup import attach_hints
+    p = table(spark, sf, "part").select("p_partkey")
+    both = attach_hints(p, "p_partkey", hint_text=_CONST_HINT, name="hints_const")
+    return attach_hints(both, "p_partkey", name="hints_none")
+
+
+@register("index_json", _SQL_LADDER.split("req AS")[0].rstrip().rstrip(",") + """
+SELECT 'level' || CAST(level_no AS VARCHAR) AS level, key, count(*) AS n_rows,
+       count(DISTINCT val) AS n_distinct, arg_min(val, pos) AS first_val
+FROM idx GROUP BY level_no, key""")
+def q_index_json(spark, sf):
+    """The part index written as JSON object documents (one JSON object per
+    line, each holding whole lists for a group of keys) to the session's
+    checkpoint folder, then read back with the index reader."""
+    import uuid
+
+    from cribra.operators.lookup import read_index, row_text
+    from cribra.session import checkpoint_dir
+
+    idx = _part_index(table(spark, sf, "part"))
+    lists = (idx.groupBy("level", "key")
+                .agg(F.array_sort(F.collect_list(F.struct("pos", F.to_json("row").alias("j"))))
+                     .alias("rows"))
+                .select("level", "key", F.transform("rows", lambda r: r["j"]).alias("rows")))
+    docs = (lists.groupBy("level", F.pmod(F.hash("key"), F.lit(64)).alias("bucket"))
+                 .agg(F.map_from_entries(F.collect_list(F.struct("key", "rows"))).alias("keys"))
+                 .select(F.to_json(F.create_map("level", "keys")).alias("value")))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/index_{uuid.uuid4().hex}"
+    docs.write.text(path)
+    back = read_index(spark, path, layout="lines")
+    t = back.select("level", "key", "pos", row_text(F.col("row")).alias("val"))
+    return t.groupBy("level", "key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("val").alias("n_distinct"),
+        F.min_by("val", "pos").alias("first_val"))
+
+
+# --------------------------------------------------------------- T1
+
+def _event_text() -> Column:
+    """key=value text built from event columns: a duplicated key (last wins), a
+    line without separator, blanks around keys and values, a value holding '='."""
+    k = F.col("event_id")
+    return F.concat_ws(
+        "\n", F.lit("<EVENT>"),
+        F.concat(F.lit("event_type="), F.col("event_type")),
+        F.concat(F.lit(" user = "), F.col("user_id").cast("string"), F.lit(" ")),
+        F.lit("no separator here"),
+        F.concat(F.lit("props="), F.col("props")),
+        F.when(k % 5 == 0, F.concat(F.lit("event_type=late_"), F.col("event_type"))),
+        F.concat(F.lit("expr=a=b"), (k % 3).cast("string")),
+        F.lit("</EVENT>"))
+
+
+@register("kv_table", """
+SELECT event_id,
+  CASE WHEN event_id % 5 = 0 THEN 'late_' || event_type ELSE event_type END AS event_type,
+  CAST(user_id AS VARCHAR) AS user_text, props, 'a=b' || CAST(event_id % 3 AS VARCHAR) AS expr,
+  4 AS n_keys
+FROM events""")
+def q_kv_table(spark, sf):
+    from cribra.operators.parse import kv_map
+    e = table(spark, sf, "events").select("event_id", kv_map(_event_text()).alias("m"))
+    return e.select("event_id", F.col("m")["event_type"].alias("event_type"),
+                    F.col("m")["user"].alias("user_text"), F.col("m")["props"].alias("props"),
+                    F.col("m")["expr"].alias("expr"), F.cardinality("m").alias("n_keys"))
+
+
+@register("kv_long", """
+SELECT event_id, key, value FROM (
+  SELECT event_id, 'event_type' AS key,
+         CASE WHEN event_id % 5 = 0 THEN 'late_' || event_type ELSE event_type END AS value FROM events
+  UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events
+  UNION ALL SELECT event_id, 'props', props FROM events
+  UNION ALL SELECT event_id, 'expr', 'a=b' || CAST(event_id % 3 AS VARCHAR) FROM events
+  UNION ALL SELECT event_id, '<EVENT>' || chr(10) || 'x', NULL FROM events WHERE FALSE)""")
+def q_kv_long(spark, sf):
+    from cribra.operators.parse import kv_table
+    e = table(spark, sf, "events").select("event_id", _event_text().alias("t"))
+    return kv_table(e, "t", ["event_id"]).select("event_id", "key", "value")
+
+
+# --------------------------------------------------------------- D3 D4
+
+@register("error_lists", """
+WITH t AS (
+  SELECT o_orderkey, list_concat(
+    list_filter([CASE WHEN o_orderstatus = 'F' THEN 'final' END,
+                 CASE WHEN o_totalprice > 300000 THEN 'big' END,
+                 CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' END], lambda x: x IS NOT NULL),
+    list_filter([CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' END,
+                 CASE WHEN o_orderkey % 2 = 0 THEN 'even' END,
+                 CASE WHEN o_orderstatus = 'F' THEN 'final' END], lambda x: x IS NOT NULL)) AS l
+  FROM orders)
+SELECT o_orderkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS codes
+FROM t""")
+def q_error_lists(spark, sf):
+    o = table(spark, sf, "orders")
+    a = rl.rules([("final", F.col("o_orderstatus") == "F"), ("big", F.col("o_totalprice") > 300000),
+                  ("urgent", F.col("o_orderpriority").startswith("1"))])
+    b = rl.rules([("urgent", F.col("o_orderpriority").startswith("1")),
+                  ("even", F.col("o_orderkey") % 2 == 0), ("final", F.col("o_orderstatus") == "F")])
+    return o.select("o_orderkey", F.array_join(rl.concat_codes(a, b), "|").alias("codes"))
+
+
+# --------------------------------------------------------------- A3 A4 A7
+
+@register("site_counts", """
+SELECT l_orderkey, count(*) AS n_sites, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned,
+       min(least(l_quantity, l_extendedprice / 1000, l_tax * 100)) AS min_least,
+       CAST(sum(CASE WHEN least(l_quantity, l_extendedprice / 1000, l_tax * 100) <= 0 THEN 1 ELSE 0 END)
+            AS BIGINT) AS n_zero
+FROM lineitem GROUP BY l_orderkey""")
+def q_site_counts(spark, sf):
+    li = table(spark, sf, "lineitem")
+    lst = F.least("l_quantity", F.col("l_extendedprice") / 1000, F.col("l_tax") * 100)
+    return li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_sites"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
+        F.min(lst).alias("min_least"), F.sum(F.when(lst <= 0, 1).otherwise(0)).cast("bigint")
+        .alias("n_zero"))
+
+
+# --------------------------------------------------------------- F19 (+F10)
+
+@register("derive_fields", f"""
+WITH t AS (SELECT p_partkey, {_SQL_SYM}[p_size % 10 + 1] AS e1, {_SQL_SYM}[p_partkey % 10 + 1] AS e2,
+                  p_partkey % 4 + 1 AS c1, (p_partkey % 3) * 2 + 2 AS c2, p_size % 4 AS z,
+                  p_partkey % 13 = 0 AS bad, p_type, p_brand FROM part),
+r AS (SELECT *, gcd(c1, c2) AS g FROM t)
+SELECT p_partkey,
+  CASE WHEN bad OR z = 0 THEN NULL WHEN e1 = e2 THEN e1 || ':' || CAST(z AS VARCHAR)
+       ELSE e1 || ':' || CAST(c1 // g * z AS VARCHAR) || '|' || e2 || ':' || CAST(c2 // g * z AS VARCHAR) END
+    AS site_schema,
+  CASE WHEN bad OR z = 0 THEN NULL WHEN e1 = e2 THEN CAST(z AS VARCHAR)
+       ELSE CAST((c1 + c2) // g * z AS VARCHAR) END AS n_listed_sites,
+  CASE WHEN bad OR z = 0 THEN NULL WHEN e1 = e2 THEN e1 || CAST(z AS VARCHAR)
+       ELSE e1 || CAST(c1 // g * z AS VARCHAR) || ' ' || e2 || CAST(c2 // g * z AS VARCHAR) END
+    AS formula_sum_expected,
+  CASE WHEN bad OR z = 0 THEN NULL ELSE p_type || '|ALL_EQ||V1' END AS geometry_signature_v4,
+  CASE WHEN bad OR z = 0 THEN NULL ELSE '|' || p_brand || '|' || p_type || '|' || p_type || '|' END
+    AS prototype_bucket_v4
+FROM r""")
+def q_derive_fields(spark, sf):
+    good, _ = _part_formula()
+    p = table(spark, sf, "part")
+    m = F.map_filter(F.create_map(
+        F.lit("output_Z_raw"), (F.col("p_size") % 4).cast("string"),
+        F.lit("metric_family"), F.col("p_type"), F.lit("length_pattern"), F.lit("ALL_EQ"),
+        F.lit("vol_per_atom_bin"), F.lit("V1"), F.lit("condition_sg_number"), F.col("p_brand"),
+        F.lit("position_family"), F.col("p_type")), lambda _k, v: v.isNotNull())
+    d = p.select("p_partkey", ps.derive_full_fields(m, good).alias("d"))
+    return d.select("p_partkey", *[F.col("d")[k].alias(k) for k in (
+        "site_schema", "n_listed_sites", "formula_sum_expected", "geometry_signature_v4",
+        "prototype_bucket_v4")])
+
+
+# --------------------------------------------------------------- P11
+
+@register("penalty", """
+WITH t AS (
+  SELECT l_orderkey, l_linenumber,
+    CASE l_linestatus WHEN 'F' THEN 'GENERAL_DOMINANT' ELSE 'MIXED_SPECIAL' END AS ep,
+    CASE WHEN l_discount < 0.03 THEN 'NO_LAYER' WHEN l_discount < 0.07 THEN 'SKEW_DIAGONAL' ELSE 'OTHER' END AS es,
+    CASE l_returnflag WHEN 'R' THEN 'HIGH_SPECIAL' WHEN 'A' THEN 'MIXED_SPECIAL' ELSE 'GENERAL' END AS p,
+    CASE WHEN l_tax < 0.04 THEN 'LAYERED_AB' ELSE 'SKEW_DIAGONAL' END AS s
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN ep = 'GENERAL_DOMINANT' AND p IN ('HIGH_SPECIAL', 'MIXED_SPECIAL') THEN 2 ELSE 0 END
+  + CASE WHEN ep = 'MIXED_SPECIAL' AND p = 'HIGH_SPECIAL' THEN 1 ELSE 0 END
+  + CASE WHEN es = 'NO_LAYER' AND starts_with(s, 'LAYERED') THEN 2 ELSE 0 END
+  + CASE WHEN es = 'SKEW_DIAGONAL' AND s <> 'SKEW_DIAGONAL' THEN 1 ELSE 0 END AS penalty
+FROM t""")
+def q_penalty(spark, sf):
+    li = table(spark, sf, "lineitem")
+    ep = F.when(F.col("l_linestatus") == "F", "GENERAL_DOMINANT").otherwise("MIXED_SPECIAL")
+    es = (F.when(F.col("l_discount") < 0.03, "NO_LAYER")
+           .when(F.col("l_discount") < 0.07, "SKEW_DIAGONAL").otherwise("OTHER"))
+    p = (F.when(F.col("l_returnflag") == "R", "HIGH_SPECIAL")
+          .when(F.col("l_returnflag") == "A", "MIXED_SPECIAL").otherwise("GENERAL"))
+    s = F.when(F.col("l_tax") < 0.04, "LAYERED_AB").otherwise("SKEW_DIAGONAL")
+    return li.select("l_orderkey", "l_linenumber", rl.collapse_penalty(ep, es, p, s).alias("penalty"))
+
+
+# --------------------------------------------------------------- P1 (quarantine)
+
+def _order_requests(o: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    v = (k % 240).cast("string")
+    sg = (F.when(k % 6 == 0, F.concat(v, F.lit(".9"))).when(k % 6 == 1, F.concat(F.lit(" "), v))
+          .when(k % 6 == 3, F.concat(F.lit("x"), v)).otherwise(v))
+    return o.select(
+        k.alias("row_id"),
+        F.when(k % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" mp-"), F.col("o_custkey").cast("string")))
+         .alias("material_id"),
+        F.when(k % 13 == 0, F.lit(None)).otherwise(F.concat(F.col("o_orderstatus"), F.lit("Cl")))
+         .alias("pretty_formula"),
+        sg.alias("space_group"))
+
+
+@register("requests_check", """
+WITH t AS (SELECT o_orderkey AS k, o_custkey, o_orderstatus, o_orderkey % 240 AS v FROM orders),
+s AS (SELECT *, CASE WHEN k % 6 = 0 THEN CAST(v AS VARCHAR) || '.9' WHEN k % 6 = 1 THEN ' ' || CAST(v AS VARCHAR)
+                     WHEN k % 6 = 3 THEN 'x' || CAST(v AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS sg_text
+      FROM t)
+SELECT k AS row_id,
+  CASE WHEN k % 11 = 0 THEN '' ELSE 'mp-' || CAST(o_custkey AS VARCHAR) END AS material_id,
+  CASE WHEN k % 13 = 0 THEN '' ELSE o_orderstatus || 'Cl' END AS pretty_formula,
+  CASE WHEN k % 6 <> 3 AND v BETWEEN 1 AND 230 THEN CAST(v AS INTEGER) END AS space_group,
+  CASE WHEN k % 11 = 0 OR k % 13 = 0
+         THEN 'Empty material_id or pretty_formula at CSV line ' || CAST(k + 2 AS VARCHAR)
+       WHEN k % 6 = 3 OR v NOT BETWEEN 1 AND 230
+         THEN 'Invalid space_group at CSV line ' || CAST(k + 2 AS VARCHAR) || ': ' || sg_text END AS row_error
+FROM s""")
+def q_requests_check(spark, sf):
+    from cribra.plans.jobs import check_requests
+    return check_requests(_order_requests(table(spark, sf, "orders")))
+
+
+# --------------------------------------------------------------- J3 P18 D6 A6
+
+@register("left_outcome", """
+WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, coalesce(n, 0) AS n_candidates,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 'skipped'
+       WHEN n IS NULL THEN 'generation_failed' ELSE 'selected' END AS outcome
+FROM orders LEFT JOIN c ON o_orderkey = l_orderkey""")
+def q_left_outcome(spark, sf):
+    o = table(spark, sf, "orders")
+    work = o.filter(F.col("o_orderpriority") != "5-LOW")          # P18: skip before the join
+    cands = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    done = (work.join(cands, work.o_orderkey == cands.l_orderkey, "left")
+                .select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_candidates"),
+                        F.when(F.col("n").isNull(), F.lit("generation_failed"))
+                         .otherwise(F.lit("selected")).alias("outcome")))
+    skipped = o.filter(F.col("o_orderpriority") == "5-LOW").select(
+        "o_orderkey", F.lit(0).cast("bigint").alias("n_candidates"), F.lit("skipped").alias("outcome"))
+    skipped_n = skipped.join(cands, skipped.o_orderkey == cands.l_orderkey, "left").select(
+        "o_orderkey", F.coalesce("n", F.lit(0)).alias("n_candidates"), "outcome")
+    return done.unionByName(skipped_n)                              # D6
+
+
+# --------------------------------------------------------------- S1 + S4 round trip
+
+def _tricky_text() -> Column:
+    k = F.col("p_partkey")
+    return (F.when(k % 5 == 0, F.concat(F.lit('say "'), "p_name", F.lit('"')))
+             .when(k % 5 == 1, F.concat("p_name", F.lit("\nsecond, line")))
+             .when(k % 5 == 2, F.concat(F.lit("  "), "p_name", F.lit("\\n")))
+             .when(k % 5 == 3, F.lit(""))
+             .otherwise(F.col("p_name")))
+
+
+@register("csv_roundtrip", """
+SELECT CAST(p_partkey AS VARCHAR) AS row_id, p_brand AS material_id,
+  CASE WHEN p_partkey % 5 = 0 THEN 'say "' || p_name || '"'
+       WHEN p_partkey % 5 = 1 THEN p_name || chr(10) || 'second, line'
+       WHEN p_partkey % 5 = 2 THEN '  ' || p_name || '\\n'
+       WHEN p_partkey % 5 = 3 THEN '' ELSE p_name END AS pretty_formula,
+  CAST(p_size AS VARCHAR) AS space_group
+FROM part""")
+def q_csv_roundtrip(spark, sf):
+    """S4 then S1: values with quotes, newlines, commas, backslashes, leading
+    blanks and empty text read back equal."""
+    import uuid
+
+    from cribra.session import checkpoint_dir
+    from cribra.sources.io import read_requests, write_results
+    p = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("material_id"),
+        _tricky_text().alias("pretty_formula"), F.col("p_size").alias("space_group"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/results_{uuid.uuid4().hex}"
+    cols = ["row_id", "material_id", "pretty_formula", "space_group"]
+    write_results(p, path, cols)
+    back = read_requests(spark, path, cols, ordinal="line_no")
+    return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
