@@ -26,3 +26,14 @@ def let(value: Column, fn) -> Column:
     recomputed per array element.
     """
     return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def materialize(value: Column) -> Column:
+    """Inlining barrier for struct results.
+
+    A ``struct(...)`` column read only through its fields is inlined field by
+    field by the optimizer, so shared parts of the fields would be computed once
+    per field; wrapped like this, the struct is computed once per row and the
+    fields are read from it.
+    """
+    return let(value, lambda x: x)

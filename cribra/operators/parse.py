@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cribra.functions.formula import counts_text, formula_counts, reduced_counts, scale_counts
 from cribra.functions.text import WS_CLASS, strip_ws
-from cribra.functions.util import col_of, let
+from cribra.functions.util import col_of, let, materialize
 
 # ---------------------------------------------------------------- T1 key=value
 
@@ -110,13 +110,18 @@ def crystal_record(c) -> Column:
     Fields: name, formula_structural, formula_sum, cell_a/b/c, alpha/beta/gamma,
     z, sites ``ARRAY<STRUCT<element, x, y, z>>`` and parse_error (null when the
     record parsed).  Required: the six cell values (finite numbers) and a
-    positive integer Z; a site row with a bad number fails the record.
+    positive integer Z; a site row with a bad number fails the record.  Every
+    tag is extracted once per row (values are bound before reuse).
     """
     t = F.coalesce(col_of(c), F.lit(""))
-    cell = {tag: _num(_tag_value(t, tag)) for tag in CELL_TAGS}
     z_txt = _tag_value(t, "_cell_formula_units_Z")
-    z = F.when(F.coalesce(z_txt, F.lit("")).rlike(r"^[+-]?[0-9]{1,9}$"), z_txt.cast("int"))
-    loop = _site_loop(t)
+    head = F.struct(
+        F.regexp_extract(t, r"(?m)^[ \t]*data_(\S*)", 1).alias("name"),
+        _tag_value(t, "_chemical_formula_structural").alias("formula_structural"),
+        _tag_value(t, "_chemical_formula_sum").alias("formula_sum"),
+        *[_num(_tag_value(t, tag)).alias(tag) for tag in CELL_TAGS],
+        F.when(F.coalesce(z_txt, F.lit("")).rlike(r"^[+-]?[0-9]{1,9}$"), z_txt.cast("int")).alias("z"),
+        t.contains("data_").alias("has_data"))
 
     def field(row, p):
         return F.when(p > 0, F.try_element_at(row, p))
@@ -140,28 +145,31 @@ def crystal_record(c) -> Column:
             F.array_position(hdr, F.lit("_atom_site_fract_z")).cast("int").alias("pz"),
             lp["rows"].alias("rows")), parse_rows)
 
-    sites_all = let(loop, with_positions)
-    bad_site = F.exists(sites_all, lambda s: (s["element"] == "") | s["x"].isNull()
+    sites = let(_site_loop(t), with_positions)
+    return materialize(let(head, lambda h: let(sites, lambda st: _record(h, st))))
+
+
+def _record(h: Column, sites: Column) -> Column:
+    bad_site = F.exists(sites, lambda s: (s["element"] == "") | s["x"].isNull()
                         | s["y"].isNull() | s["z"].isNull())
-    sites = sites_all
-    errors = [F.when(~t.contains("data_"), F.lit("missing data_ block"))]
+    errors = [F.when(~h["has_data"], F.lit("missing data_ block"))]
     for tag in CELL_TAGS:
-        v = cell[tag]
+        v = h[tag]
         errors.append(F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")),
                              F.lit("bad " + tag)))
-    errors.append(F.when(z.isNull() | (z <= 0), F.lit("bad _cell_formula_units_Z")))
+    errors.append(F.when(h["z"].isNull() | (h["z"] <= 0), F.lit("bad _cell_formula_units_Z")))
     errors.append(F.when(bad_site, F.lit("bad _atom_site_ row")))
     return F.struct(
-        F.regexp_extract(t, r"(?m)^[ \t]*data_(\S*)", 1).alias("name"),
-        _tag_value(t, "_chemical_formula_structural").alias("formula_structural"),
-        _tag_value(t, "_chemical_formula_sum").alias("formula_sum"),
-        cell["_cell_length_a"].alias("cell_a"),
-        cell["_cell_length_b"].alias("cell_b"),
-        cell["_cell_length_c"].alias("cell_c"),
-        cell["_cell_angle_alpha"].alias("alpha"),
-        cell["_cell_angle_beta"].alias("beta"),
-        cell["_cell_angle_gamma"].alias("gamma"),
-        z.alias("z"),
+        h["name"].alias("name"),
+        h["formula_structural"].alias("formula_structural"),
+        h["formula_sum"].alias("formula_sum"),
+        h["_cell_length_a"].alias("cell_a"),
+        h["_cell_length_b"].alias("cell_b"),
+        h["_cell_length_c"].alias("cell_c"),
+        h["_cell_angle_alpha"].alias("alpha"),
+        h["_cell_angle_beta"].alias("beta"),
+        h["_cell_angle_gamma"].alias("gamma"),
+        h["z"].alias("z"),
         sites.alias("sites"),
         F.coalesce(*errors).alias("parse_error"),
     )
@@ -178,9 +186,8 @@ def site_table(df: DataFrame, keys: list[str], record_col: str = "record") -> Da
 
 def element_counts(elements) -> Column:
     """A1 in-row: ``ARRAY<STRUCT<element, n>>`` in first-appearance order."""
-    els = col_of(elements)
-    return F.transform(F.array_distinct(els), lambda e: F.struct(
-        e.alias("element"), F.size(F.filter(els, lambda x: x == e)).cast("bigint").alias("n")))
+    return let(col_of(elements), lambda els: F.transform(F.array_distinct(els), lambda e: F.struct(
+        e.alias("element"), F.size(F.filter(els, lambda x: x == e)).cast("bigint").alias("n"))))
 
 
 def schema_text(counts) -> Column:
@@ -272,22 +279,26 @@ def degenerate(c, any_markers=DEGENERATE_ANY, all_markers=DEGENERATE_ALL) -> Col
 
 
 def canonicalize(c) -> Column:
-    """``STRUCT<cif, canonicalized, canonicalize_error, record>``.
+    """``STRUCT<cif, canonicalized, canonicalize_error>``.
 
     Parse failure -> original text, not ok, the parse message; degenerate ->
-    canonical text, not ok, ``degenerate_canonicalized_cif``.  The record is
-    kept either way: a failed row is still verified on its own text.
+    canonical text, not ok, ``degenerate_canonicalized_cif``.  A failed row is
+    still verified on its own text by the job.
     """
-    rec = crystal_record(c)
-    canon = canonical_text(rec)
-    failed = rec["parse_error"].isNotNull()
-    is_deg = degenerate(canon)
-    return F.struct(
-        F.when(failed, col_of(c)).otherwise(canon).alias("cif"),
-        (~failed & ~is_deg).alias("canonicalized"),
-        F.when(failed, rec["parse_error"])
-         .when(is_deg, F.lit("degenerate_canonicalized_cif")).alias("canonicalize_error"),
-    )
+    return canonicalize_record(crystal_record(c), c)
+
+
+def canonicalize_record(rec, original) -> Column:
+    """T3 on an already parsed record (``original`` is the text it came from)."""
+    def build(r):
+        failed = r["parse_error"].isNotNull()
+        return let(canonical_text(r), lambda canon: F.struct(
+            F.when(failed, col_of(original)).otherwise(canon).alias("cif"),
+            (~failed & ~degenerate(canon)).alias("canonicalized"),
+            F.when(failed, r["parse_error"])
+             .when(degenerate(canon), F.lit("degenerate_canonicalized_cif"))
+             .alias("canonicalize_error")))
+    return materialize(let(col_of(rec), build))
 
 
 # ------------------------------------------------------------ F19
@@ -304,11 +315,14 @@ def derive_full_fields(fields, formula) -> Column:
     m = col_of(fields)
     zt = strip_ws(F.coalesce(F.try_element_at(m, F.lit("output_Z_raw")), F.lit("")))
     z = F.when(zt.rlike(r"^[+-]?[0-9]{1,9}$"), zt.cast("bigint"))
-    cell = scale_counts(reduced_counts(formula_counts(formula)), z)
-
     def g(k):
         return F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
 
+    return let(scale_counts(reduced_counts(formula_counts(formula)), z),
+               lambda cell: _full_map(cell, z, g))
+
+
+def _full_map(cell: Column, z: Column, g) -> Column:
     return F.when(z.isNotNull() & (z > 0) & cell.isNotNull(), F.create_map(
         F.lit("site_schema"), schema_text(cell),
         F.lit("n_listed_sites"), F.aggregate(cell, F.lit(0).cast("bigint"),

@@ -19,7 +19,7 @@ from cribra.functions.labels import (DEFAULT_ANGLE_EDGES, DEFAULT_RATIO_EDGES,
                                      bin_label, equal_pattern, ratio_bin_if)
 from cribra.functions.text import (bool_text, cut_from_marker, json_list, normalize_ws,
                                    strip_ws, tagged_block, tagged_block_error, text_or_empty)
-from cribra.functions.util import col_of
+from cribra.functions.util import col_of, materialize
 from cribra.operators import parse as ps
 from cribra.operators import rules as rl
 from cribra.operators import select as sl
@@ -82,7 +82,8 @@ def split_requests(df: DataFrame, with_scaffold: bool = False,
 # ------------------------------------------------------------------ D1 W1 W2
 
 def prepare_responses(responses: DataFrame, n: int, key: str = "row_id", seq: str = "seq",
-                      text: str = "response", presorted: bool = False) -> DataFrame:
+                      text: str = "response", presorted: bool = False,
+                      keep: Sequence[str] = ()) -> DataFrame:
     """D1 + W1 + W2: per request, drop blank responses, keep the first of each
     whitespace-normalised text (stripped original kept), number 0.. in response
     order, keep the first ``n``.
@@ -91,7 +92,7 @@ def prepare_responses(responses: DataFrame, n: int, key: str = "row_id", seq: st
     ``key`` satisfies ``partitionBy(key, k)``).  Responses per request are
     bounded by the generator's sample count.
     """
-    r = responses.select(key, seq, strip_ws(text).alias("response"),
+    r = responses.select(key, seq, *keep, strip_ws(text).alias("response"),
                          normalize_ws(text).alias("_k")).filter(F.col("_k") != "")
     if not presorted:
         r = r.repartition(key)
@@ -110,15 +111,15 @@ def compile_scaffolds(cands: DataFrame, begin: str = SCAFFOLD_BEGIN,
     c = cands.withColumn("scaffold_core", tagged_block("response", begin, end)) \
              .withColumn("_tag_err", tagged_block_error("response", begin, end))
     c = c.withColumn("_core_fields", ps.kv_map("scaffold_core"))
-    c = c.withColumn("_core_chk", rl.check_scaffold("_core_fields", "pretty_formula",
-                                                   "space_group", False))
+    c = c.withColumn("_core_chk", materialize(rl.check_scaffold(
+        "_core_fields", "pretty_formula", "space_group", False)))
     core_ok = F.col("_core_chk.valid") & F.col("_tag_err").isNull()
     c = c.withColumn("_derived", F.when(core_ok, ps.derive_full_fields("_core_fields",
                                                                        "pretty_formula")))
     c = c.withColumn("_full", F.when(core_ok, ps.compile_full_text("scaffold_core", "_derived")))
     c = c.withColumn("_full_fields", ps.kv_map("_full"))
-    c = c.withColumn("_full_chk", rl.check_scaffold("_full_fields", "pretty_formula",
-                                                   "space_group", True))
+    c = c.withColumn("_full_chk", materialize(rl.check_scaffold(
+        "_full_fields", "pretty_formula", "space_group", True)))
     compiled = core_ok & F.col("_full").isNotNull()
     errors = (F.when(F.col("_tag_err").isNotNull(), F.array(F.col("_tag_err")))
                .when(~core_ok, F.col("_core_chk.errors"))
@@ -250,6 +251,13 @@ def verify_candidates(df: DataFrame, record: str = "record", fields: str = "scaf
     pairs += [(f"{k}_mismatch", differs(k, geo[k]))
               for k in ("gamma_bin", "b_over_a_bin", "c_over_a_bin_family")]
     errs = rl.rules(pairs)
+    return df.withColumn("_errs", errs).transform(
+        lambda d: _finish_verify(d, df.columns, m, r, cand, geo, n_sites, scaffold_check, labels))
+
+
+def _finish_verify(df: DataFrame, columns, m, r, cand, geo, n_sites, scaffold_check,
+                   labels) -> DataFrame:
+    errs = F.col("_errs")
     pen = rl.collapse_penalty(F.try_element_at(m, F.lit("position_family")),
                               F.try_element_at(m, F.lit("stack_family")),
                               F.col(labels[1]), F.col(labels[2]))
@@ -271,8 +279,8 @@ def verify_candidates(df: DataFrame, record: str = "record", fields: str = "scaf
         F.when(~ok_scaffold | parse_err.isNotNull(), F.lit(rl.FAILED_PENALTY))
          .otherwise(pen).alias("collapse_penalty"),
         F.when(ok_scaffold & parse_err.isNull(), cif_fields).alias("cif_fields"))
-    out = df.withColumn("_v", v)
-    return out.select(*df.columns, (F.size("_v.verify_errors") == 0).alias("valid_cif"),
+    out = df.withColumn("_v", materialize(v))
+    return out.select(*columns, (F.size("_v.verify_errors") == 0).alias("valid_cif"),
                       "_v.verify_errors", "_v.consistency_score", "_v.collapse_penalty",
                       "_v.cif_fields")
 
@@ -300,25 +308,30 @@ def cif_ranking() -> list[Column]:
             F.col("collapse_penalty").asc(), F.col("canonicalized").desc(), F.col("rank").asc()]
 
 
+LABELS = ("metric_family", "position_family", "stack_family")
+
+
 def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int = 1,
                        labels: DataFrame | None = None) -> DataFrame:
     """Q2 candidate table: D1/W1/W2, F4 + T3, T2, P13, W4 ranking.
 
     ``requests`` must already be filtered to rows with a scaffold (P18).
-    ``labels``: optional ``(row_id, seq, metric_family, position_family,
-    stack_family)``; missing labels read as empty text.
+    Labels (metric/position/stack family) are best supplied as columns of
+    ``responses`` (no extra join, the row_id partitioning is kept); a separate
+    ``labels`` table ``(row_id, seq, ...)`` is joined on the capped candidates
+    otherwise.  Missing labels read as empty text.
     """
     req = requests.select("row_id", "pretty_formula", "space_group", "scaffold_full") \
         .withColumn("scaffold_fields", ps.kv_map("scaffold_full"))
-    req = req.withColumn("scaffold_check", rl.check_scaffold(
-        "scaffold_fields", "pretty_formula", "space_group", True)).drop("scaffold_full")
-    cands = prepare_responses(responses, n)
-    if labels is not None:
+    req = req.withColumn("scaffold_check", materialize(rl.check_scaffold(
+        "scaffold_fields", "pretty_formula", "space_group", True))).drop("scaffold_full")
+    inline = [c for c in LABELS if c in responses.columns]
+    cands = prepare_responses(responses, n, keep=inline)
+    if labels is not None and not inline:
         cands = cands.join(labels, ["row_id", "seq"], "left")
-    else:
-        cands = cands.select("*", *[F.lit(None).cast("string").alias(c) for c in
-                                    ("metric_family", "position_family", "stack_family")])
-    for c in ("metric_family", "position_family", "stack_family"):
+    elif not inline:
+        cands = cands.select("*", *[F.lit(None).cast("string").alias(c) for c in LABELS])
+    for c in LABELS:
         cands = cands.withColumn(c, F.coalesce(F.col(c), F.lit("")))
     cands = cands.join(req, "row_id")
     cands = cands.withColumn("_cut", cut_from_marker("response"))
