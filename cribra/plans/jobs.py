@@ -417,3 +417,30 @@ def best_and_all(cands: DataFrame, payload: Sequence[str], require_best: bool =
 def chained_requests(scaffold_results: DataFrame) -> DataFrame:
     """Q4: Q1's output columns are a superset of Q2's input columns."""
     return scaffold_results.select("row_id", *CIF_INPUT)
+
+
+# ------------------------------------------------------------------ prompts
+
+def request_text(formula="pretty_formula", sg="space_group",
+                 template: str = "{formula} | space group {sg}") -> Column:
+    """Request text of a prompt (the reference's formatter is absent; the
+    template is the caller's, this default is ours)."""
+    head, rest = template.split("{formula}")
+    mid, tail = rest.split("{sg}")
+    return F.concat(F.lit(head), strip_ws(col_of(formula)), F.lit(mid),
+                    col_of(sg).cast("string"), F.lit(tail))
+
+
+def scaffold_prompts(requests: DataFrame, instruction: str, name: str = "prompt") -> DataFrame:
+    """Q1 prompts: instruction + request text."""
+    from cribra.functions.text import render_prompt
+    return requests.withColumn(name, render_prompt(F.lit(instruction), request_text()))
+
+
+def crystal_prompts(requests: DataFrame, instruction: str, hints: str | None = None,
+                    name: str = "prompt") -> DataFrame:
+    """Q2 prompts (F6): request text, blank line, scaffold, optional hint block."""
+    from cribra.functions.text import prompt_body, render_prompt
+    body = prompt_body(request_text(), F.col("scaffold_full"),
+                       F.col(hints) if hints else None)
+    return requests.withColumn(name, render_prompt(F.lit(instruction), body))

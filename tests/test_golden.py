@@ -403,3 +403,33 @@ def test_generate_hook_errors_become_rows(spark):
     bad = spark.createDataFrame([(0, "boom")], "row_id long, prompt string")
     r = generate(bad, factory, 2).collect()
     assert len(r) == 1 and "model failed" in r[0]["error"]
+
+
+# ---------------------------------------------------------------- end to end
+
+def test_crystal_batch_end_to_end(spark, tmp_path):
+    from cribra.plans.batch import load_hint_text, run_crystal_batch
+    rows = [("mp-1", "NaCl", "225", scaffold_text()), ("mp/2", "NaCl", "225.5", scaffold_text()),
+            ("mp-3", "NaCl", "225", "")]
+    inp = tmp_path / "in.csv"
+    with open(inp, "w", newline="", encoding="utf-8") as fh:
+        w = csv.writer(fh)
+        w.writerow(["material_id", "pretty_formula", "space_group", "scaffold_full", "extra"])
+        for r in rows:
+            w.writerow([*r, "x"])
+    resp = spark.createDataFrame(
+        [(0, 0, CIF, "M1", "GENERAL_DOMINANT", "NO_LAYER"), (1, 0, "no record", "", "", "")],
+        "row_id long, seq int, response string, metric_family string, position_family string, "
+        "stack_family string")
+    out_csv, out_dir = str(tmp_path / "out"), str(tmp_path / "cif")
+    counts = run_crystal_batch(spark, str(inp), out_csv, out_dir, responses=resp, single_file=True)
+    assert counts["written"] == 3 and counts["accepted"] == 2 and counts["stem_collisions"] == 0
+    part = [p for p in (tmp_path / "out").iterdir() if p.name.endswith(".csv")][0]
+    got = list(csv.DictReader(io.StringIO(part.read_text(encoding="utf-8"))))
+    assert [r["material_id"] for r in got] == ["mp-1", "mp/2", "mp-3"]
+    assert got[2]["verify_errors"] == '["missing_scaffold_full"]'
+    assert (tmp_path / "cif" / "mp-1.cif").read_text(encoding="utf-8").endswith("\n")
+    assert (tmp_path / "cif" / "mp_2.cif").exists()
+    hint = tmp_path / "hint.txt"
+    hint.write_text("  use rock salt \n", encoding="utf-8")
+    assert load_hint_text(spark, str(hint)) == "use rock salt"
