@@ -239,8 +239,7 @@ def verify_candidates(df: DataFrame, record: str = "record", fields: str = "scaf
     pairs = [
         ("empty_atom_sites", n_sites == 0),
         ("zero_lattice", F.least(r["cell_a"], r["cell_b"], r["cell_c"]) <= 0),
-        ("formula_structural_mismatch", ~rl.formula_matches("pretty_formula",
-                                                            r["formula_structural"])),
+        ("formula_structural_mismatch", _formula_differs(df, r["formula_structural"])),
         ("output_Z_raw_mismatch", ~r["z"].cast("bigint").eqNullSafe(
             rl.int_text(F.try_element_at(m, F.lit("output_Z_raw"))))),
         ("n_listed_sites_mismatch", ~n_sites.cast("bigint").eqNullSafe(
@@ -255,6 +254,22 @@ def verify_candidates(df: DataFrame, record: str = "record", fields: str = "scaf
         lambda d: _finish_verify(d, df.columns, m, r, cand, geo, n_sites, scaffold_check, labels))
 
 
+def request_reduced(formula="pretty_formula") -> Column:
+    """Order-free reduced counts of the request formula, computed once per
+    request (null when the formula does not parse)."""
+    from cribra.functions.formula import formula_counts, reduced_counts
+    return F.array_sort(reduced_counts(formula_counts(formula)))
+
+
+def _formula_differs(df: DataFrame, record_formula: Column) -> Column:
+    """F13 against the request: uses the per-request ``req_reduced`` column when
+    present, else parses the request formula here."""
+    if "req_reduced" not in df.columns:
+        return ~rl.formula_matches("pretty_formula", record_formula)
+    cand = request_reduced(F.coalesce(record_formula, F.lit("")))
+    return ~F.coalesce(cand == F.col("req_reduced"), F.lit(False))
+
+
 def _finish_verify(df: DataFrame, columns, m, r, cand, geo, n_sites, scaffold_check,
                    labels) -> DataFrame:
     errs = F.col("_errs")
@@ -325,6 +340,7 @@ def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int = 1,
         .withColumn("scaffold_fields", ps.kv_map("scaffold_full"))
     req = req.withColumn("scaffold_check", materialize(rl.check_scaffold(
         "scaffold_fields", "pretty_formula", "space_group", True))).drop("scaffold_full")
+    req = req.withColumn("req_reduced", request_reduced())
     inline = [c for c in LABELS if c in responses.columns]
     cands = prepare_responses(responses, n, keep=inline)
     if labels is not None and not inline:
