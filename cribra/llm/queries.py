@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cribra.llm import bpe, token_counts
+from cribra.llm import bpe, near_dups, token_counts
 from cribra.llm.common import table
 
 #: Vocabulary of the registered queries; any rank file will do.
@@ -25,9 +25,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_near_dups": op6_near_dups,
 }
 
 ORACLE: dict[str, str] = {}
