@@ -7,11 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cribra.llm import bpe, near_dups, token_counts
+from cribra.llm import bpe, mixing, near_dups, token_counts
 from cribra.llm.common import table
 
 #: Vocabulary of the registered queries; any rank file will do.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Weights of the sources, repeated over their code point order.
+WEIGHTS = [5, 2, 1]
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(table(spark, sf_dir, "documents"), WEIGHTS)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +36,12 @@ def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_near_dups": op6_near_dups,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_mix_sources": mixing.MIX_SQL,
+}
