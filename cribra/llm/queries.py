@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cribra.llm import bpe, mixing, near_dups, token_counts
+from cribra.llm import bpe, cover_tree, mixing, near_dups, token_counts
 from cribra.llm.common import table
 
 #: Vocabulary of the registered queries; any rank file will do.
@@ -35,13 +35,19 @@ def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.threshold_links(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_near_dups": op6_near_dups,
+    "op9_embedding_near_dups": op9_embedding_near_dups,
 }
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
+    "op9_embedding_near_dups": cover_tree.LINKS_SQL,
 }
