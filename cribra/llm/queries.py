@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cribra.llm import bpe, cover_tree, mixing, near_dups, token_counts
+from cribra.llm import bpe, chat, cover_tree, fingerprints, mixing, near_dups, token_counts
 from cribra.llm.common import table
 
 #: Vocabulary of the registered queries; any rank file will do.
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(lengths))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"),
                           public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -35,6 +39,11 @@ def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_tricky(table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_windows(turns, budget=1024, history=128))
+
+
 def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.threshold_links(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -42,12 +51,15 @@ def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
+    "op4_fingerprints": op4_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_near_dups": op6_near_dups,
+    "op8_chat_format": op8_chat_format,
     "op9_embedding_near_dups": op9_embedding_near_dups,
 }
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
+    "op8_chat_format": chat.CHAT_SQL,
     "op9_embedding_near_dups": cover_tree.LINKS_SQL,
 }
