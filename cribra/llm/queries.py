@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cribra.llm import bpe, chat, cover_tree, fingerprints, mixing, near_dups, token_counts
+from cribra.llm import bpe, chat, cover_tree, fingerprints, lang_id, mixing, near_dups, token_counts
 from cribra.llm.common import table
 
 #: Vocabulary of the registered queries; any rank file will do.
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(lengths))
 
 
+def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
+    "op3_lang_id": op3_lang_id,
     "op4_fingerprints": op4_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_near_dups": op6_near_dups,

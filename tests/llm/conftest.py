@@ -1,5 +1,7 @@
 import os
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small matrices; before numpy loads
+
 import pytest
 
 
