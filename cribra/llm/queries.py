@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cribra.llm import bpe, chat, cover_tree, fingerprints, lang_id, mixing, near_dups, token_counts
+from cribra.llm import bpe, chat, cover_tree, fingerprints, lang_id, lm_score, mixing, near_dups, secrets, token_counts
 from cribra.llm.common import table
 
 #: Vocabulary of the registered queries; any rank file will do.
@@ -43,6 +43,11 @@ def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.with_tricky(table(spark, sf_dir, "conversations"))
     return chat.read_back(chat.format_windows(turns, budget=1024, history=128))
@@ -52,6 +57,10 @@ def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.threshold_links(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_by_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -59,8 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_near_dups": op6_near_dups,
+    "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_embedding_near_dups": op9_embedding_near_dups,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE: dict[str, str] = {
