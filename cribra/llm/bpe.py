@@ -190,3 +190,24 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     return src.mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenize(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``n_tokens long``, ``ids array<int>`` and
+    ``decoded_sha256 string`` (of the bytes that the ids decode to), one row per input
+    row; null and empty texts have no ids."""
+    ranks = _rank_bytes(docs, path)
+    src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *keep, docs["text"].alias("text"))
+
+    def run(batches):
+        c = codec(ranks.value, pattern)
+        for batch in batches:
+            ids = [c.encode(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            sha = [hashlib.sha256(c.decode_bytes(i)).hexdigest() for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                batch.columns[:-1] + [pa.array([len(i) for i in ids], pa.int64()),
+                                      pa.array(ids, pa.list_(pa.int32())), pa.array(sha, pa.string())],
+                ["doc_id", *keep, "n_tokens", "ids", "decoded_sha256"])
+
+    kept = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    return src.mapInArrow(run, f"doc_id long, {kept}n_tokens long, ids array<int>, decoded_sha256 string")

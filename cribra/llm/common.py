@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rank file of the registered queries and weights of the sources there, repeated over
+#: their code point order.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+WEIGHTS = [5, 2, 1]
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -7,14 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from cribra.llm import bpe, chat, cover_tree, fingerprints, lang_id, lm_score, mixing, near_dups, secrets, token_counts
-from cribra.llm.common import table
-
-#: Vocabulary of the registered queries; any rank file will do.
-RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Weights of the sources, repeated over their code point order.
-WEIGHTS = [5, 2, 1]
-
+from cribra.llm.common import RANKS, WEIGHTS, table
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents"), WEIGHTS)
@@ -72,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_embedding_near_dups": op9_embedding_near_dups,
     "op10_lm_score": op10_lm_score,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
