@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribra.functions.formula import counts_text, formula_counts, reduced_counts, scale_counts
-from cribra.functions.text import WS_CLASS, strip_ws
+from cribra.functions.text import WS_CLASS, int_text, strip_ws
 from cribra.functions.util import col_of, let, materialize
 
 # ---------------------------------------------------------------- T1 key=value
@@ -74,15 +74,26 @@ _SITE_TAGS = ("_atom_site_type_symbol", "_atom_site_fract_x", "_atom_site_fract_
               "_atom_site_fract_z")
 
 
-def _tag_value(text: Column, tag: str) -> Column:
-    """Rest of the line after ``tag`` (stripped, surrounding quotes removed);
-    null when the tag is absent."""
-    raw = F.regexp_extract(text, r"(?m)^[ \t]*" + tag.replace(".", r"\.") + r"(?:[ \t]+([^\r\n]*))?[ \t]*$", 1)
-    present = text.rlike(r"(?m)^[ \t]*" + tag + r"(?:[ \t]|$)")
-    v = strip_ws(raw)
-    unq = F.regexp_extract(v, r"^(['\"])(.*)\1$", 2)
-    quoted = v.rlike(r"^(['\"]).*\1$")
-    return F.when(present, F.when(quoted, unq).otherwise(v))
+# what a line is to the site loop: its start, a header, any other end, or a row
+_LINE_KINDS = ((r"^[ \t]*loop_[ \t]*$", "L"), (r"^[ \t]*_atom_site_", "H"),
+               (r"^[ \t]*(?:_|loop_|data_|#)", "S"))
+
+
+def _entries(lines: Column) -> Column:
+    """``ARRAY<STRUCT<k, v>>`` of the tag lines: first word, and the rest stripped
+    with surrounding quotes removed."""
+    def entry(line):
+        v = strip_ws(F.regexp_extract(line, r"^[ \t]*_[^ \t]*(?:[ \t]+(.*))?$", 1))
+        return let(v, lambda x: F.struct(
+            F.regexp_extract(line, r"^[ \t]*(_[^ \t]*)", 1).alias("k"),
+            F.when(x.rlike(r"^(['\"]).*\1$"), F.regexp_extract(x, r"^(['\"])(.*)\1$", 2))
+             .otherwise(x).alias("v")))
+    return F.transform(F.filter(lines, lambda x: F.ltrim(x, F.lit(" \t")).startswith("_")), entry)
+
+
+def _tag_value(entries: Column, tag: str) -> Column:
+    """Value of the first line with ``tag``; null when the tag is absent."""
+    return F.get(F.filter(entries, lambda e: e["k"] == tag), F.lit(0))["v"]
 
 
 def _num(v: Column) -> Column:
@@ -90,18 +101,33 @@ def _num(v: Column) -> Column:
     return F.when(m != "", m.try_cast("double"))
 
 
-def _site_loop(text: Column) -> Column:
+def _site_loop(lines: Column) -> Column:
     """``STRUCT<headers ARRAY<STRING>, rows ARRAY<ARRAY<STRING>>>`` of the first
-    ``loop_`` whose headers are ``_atom_site_*`` tags."""
-    pat = (r"(?s)(?:^|\n)[ \t]*loop_[ \t]*\r?\n((?:[ \t]*_atom_site_[^\r\n]*\r?\n)+)"
-           r"((?:(?![ \t]*(?:_|loop_|data_|#))[^\r\n]*(?:\r?\n|$))*)")
-    head = F.regexp_extract(text, pat, 1)
-    body = F.regexp_extract(text, pat, 2)
-    headers = F.transform(F.filter(F.split(head, r"\r?\n"), lambda h: strip_ws(h) != ""),
-                          lambda h: strip_ws(h))
-    rows = F.transform(F.filter(F.split(body, r"\r?\n"), lambda r: strip_ws(r) != ""),
-                       lambda r: F.split(strip_ws(r), WS_CLASS + "+"))
-    return F.struct(headers.alias("headers"), rows.alias("rows"))
+    ``loop_`` whose headers are ``_atom_site_*`` tags.
+
+    One letter per line says what the line is; the loop is then a run of letters,
+    and its lines are slices, so a record may have any number of sites.
+    """
+    def kind(line):
+        out = None
+        for pattern, letter in _LINE_KINDS:
+            hit = line.rlike(pattern)
+            out = F.when(hit, letter) if out is None else out.when(hit, letter)
+        return out.otherwise("B")
+
+    def cut(kinds):
+        start = F.regexp_instr(kinds, F.lit("LH+"))
+        n_head = F.length(F.regexp_extract(kinds, "L(H+)", 1))
+        n_body = F.length(F.regexp_extract(kinds, "LH+(B*)", 1))
+        part = lambda at, n: F.when(start > 0, F.slice(lines, at, n)) \
+            .otherwise(F.array().cast("array<string>"))
+        rows = F.filter(part(F.greatest(start, F.lit(1)) + 1 + n_head, n_body),
+                        lambda r: strip_ws(r) != "")
+        return F.struct(
+            F.transform(part(F.greatest(start, F.lit(1)) + 1, n_head), lambda h: strip_ws(h)).alias("headers"),
+            F.transform(rows, lambda r: F.split(strip_ws(r), WS_CLASS + "+")).alias("rows"))
+
+    return let(F.array_join(F.transform(lines, kind), ""), cut)
 
 
 def crystal_record(c) -> Column:
@@ -110,18 +136,19 @@ def crystal_record(c) -> Column:
     Fields: name, formula_structural, formula_sum, cell_a/b/c, alpha/beta/gamma,
     z, sites ``ARRAY<STRUCT<element, x, y, z>>`` and parse_error (null when the
     record parsed).  Required: the six cell values (finite numbers) and a
-    positive integer Z; a site row with a bad number fails the record.  Every
-    tag is extracted once per row (values are bound before reuse).
+    positive integer Z; a site row with a bad number fails the record.  The text is
+    cut into lines once; tags and sites are read from the lines.
     """
     t = F.coalesce(col_of(c), F.lit(""))
-    z_txt = _tag_value(t, "_cell_formula_units_Z")
-    head = F.struct(
-        F.regexp_extract(t, r"(?m)^[ \t]*data_(\S*)", 1).alias("name"),
-        _tag_value(t, "_chemical_formula_structural").alias("formula_structural"),
-        _tag_value(t, "_chemical_formula_sum").alias("formula_sum"),
-        *[_num(_tag_value(t, tag)).alias(tag) for tag in CELL_TAGS],
-        F.when(F.coalesce(z_txt, F.lit("")).rlike(r"^[+-]?[0-9]{1,9}$"), z_txt.cast("int")).alias("z"),
-        t.contains("data_").alias("has_data"))
+
+    def head(entries):
+        return F.struct(
+            F.regexp_extract(t, r"(?m)^[ \t]*data_(\S*)", 1).alias("name"),
+            _tag_value(entries, "_chemical_formula_structural").alias("formula_structural"),
+            _tag_value(entries, "_chemical_formula_sum").alias("formula_sum"),
+            *[_num(_tag_value(entries, tag)).alias(tag) for tag in CELL_TAGS],
+            int_text(_tag_value(entries, "_cell_formula_units_Z")).alias("z"),
+            t.contains("data_").alias("has_data"))
 
     def field(row, p):
         return F.when(p > 0, F.try_element_at(row, p))
@@ -145,8 +172,11 @@ def crystal_record(c) -> Column:
             F.array_position(hdr, F.lit("_atom_site_fract_z")).cast("int").alias("pz"),
             lp["rows"].alias("rows")), parse_rows)
 
-    sites = let(_site_loop(t), with_positions)
-    return materialize(let(head, lambda h: let(sites, lambda st: _record(h, st))))
+    def record(lines):
+        return let(let(_entries(lines), head), lambda h: let(
+            let(_site_loop(lines), with_positions), lambda st: _record(h, st)))
+
+    return materialize(let(F.split(t, r"\r\n|\r|\n"), record))
 
 
 def _record(h: Column, sites: Column) -> Column:
@@ -313,8 +343,7 @@ def derive_full_fields(fields, formula) -> Column:
     prototype_bucket_v4 = ``|``-joined core labels.
     """
     m = col_of(fields)
-    zt = strip_ws(F.coalesce(F.try_element_at(m, F.lit("output_Z_raw")), F.lit("")))
-    z = F.when(zt.rlike(r"^[+-]?[0-9]{1,9}$"), zt.cast("bigint"))
+    z = int_text(F.coalesce(F.try_element_at(m, F.lit("output_Z_raw")), F.lit("")))
     def g(k):
         return F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
 
@@ -322,11 +351,15 @@ def derive_full_fields(fields, formula) -> Column:
                lambda cell: _full_map(cell, z, g))
 
 
+def _total(cell: Column) -> Column:
+    """Sum of the counts; null when it does not fit."""
+    return F.aggregate(cell, F.lit(0).cast("bigint"), lambda a, p: F.try_add(a, p["n"]))
+
+
 def _full_map(cell: Column, z: Column, g) -> Column:
-    return F.when(z.isNotNull() & (z > 0) & cell.isNotNull(), F.create_map(
+    return F.when(z.isNotNull() & (z > 0) & _total(cell).isNotNull(), F.create_map(
         F.lit("site_schema"), schema_text(cell),
-        F.lit("n_listed_sites"), F.aggregate(cell, F.lit(0).cast("bigint"),
-                                             lambda a, p: a + p["n"]).cast("string"),
+        F.lit("n_listed_sites"), _total(cell).cast("string"),
         F.lit("formula_sum_expected"), counts_text(cell, " "),
         F.lit("geometry_signature_v4"), F.concat_ws("|", g("metric_family"), g("length_pattern"),
                                                     g("angle_pattern"), g("vol_per_atom_bin")),

@@ -433,3 +433,30 @@ def test_crystal_batch_end_to_end(spark, tmp_path):
     hint = tmp_path / "hint.txt"
     hint.write_text("  use rock salt \n", encoding="utf-8")
     assert load_hint_text(spark, str(hint)) == "use rock salt"
+
+
+CELL = ("_cell_length_a 1.0\n_cell_length_b 2(1)\n_cell_length_c 3\n_cell_angle_alpha 90\n"
+        "_cell_angle_beta 90\n_cell_angle_gamma 90\n")
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000, 50000])
+def test_t2_any_number_of_sites(spark, n):
+    text = ("data_x\n_chemical_formula_structural 'Na Cl'\n" + CELL + "_cell_formula_units_Z 0000000004\n"
+            "loop_\n_symmetry_x\n'x'\nloop_\n _atom_site_type_symbol\n_atom_site_fract_x\n"
+            "_atom_site_fract_y\n_atom_site_fract_z\n" + "Na 0 0.5 0\n" * n + "_other 1\nNa 9 9 9\n")
+    r = spark.createDataFrame([(text,)], "t string").select(ps.crystal_record("t").alias("r")).first().r
+    assert (r.name, r.formula_structural, r.cell_b, r.z, r.parse_error) == ("x", "Na Cl", 2.0, 4, None)
+    assert len(r.sites) == n and (n == 0 or r.sites[-1].y == 0.5)
+
+
+def test_f11_long_and_overflowing(spark):
+    big = "9223372036854775807"
+    texts = ["NaCl" * 12500, "Na" + "9" * 20 + "Cl", f"Na{big}Na{big}", "Na01", f"Na{big}", "Na Cl\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "f string")
+    z = F.create_map(F.lit("output_Z_raw"), F.lit("9999999999"))
+    rows = df.select(fm.formula_ratio("f").alias("r"),
+                     ps.derive_full_fields(z, "f").alias("d")).collect()
+    assert [r.r for r in rows] == ["1:1", None, None, None, "1", "1:1"]
+    assert rows[0].d["n_listed_sites"] == "19999999998" and rows[1].d is None
+    over = F.create_map(F.lit("output_Z_raw"), F.lit(big))
+    assert df.select(ps.derive_full_fields(over, F.lit("Na2Cl3")).alias("d")).first().d is None
