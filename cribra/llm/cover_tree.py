@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribra.llm.common import persist_shared
-from cribra.llm.graph import components
+from cribra.llm.graph import components, spanning
 
 #: Vectors of a block; bounds the memory of a task.
 BLOCK = 2048
@@ -127,25 +127,6 @@ def _stack(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
 
 
-def _spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join what earlier ones did not: at most one fewer than ids."""
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    out = []
-    for u, v in zip(left.tolist(), right.tolist()):
-        p, q = find(u), find(v)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((u, v))
-    return out
-
-
 def _classes(vectors: DataFrame) -> DataFrame:
     """``vec_id, label, dim, digest, v``: v the vector as doubles, digest null where
     the row can link with nothing."""
@@ -274,7 +255,7 @@ def threshold_links(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         na, nb = np.zeros(len(ids[0]), np.int64), np.zeros(len(ids[-1]), np.int64)
         np.add.at(na, i, sizes[-1][j])
         np.add.at(nb, j, sizes[0][i])
-        edges = _spanning(ids[0][i], ids[-1][j])
+        edges = spanning(ids[0][i], ids[-1][j])
         ia, ib = np.flatnonzero(na), np.flatnonzero(nb)
         return pd.DataFrame({
             "u": np.concatenate([ids[0][ia], ids[-1][ib], [e[0] for e in edges]]).astype("int64"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,22 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")) \
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))
                          .distinct())
+
+
+def spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what earlier ones did not: at most one fewer than ids."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for u, v in zip(left.tolist(), right.tolist()):
+        p, q = find(u), find(v)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((u, v))
+    return out

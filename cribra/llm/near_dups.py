@@ -6,11 +6,13 @@ at most ERRORS slots of some chunk (pigeonhole), so indexing every chunk under
 each choice of ERRORS left-out slots brings every such pair together.  Pairs that
 meet are compared on whole signatures, then confirmed on full shingle sets.
 
-Equal sets are one class from the start, so copies never meet.  Within a bucket
-every class is first compared with the smallest one only; what that links is one
-component.  Buckets that still hold several components then compare across
-components, which leaves no pair of the bucket unexamined unless it is already
-connected, and never lists the pairs inside a group of near copies.
+Equal sets are one class from the start, so copies never meet.  In each bucket the
+class that shares the most keys with others is the hub; every other member is
+compared with it, and what that links is one component.  A class's cell is its best
+hub.  Members of a cell outside the hub's component are then compared with the rest
+of the cell, block by block inside a task, and members of a bucket that belong to
+different cells pair by pair.  So every two classes that meet are either connected
+already or compared, and the pairs inside a group of near copies are never listed.
 """
 
 from __future__ import annotations
@@ -19,17 +21,20 @@ import hashlib
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribra.llm.common import ascii_lower, persist_shared, words
-from cribra.llm.graph import components
+from cribra.llm.graph import components, spanning
 
 SLOTS, BITS, CHUNK, ERRORS = 65, 16, 5, 1
 #: Signatures may differ in this many slots more than the guarantee before a pair
 #: that met anyway is given up without comparing its sets.
 SLACK = 7
+#: Classes of a block, and shingles it should hold on average.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
 
 _U = np.uint64
 _MIX1, _MIX2, _STEP = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -172,16 +177,12 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return j.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
-             percent: int) -> DataFrame:
-    """Edges ``(u, v)``: the pairs whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(
-        pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = ids.join(classes.select("rep", "digest"), "rep") \
-                .select(F.col("rep").alias("doc_id"), "digest")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
+def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``rep, s``: the full shingle sets of the classes ``wanted(rep, digest)``."""
+    texts = docs.select("doc_id", "text").join(
+        wanted.select(F.col("rep").alias("doc_id"), "digest"), "doc_id")
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -189,14 +190,16 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             # a repeated doc_id may carry other texts: keep the class's own
             same = [_digest(s) == d for s, d in zip(found, batch.column(1).to_pylist())]
             out = pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["doc_id", "s"])
+                [batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "s"])
             yield out.filter(pa.array(same))
 
-    s = persist_shared(_word_arrays(texts, "digest").mapInArrow(sets, "doc_id long, s binary"),
-                       "sets")
-    j = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a") \
-             .join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    return _word_arrays(texts, "digest").mapInArrow(run, "rep long, s binary")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(u, v)``: the pairs whose full sets are similar enough."""
+    j = pairs.join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b") \
+             .join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
 
     def check(batches):
         for batch in batches:
@@ -212,6 +215,76 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
         j.select("a", "b", "sa", "sb").mapInArrow(check, "u long, v long"), "links")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(left), len(right)), np.float32)
+    at = []
+    for row, f in zip(rows, flat):
+        col = np.searchsorted(common, f)
+        col[col == len(common)] = 0
+        hit = common[col] == f if len(common) else np.zeros(len(f), bool)
+        order = np.argsort(col[hit], kind="stable")
+        at.append((row[hit][order], col[hit][order]))
+    for start in range(0, len(common), 4096):
+        part = []
+        for (row, col), side in zip(at, (left, right)):
+            lo, hi = np.searchsorted(col, [start, start + 4096])
+            m = np.zeros((len(side), 4096), np.float32)
+            m[row[lo:hi], col[lo:hi] - start] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def _within_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(u, v)`` that join what is not connected yet inside a cell.
+
+    ``members``: rep, cell, n_shingles, comp and stray (outside the hub's component).
+    Strays meet strays and the hub's component in blocks; a cell without strays
+    costs nothing.
+    """
+    count = lambda cond: F.greatest(
+        F.ceil(F.count_if(cond) / BLOCK_CLASSES),
+        F.ceil(F.sum(F.when(cond, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    cells = members.groupBy("cell").agg(
+        count(F.col("stray")).alias("strays"), count(~F.col("stray")).alias("mains")).filter("strays > 0")
+    upto = lambda first, n: F.when(n > first, F.sequence(first, n - 1)) \
+        .otherwise(F.array().cast("array<int>"))
+    zero = F.lit(0)
+    pairs = cells.select("cell", "strays", "mains", F.explode(upto(zero, F.col("strays"))).alias("i")) \
+        .select("cell", "i", F.explode(F.concat(
+            F.transform(upto(F.col("i"), F.col("strays")), lambda j: F.struct(F.lit(True).alias("stray"), j.alias("part"))),
+            F.transform(upto(zero, F.col("mains")), lambda j: F.struct(F.lit(False).alias("stray"), j.alias("part")))))
+            .alias("other"))
+    task = F.struct("i", F.col("other.stray").alias("stray"), F.col("other.part").alias("part"))
+    sides = pairs.select("cell", F.lit(True).alias("stray"), F.col("i").alias("part"), task.alias("task"),
+                         F.lit(0).alias("side")) \
+        .unionByName(pairs.filter("NOT other.stray OR other.part <> i").select(
+            "cell", "other.stray", "other.part", task.alias("task"), F.lit(1).alias("side")))
+    dealt = members.join(cells, "cell").withColumn("part", F.pmod(
+        F.xxhash64("rep"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
+    moved = dealt.select("cell", "stray", "part", "rep", "comp").join(sides, ["cell", "stray", "part"]) \
+                 .select("rep", "comp", "cell", "task", "side").join(sets, "rep") \
+                 .select("cell", F.xxhash64("task").alias("task"), "side", "rep", "comp", "s")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [g for _, g in pdf.groupby("side")]
+        x, y = sides[0], sides[-1]
+        a, b = ([np.frombuffer(s, _U) for s in g["s"]] for g in (x, y))
+        both = overlaps(a, b)
+        sizes = [np.array([len(s) for s in side], np.float64) for side in (a, b)]
+        near = 100.0 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+        near &= x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :]
+        i, j = np.nonzero(near)
+        edges = spanning(x["comp"].to_numpy()[i], y["comp"].to_numpy()[j])
+        return pd.DataFrame(edges, columns=["u", "v"]).astype("int64")
+
+    return moved.groupBy("cell", "task").applyInPandas(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -227,39 +300,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketched = persist_shared(_sketches(docs, width), "sketches")
     named = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = persist_shared(
-        named.groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-             .select("digest", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")),
-        "classes")
+        named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
+             .select("digest", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig"), "classes")
 
     keys = _keys(classes)
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")) \
-               .filter("hub <> top").select("key", "hub")
-    buckets = persist_shared(keys.join(hubs, "key"), "buckets")
-
-    pairs = persist_shared(
-        _near(buckets.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-              .distinct(), classes), "pairs")
-    linked = persist_shared(components(_confirm(pairs, docs, classes, width, percent)),
+    shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"),
+                                     F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n")
+    met = persist_shared(keys.join(shared, "key"), "met")
+    degree = met.groupBy("rep").agg(F.sum("n").alias("degree"))
+    met = met.join(degree, "rep")
+    hubs = met.groupBy("key").agg(F.max(F.struct("degree", "rep")).alias("hub"))
+    buckets = persist_shared(met.select("key", "rep").join(hubs, "key"), "buckets")
+    cells = persist_shared(
+        buckets.groupBy("rep").agg(F.max("hub").alias("hub")).select("rep", F.col("hub.rep").alias("cell"))
+               .join(classes.select("rep", "n_shingles", "digest").dropDuplicates(["rep"]), "rep"), "cells")
+    sets = persist_shared(_full_sets(docs, cells, width).dropDuplicates(["rep"]), "sets")
+
+    # every member of a bucket against its hub
+    pairs = buckets.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).filter("a <> b").distinct()
+    linked = persist_shared(components(_confirm(persist_shared(_near(pairs, classes), "pairs"), sets, percent)),
                             "components")
-
-    # what is left: buckets over several components, compared across them
     label = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    b = buckets.join(label("rep"), "rep", "left") \
-               .withColumn("c_rep", F.coalesce("c_rep", "rep"))
-    mixed = b.groupBy("key").agg(F.min("c_rep").alias("lo"), F.max("c_rep").alias("hi")) \
-             .filter("lo <> hi").select("key")
-    b = persist_shared(
-        b.join(mixed, "key").join(label("hub"), "hub", "left")
-         .withColumn("c_hub", F.coalesce("c_hub", "hub")), "mixed")
-    x = b.filter("c_rep <> c_hub").select("key", F.col("rep").alias("a"), F.col("c_rep").alias("ca"))
-    y = b.filter("rep <> hub").select("key", F.col("rep").alias("b"), F.col("c_rep").alias("cb"))
-    rest = x.join(y, "key").filter("ca <> cb") \
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = persist_shared(_near(rest, classes), "rest")
-    more = _confirm(rest, docs, classes, width, percent)
-    more = more.join(label("u"), "u", "left").join(label("v"), "v", "left") \
-               .select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
-    joined = components(more)
+
+    # inside each cell
+    members = cells.join(label("rep"), "rep", "left").join(label("cell"), "cell", "left") \
+        .select("rep", "cell", "n_shingles", F.coalesce("c_rep", "rep").alias("comp"),
+                F.coalesce("c_cell", "cell").alias("main")) \
+        .withColumn("stray", F.col("comp") != F.col("main"))
+    members = persist_shared(members, "members")
+    inside = persist_shared(_within_cells(members, sets, percent), "inside")
+
+    # buckets over several cells: across them
+    b = buckets.select("key", "rep", F.col("hub.rep").alias("hub")) \
+               .join(members.select("rep", "cell", "comp"), "rep")
+    mixed = b.groupBy("key").agg(
+        F.min("cell").alias("lo"), F.max("cell").alias("hi"),
+        F.max(F.when(F.col("rep") == F.col("hub"), F.col("cell"))).alias("main")) \
+        .filter("lo <> hi").select("key", "main")
+    b = persist_shared(b.join(mixed, "key").select("key", "rep", "cell", "comp", "main"), "mixed")
+    x = b.filter("cell <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "cell", "comp")])
+    y = b.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "cell", "comp")])
+    across = x.join(y, "key").filter("cell_a <> cell_b AND comp_a <> comp_b") \
+              .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    across = _confirm(persist_shared(_near(across, classes), "across"), sets, percent)
+    across = across.join(label("u"), "u", "left").join(label("v"), "v", "left") \
+                   .select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
+    joined = components(inside.unionByName(across))
 
     final = classes.select("digest", "rep").join(label("rep"), "rep", "left") \
         .withColumn("c", F.coalesce("c_rep", "rep")) \
