@@ -3,64 +3,85 @@
 The only step that runs Python per batch: a caller-supplied generator turns
 prompts into ``n`` texts each.  ``mapInPandas`` hands it whole Arrow batches;
 the generator is built once per Python worker by the caller's ``factory`` and
-cached.  An exception becomes an ``error`` value on the rows of that batch
-instead of ending the job.  Write the output to a table (``persist_responses``)
-before verification so the expensive step never runs twice.
+cached under a name of this call, so two generators never meet.  When a batch
+fails or comes back with the wrong number of lists it is tried again prompt by
+prompt, and only the prompts that fail themselves get an ``error``.  Write the
+output to a table (``persist_responses``) before verification so the expensive
+step never runs twice.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESPONSE_SCHEMA = "row_id long, seq int, response string, error string"
 
 
-def _factory_key(factory: Callable) -> str:
-    return f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+_WORKER: dict[str, Callable] = {}
+
+
+def worker_generator(key: str, factory: Callable[[], Callable]) -> Callable:
+    """The worker's generator for one ``generate`` call; an older call's goes."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = factory()
+    return _WORKER[key]
+
+
+def _texts(gen: Callable, prompts: list[str], n: int) -> list[list[str]]:
+    outs = [list(x) for x in gen(prompts, n)]
+    if len(outs) != len(prompts):
+        raise ValueError(f"generator returned {len(outs)} lists for {len(prompts)} prompts")
+    return outs
+
+
+def _each(gen: Callable, prompts: list[str], n: int) -> list[list[str] | Exception]:
+    """Texts per prompt, or the exception of a prompt that fails on its own."""
+    try:
+        return _texts(gen, prompts, n)
+    except Exception as exc:  # noqa: BLE001 - reported per row, job goes on
+        if len(prompts) == 1:
+            return [exc]
+        return [x for p in prompts for x in _each(gen, [p], n)]
 
 
 def generate(df: DataFrame, factory: Callable[[], Callable[[Sequence[str], int], list]],
              n: int, key: str = "row_id", prompt: str = "prompt",
-             partition: bool = True) -> DataFrame:
+             partition: bool = True, prompt_error: Column | None = None) -> DataFrame:
     """``(key, prompt)`` -> ``(row_id, seq, response, error)``.
 
     ``factory()`` returns ``gen(prompts, n) -> list[list[str]]`` (n texts per
     prompt, in order); texts are stripped.  With ``partition`` the requests are
     hash-partitioned by ``key`` first, so all responses of a request come out
-    of one task.
+    of one task.  A request with a non-null ``prompt_error`` (F20: see
+    ``text.token_budget_error``) never reaches the generator and keeps that error.
     """
     if n < 1:
         raise ValueError("num_return_sequences must be positive")
-    src = df.select(F.col(key).cast("long").alias("row_id"), F.col(prompt).alias("prompt"))
+    src = df.select(F.col(key).cast("long").alias("row_id"), F.col(prompt).alias("prompt"),
+                    (F.lit(None) if prompt_error is None else prompt_error).cast("string").alias("error"))
     if partition:
         src = src.repartition("row_id")
-
-    fkey = _factory_key(factory)
+    call = uuid.uuid4().hex
 
     def run(batches):
-        # self-contained on the worker: the generator cache lives in the worker
-        # process, so the factory runs once per Python worker
-        import builtins
-
-        import pandas as pd
-
-        cache = builtins.__dict__.setdefault("_cribra_generators", {})
-        gen = cache.get(fkey)
-        if gen is None:
-            gen = cache.setdefault(fkey, factory())
         for pdf in batches:
-            ids = pdf["row_id"].tolist()
-            prompts = pdf["prompt"].fillna("").tolist()
-            try:
-                outs = gen(prompts, n)
-                rows = [(rid, s, str(t).strip(), None)
-                        for rid, texts in zip(ids, outs) for s, t in enumerate(texts)]
-            except Exception as exc:  # noqa: BLE001 - reported per row, job goes on
-                msg = f"{type(exc).__name__}: {exc}"
-                rows = [(rid, 0, None, msg) for rid in ids]
+            known = pdf["error"].notna()
+            rows = [(rid, 0, None, e) for rid, e in zip(pdf["row_id"][known], pdf["error"][known])]
+            todo = pdf[~known]
+            if len(todo):
+                gen = worker_generator(call, factory)
+                outs = _each(gen, todo["prompt"].fillna("").tolist(), n)
+                for rid, texts in zip(todo["row_id"], outs):
+                    if isinstance(texts, Exception):
+                        rows.append((rid, 0, None, f"{type(texts).__name__}: {texts}"))
+                    else:
+                        rows += [(rid, s, str(t).strip(), None) for s, t in enumerate(texts)]
             yield pd.DataFrame(rows, columns=["row_id", "seq", "response", "error"])
 
     return src.mapInPandas(run, RESPONSE_SCHEMA)
@@ -68,6 +89,7 @@ def generate(df: DataFrame, factory: Callable[[], Callable[[Sequence[str], int],
 
 def persist_responses(spark: SparkSession, responses: DataFrame, path: str) -> DataFrame:
     """Write generated responses to parquet and read them back: lineage is cut
-    at the expensive step, and a lost executor later never re-runs the model."""
-    responses.write.mode("overwrite").parquet(path)
+    at the expensive step, and a lost executor later never re-runs the model.
+    Fails if ``path`` exists, so that two jobs never share a table."""
+    responses.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

@@ -61,9 +61,9 @@ def read_index(spark: SparkSession, path: str, layout: str = "object") -> DataFr
     else:
         raise ValueError("layout must be 'object' or 'lines'")
     raw = raw.filter(F.trim("value") != "")
-    parsed = raw.select(
-        F.when(F.trim("value").startswith("{"),
-               F.from_json("value", "map<string,map<string,array<string>>>"))
+    parsed = raw.select(F.from_json("value", "map<string,map<string,array<string>>>").alias("idx"), "value")
+    parsed = parsed.select(
+        F.when(F.trim("value").startswith("{") & F.col("idx").isNotNull(), F.col("idx"))
          .otherwise(F.raise_error(F.lit("prototype index must be a JSON object"))).alias("idx"))
     lv = parsed.select(F.explode("idx").alias("level", "keys"))
     kv = lv.select("level", F.explode("keys").alias("key", "rows"))

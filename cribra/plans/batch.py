@@ -7,12 +7,13 @@ accepted row for the crystal job).  Row counts (A6) are collected with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from cribra.functions.text import token_budget_error
 from cribra.operators.generate import generate, persist_responses
 from cribra.plans import jobs
-from cribra.session import checkpoint_dir
+from cribra.session import shared_path, write_shared
 from cribra.sources.io import (read_requests, read_text, text_files, write_results,
                                write_text_files)
 
@@ -27,16 +28,22 @@ def load_hint_text(spark: SparkSession, path: str) -> str:
 
 
 def _responses(spark: SparkSession, requests: DataFrame, responses: DataFrame | None,
-               factory, n: int, prompt_col: str) -> DataFrame:
+               factory, n: int, prompt_col: str, prompt_error: Column | None = None) -> DataFrame:
     """A ready responses table, or U1 over the requests with the output cut to
-    a table in the checkpoint folder (the model never runs twice)."""
+    a table in the shared folder (the model never runs twice)."""
     if responses is not None:
         return responses
     if factory is None:
         raise ValueError("give a responses table or a generator factory")
-    gen = generate(requests, factory, n, prompt=prompt_col)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/responses_{id(gen)}"
-    return persist_responses(spark, gen, path).filter(F.col("error").isNull())
+    gen = generate(requests, factory, n, prompt=prompt_col, prompt_error=prompt_error)
+    return persist_responses(spark, gen, shared_path(spark, "responses"))
+
+
+def _budget_error(prompt_tokens: Column | None, max_len: int | None) -> Column | None:
+    """F20 before the call, when the caller can count a prompt's tokens."""
+    if prompt_tokens is None or max_len is None:
+        return None
+    return token_budget_error(prompt_tokens, F.lit(max_len))
 
 
 def _with_hints(requests: DataFrame, hint_text: str | None, index: DataFrame | None) -> DataFrame:
@@ -51,15 +58,26 @@ def _with_hints(requests: DataFrame, hint_text: str | None, index: DataFrame | N
     return attach_hints(requests, blocks=hint_block(hits, "hint"))
 
 
+def _require_rows(requests: DataFrame, path: str) -> None:
+    if requests.isEmpty():
+        raise ValueError(f"No rows in {path}")
+
+
 def run_scaffold_batch(spark: SparkSession, input_csv: str, output_csv: str, *,
                        responses: DataFrame | None = None, factory=None, num_samples: int = 6,
                        first_n: int | None = None, instruction: str = "",
-                       single_file: bool = False) -> dict:
-    """Q1 end to end; returns ``{"written": n}``."""
+                       single_file: bool = False, prompt_tokens: Column | None = None,
+                       max_len: int | None = None) -> dict:
+    """Q1 end to end; returns ``{"written": n}``.
+
+    ``prompt_tokens`` counts the tokens of column ``prompt``; with ``max_len`` a
+    prompt that leaves no room is not sent and reported as ``prompt_too_long``.
+    """
     req = read_requests(spark, input_csv, jobs.SCAFFOLD_INPUT, first_n)
     good, _ = jobs.split_requests(req)                    # first bad row fails the job
+    _require_rows(good, input_csv)
     resp = _responses(spark, jobs.scaffold_prompts(good, instruction), responses, factory,
-                      num_samples, "prompt")
+                      num_samples, "prompt", _budget_error(prompt_tokens, max_len))
     out = jobs.scaffold_job(good, resp, num_samples)
     obs = Observation("scaffold")
     out = out.observe(obs, F.count(F.lit(1)).alias("written"))
@@ -72,27 +90,34 @@ def run_crystal_batch(spark: SparkSession, input_csv: str, output_csv: str, outp
                       strict: bool = False, first_n: int | None = None,
                       instruction: str = "", hint_text: str | None = None,
                       index: DataFrame | None = None, write_files: bool = True,
-                      single_file: bool = False) -> dict:
+                      single_file: bool = False, prompt_tokens: Column | None = None,
+                      max_len: int | None = None, labelers: dict | None = None) -> dict:
     """Q2 end to end: result CSV plus one ``<stem>.cif`` per accepted row
     (P15: a strict reject writes no file).  Returns row counts and the number of
-    stem collisions (the reference silently overwrote such files)."""
+    stem collisions (the reference silently overwrote such files).
+
+    ``labelers`` maps a label (see ``jobs.LABELS``) to a function of the parsed
+    record's Column, for responses that bring no label columns; ``prompt_tokens``
+    and ``max_len`` as in ``run_scaffold_batch``.
+    """
     req = read_requests(spark, input_csv, jobs.CIF_INPUT, first_n)
     good, _ = jobs.split_requests(req, with_scaffold=True)
+    _require_rows(good, input_csv)
     todo = good.filter(F.col("scaffold_full") != "")     # P18: skip before generation
     if responses is None:
         todo = _with_hints(todo, hint_text, index)
         todo = jobs.crystal_prompts(todo, instruction, "hints")
-    resp = _responses(spark, todo, responses, factory, num_samples, "prompt")
-    out = jobs.crystal_job(good, resp, num_samples, strict=strict, out_dir=output_dir)
+    resp = _responses(spark, todo, responses, factory, num_samples, "prompt",
+                      _budget_error(prompt_tokens, max_len) if responses is None else None)
+    out = jobs.crystal_job(good, resp, num_samples, strict=strict, out_dir=output_dir,
+                           labelers=labelers)
     obs = Observation("crystal")
     out = out.observe(obs, F.count(F.lit(1)).alias("written"),
                       F.count_if(F.col("outcome") == "success").alias("accepted"))
     # the result feeds two sinks: write it once to the shared checkpoint folder
     # so the job is not computed twice
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/crystal_result_{id(out)}"
-    out.write.mode("overwrite").parquet(stage)
+    out = write_shared(out, "crystal")
     counts = dict(obs.get)
-    out = spark.read.parquet(stage)
     write_results(out, output_csv, jobs.CIF_OUTPUT, single_file=single_file)
     if write_files:
         files = text_files(out.filter(F.col("outcome") == "success"), "material_id", "cif",

@@ -9,7 +9,7 @@ request, built with a left join so that requests without candidates keep a row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +81,7 @@ def split_requests(df: DataFrame, with_scaffold: bool = False,
 
 # ------------------------------------------------------------------ D1 W1 W2
 
-def prepare_responses(responses: DataFrame, n: int, key: str = "row_id", seq: str = "seq",
+def prepare_responses(responses: DataFrame, n: int | None, key: str = "row_id", seq: str = "seq",
                       text: str = "response", presorted: bool = False,
                       keep: Sequence[str] = ()) -> DataFrame:
     """D1 + W1 + W2: per request, drop blank responses, keep the first of each
@@ -100,6 +100,17 @@ def prepare_responses(responses: DataFrame, n: int, key: str = "row_id", seq: st
     return sl.number_rows(r, key, seq, "rank", limit=n).drop("_k")
 
 
+def generation_failure(responses: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` with ``_why``: the reason that U1 gave for a request's failure, as
+    a list of no or one code (``generation_failed:<reason>``)."""
+    if "error" not in responses.columns:
+        return requests.withColumn("_why", F.array().cast("array<string>"))
+    why = responses.filter(F.col("error").isNotNull()).groupBy("row_id").agg(F.min("error").alias("_e"))
+    return requests.join(why, "row_id", "left").withColumn("_why", F.when(
+        F.col("_e").isNull(), F.array().cast("array<string>")).otherwise(
+        F.array(F.concat(F.lit("generation_failed:"), "_e")))).drop("_e")
+
+
 # ------------------------------------------------------------------ Q1
 
 def compile_scaffolds(cands: DataFrame, begin: str = SCAFFOLD_BEGIN,
@@ -111,15 +122,13 @@ def compile_scaffolds(cands: DataFrame, begin: str = SCAFFOLD_BEGIN,
     c = cands.withColumn("scaffold_core", tagged_block("response", begin, end)) \
              .withColumn("_tag_err", tagged_block_error("response", begin, end))
     c = c.withColumn("_core_fields", ps.kv_map("scaffold_core"))
-    c = c.withColumn("_core_chk", materialize(rl.check_scaffold(
-        "_core_fields", "pretty_formula", "space_group", False)))
+    c = rl.with_scaffold_checks(c, "_core_fields", "pretty_formula", "space_group", core="_core_chk")
     core_ok = F.col("_core_chk.valid") & F.col("_tag_err").isNull()
     c = c.withColumn("_derived", F.when(core_ok, ps.derive_full_fields("_core_fields",
                                                                        "pretty_formula")))
     c = c.withColumn("_full", F.when(core_ok, ps.compile_full_text("scaffold_core", "_derived")))
     c = c.withColumn("_full_fields", ps.kv_map("_full"))
-    c = c.withColumn("_full_chk", materialize(rl.check_scaffold(
-        "_full_fields", "pretty_formula", "space_group", True)))
+    c = rl.with_scaffold_checks(c, "_full_fields", "pretty_formula", "space_group", full="_full_chk")
     compiled = core_ok & F.col("_full").isNotNull()
     errors = (F.when(F.col("_tag_err").isNotNull(), F.array(F.col("_tag_err")))
                .when(~core_ok, F.col("_core_chk.errors"))
@@ -167,7 +176,7 @@ def scaffold_job(requests: DataFrame, responses: DataFrame, n: int = 6,
         .select("row_id", F.col("scaffold_core").alias("_core"),
                 F.col("scaffold_full").alias("_full"), F.col("valid_scaffold").alias("_valid"),
                 F.col("scaffold_errors").alias("_errors"))
-    out = requests.join(best, "row_id", "left")
+    out = generation_failure(responses, requests).join(best, "row_id", "left")
     has = F.col("_errors").isNotNull()
     return out.select(
         "row_id", "material_id", "pretty_formula",
@@ -176,7 +185,8 @@ def scaffold_job(requests: DataFrame, responses: DataFrame, n: int = 6,
         strip_ws(F.coalesce("_full", F.lit(""))).alias("scaffold_full"),
         bool_text(F.coalesce("_valid", F.lit(False))).alias("valid_scaffold"),
         json_list(F.when(has, F.col("_errors"))
-                   .otherwise(F.array(F.lit("generation_failed")))).alias("scaffold_errors"))
+                   .otherwise(F.concat(F.array(F.lit("generation_failed")), "_why")))
+        .alias("scaffold_errors"))
 
 
 # ------------------------------------------------------------------ Q2 verify
@@ -326,20 +336,23 @@ def cif_ranking() -> list[Column]:
 LABELS = ("metric_family", "position_family", "stack_family")
 
 
-def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int = 1,
-                       labels: DataFrame | None = None) -> DataFrame:
+def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int | None = 1,
+                       labels: DataFrame | None = None,
+                       labelers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Q2 candidate table: D1/W1/W2, F4 + T3, T2, P13, W4 ranking.
 
     ``requests`` must already be filtered to rows with a scaffold (P18).
     Labels (metric/position/stack family) are best supplied as columns of
     ``responses`` (no extra join, the row_id partitioning is kept); a separate
     ``labels`` table ``(row_id, seq, ...)`` is joined on the capped candidates
-    otherwise.  Missing labels read as empty text.
+    otherwise.  ``labelers`` compute labels from the parsed record (name -> function
+    of its Column) and win over both.  Missing labels read as empty text; ``n`` None
+    keeps every distinct response.
     """
     req = requests.select("row_id", "pretty_formula", "space_group", "scaffold_full") \
         .withColumn("scaffold_fields", ps.kv_map("scaffold_full"))
-    req = req.withColumn("scaffold_check", materialize(rl.check_scaffold(
-        "scaffold_fields", "pretty_formula", "space_group", True))).drop("scaffold_full")
+    req = rl.with_scaffold_checks(req, "scaffold_fields", "pretty_formula", "space_group",
+                                  full="scaffold_check").drop("scaffold_full")
     req = req.withColumn("req_reduced", request_reduced())
     inline = [c for c in LABELS if c in responses.columns]
     cands = prepare_responses(responses, n, keep=inline)
@@ -363,12 +376,15 @@ def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int = 1,
          .when(deg, F.lit("degenerate_canonicalized_cif")).alias("canonicalize_error"),
         F.when(failed, F.col("_rec")).otherwise(canonical_record(F.col("_rec"))).alias("record"))
     cands = cands.drop("_cut", "_rec", "_canon_text")
+    for c, fn in (labelers or {}).items():
+        cands = cands.withColumn(c, F.coalesce(fn(F.col("record")), F.lit("")))
     ver = verify_candidates(cands)
     return sl.rank_candidates(ver, "row_id", cif_ranking())
 
 
 def crystal_job(requests: DataFrame, responses: DataFrame, n: int = 1, strict: bool = False,
-                out_dir: str = "", labels: DataFrame | None = None) -> DataFrame:
+                out_dir: str = "", labels: DataFrame | None = None,
+                labelers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Q2: one result row per request (P16 routing, first match wins):
     ``missing_scaffold_full`` -> ``generation_failed`` -> strict reject ->
     success.  Adds ``outcome`` and ``cif`` (text of accepted rows) beside the
@@ -376,7 +392,7 @@ def crystal_job(requests: DataFrame, responses: DataFrame, n: int = 1, strict: b
     if n < 1:
         raise ValueError("num_samples must be positive")
     with_scaffold = requests.filter(F.col("scaffold_full") != "")   # P18, before generation
-    best = crystal_candidates(with_scaffold, responses, n, labels) \
+    best = crystal_candidates(with_scaffold, responses, n, labels, labelers) \
         .filter(F.col("order_no") == 1) \
         .select("row_id", F.col("rank").alias("_rank"), F.col("valid_cif").alias("_valid"),
                 F.col("canonicalized").alias("_canon"),
@@ -384,7 +400,8 @@ def crystal_job(requests: DataFrame, responses: DataFrame, n: int = 1, strict: b
                 F.col("consistency_score").alias("_score"),
                 F.col("collapse_penalty").alias("_pen"),
                 F.col("verify_errors").alias("_errs"), F.col("cif").alias("_cif"))
-    return summarize(requests.join(best, "row_id", "left"), strict, out_dir)
+    return summarize(generation_failure(responses, requests).join(best, "row_id", "left"),
+                     strict, out_dir)
 
 
 def summarize(df: DataFrame, strict: bool, out_dir: str = "") -> DataFrame:
@@ -411,22 +428,36 @@ def summarize(df: DataFrame, strict: bool, out_dir: str = "") -> DataFrame:
         F.when(failed, outcome).otherwise(text_or_empty("_cerr")).alias("canonicalize_error"),
         F.when(failed, F.lit("")).otherwise(F.col("_score").cast("string")).alias("consistency_score"),
         F.when(failed, F.lit("")).otherwise(F.col("_pen").cast("string")).alias("collapse_penalty"),
-        json_list(F.when(failed, F.array(outcome)).otherwise(F.col("_errs"))).alias("verify_errors"),
+        json_list(F.when(no_scaffold, F.array(outcome))
+                   .when(no_best, F.concat(F.array(outcome), "_why"))
+                   .otherwise(F.col("_errs"))).alias("verify_errors"),
         outcome.alias("outcome"),
         F.when(~failed & ~reject, F.concat(strip_ws("_cif"), F.lit("\n"))).alias("cif"))
 
 
 # ------------------------------------------------------------------ Q3 / Q4
 
-def best_and_all(cands: DataFrame, payload: Sequence[str], require_best: bool = True) -> DataFrame:
-    """Q3 + A5: per request ``{best, all}`` with candidates in ranked order
-    (lists are bounded by the sample cap).  ``require_best`` fails the job when a
-    request has no candidate, as the single-request programs do."""
+def best_and_all(cands: DataFrame, payload: Sequence[str], require_best: bool = True,
+                 requests: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Q3 + A5: per request ``{best, all}`` with candidates in ranked order.
+
+    With ``requests`` every request keeps its row; ``require_best`` then fails the
+    job when one has no candidate, as the single-request programs do, and without it
+    its ``best`` is null and ``all`` empty.  ``strict`` adds ``error``:
+    ``no_valid_cif_candidate`` beside the top candidate when that one is not valid.
+    """
     out = sl.collect_ranked(cands, "row_id", "order_no", list(payload))
     out = out.select("row_id", F.col("all")[0].alias("best"), "all")
+    if requests is not None:
+        out = requests.select("row_id").join(out, "row_id", "left")
+        none = F.array().cast(out.schema["all"].dataType)
+        out = out.withColumn("all", F.coalesce("all", none))
     if require_best:
         out = out.withColumn("best", F.when(F.col("best").isNotNull(), F.col("best"))
                              .otherwise(F.raise_error(F.lit("No candidate was generated"))))
+    if strict:
+        out = out.withColumn("error", F.when(~F.coalesce("best.valid_cif", F.lit(False)),
+                                             F.lit("no_valid_cif_candidate")))
     return out
 
 

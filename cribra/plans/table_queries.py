@@ -73,13 +73,18 @@ DOC_CAP = 3
 
 
 def _docs_ranked(spark, sf, cap):
-    d = table(spark, sf, "documents").select(
-        "doc_id", "source", tx.strip_ws("text").alias("text"), tx.normalize_ws("text").alias("k"))
-    d = sl.dedupe_first(d.filter(F.col("k") != ""), "source", "k", "doc_id")
-    return sl.number_rows(d, "source", "doc_id", "rank", limit=cap)
+    """D1 + W1 (+ W2): only hashes of the normalised texts are shuffled; the texts
+    are fetched for the documents that stay."""
+    d = table(spark, sf, "documents")
+    k = tx.normalize_ws("text")
+    keys = d.filter(k != "").select("doc_id", "source", F.sha2(k, 256).alias("k"))
+    keys = sl.dedupe_first(keys, "source", "k", "doc_id")
+    keys = sl.number_rows(keys, "source", "doc_id", "rank", limit=cap).select("doc_id", "rank")
+    return d.join(keys, "doc_id").select("doc_id", "source", tx.strip_ws("text").alias("text"), "rank")
 
 
-def _sql_docs_ranked(cap: int) -> str:
+def _sql_docs_ranked(cap: int | None) -> str:
+    last = "" if cap is None else f" WHERE rank < {cap}"
     return f"""
 WITH n AS (SELECT doc_id, source, {_sql_strip('text')} AS text, {_sql_norm('text')} AS k
            FROM documents),
@@ -87,7 +92,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY doc_id) AS rn
       FROM n WHERE k <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rank
       FROM d WHERE rn = 1)
-SELECT * FROM r WHERE rank < {cap}"""
+SELECT * FROM r{last}"""
 
 
 @register("dedupe_cap", f"""
@@ -105,7 +110,7 @@ def _long_line_key(c) -> Column:
 
 
 @register("dedupe_keep_blank", f"""
-WITH base AS ({_sql_docs_ranked(5)}),
+WITH base AS ({_sql_docs_ranked(None)}),
 k AS (SELECT source, rank, doc_id,
              {_sql_norm(f"array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(l) >= {LONG_LINE}), chr(10))")} AS fk
       FROM base),
@@ -113,7 +118,7 @@ d2 AS (SELECT *, row_number() OVER (PARTITION BY source, fk ORDER BY rank) AS rn
 SELECT source, CAST(rank AS INTEGER) AS rank, doc_id, fk = '' AS blank_key
 FROM d2 WHERE fk = '' OR rn2 = 1""")
 def q_dedupe_keep_blank(spark, sf):
-    r = _docs_ranked(spark, sf, 5).withColumn("fk", _long_line_key(F.col("text")))
+    r = _docs_ranked(spark, sf, None).withColumn("fk", _long_line_key(F.col("text")))
     out = sl.dedupe_first(r, "source", "fk", "rank", keep_blank=True)
     return out.select("source", "rank", "doc_id", (F.col("fk") == "").alias("blank_key"))
 
@@ -142,12 +147,11 @@ def q_best_of_orders(spark, sf):
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-SAMPLES = 6
 
 
 def _line_candidates(spark, sf):
     li = table(spark, sf, "lineitem")
-    cand = sl.number_rows(li, "l_orderkey", LINE_ORDER, "rank", limit=SAMPLES)
+    cand = sl.number_rows(li, "l_orderkey", LINE_ORDER, "rank")
     keys = [(F.col("l_returnflag") == "N").desc(), F.col("l_quantity").desc(),
             F.col("l_discount").asc(), (F.col("l_linestatus") == "F").desc(),
             F.col("rank").asc()]
@@ -157,10 +161,9 @@ def _line_candidates(spark, sf):
 _SQL_LINE_CAND = f"""
 cand AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY
            {', '.join(LINE_ORDER)}) - 1 AS rank FROM lineitem),
-capped AS (SELECT * FROM cand WHERE rank < {SAMPLES}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY
              (l_returnflag = 'N') DESC, l_quantity DESC, l_discount ASC,
-             (l_linestatus = 'F') DESC, rank ASC) AS order_no FROM capped)"""
+             (l_linestatus = 'F') DESC, rank ASC) AS order_no FROM cand)"""
 
 
 @register("all_and_best", f"""
@@ -560,11 +563,10 @@ def q_rules_codes(spark, sf):
                                         F.col("o_custkey") == F.col("c_custkey"))
     formula, sg, m, k = _order_fields()
     t = o.select(k.alias("o_orderkey"), formula.alias("f"), sg.alias("sg"), m.alias("m"))
-    core = rl.check_scaffold("m", "f", "sg", expect_full=False)
-    full = rl.check_scaffold("m", "f", "sg", expect_full=True)
-    return t.select("o_orderkey", core["valid"].alias("valid_core"),
-                    F.array_join(core["errors"], "|").alias("codes_core"),
-                    F.array_join(full["errors"], "|").alias("codes_full"))
+    t = rl.with_scaffold_checks(t, "m", "f", "sg", core="core", full="full")
+    return t.select("o_orderkey", F.col("core.valid").alias("valid_core"),
+                    F.array_join("core.errors", "|").alias("codes_core"),
+                    F.array_join("full.errors", "|").alias("codes_full"))
 
 
 # --------------------------------------------------------------- J1 D5 W6 F7 J4
@@ -634,14 +636,27 @@ def q_ladder_hints(spark, sf):
 _CONST_HINT = "  Use the cubic rock-salt prototype.  "
 
 
-@register("hint_override", f"""
-SELECT p_partkey, {_sql_lit(_CONST_HINT.strip())} AS hints_const, '' AS hints_none
-FROM part""")
+@register("hint_override", _SQL_LADDER + f""",
+b AS (
+  SELECT row_id, '<PROTOTYPE_HINTS_V4>' || chr(10)
+    || string_agg('[hint_' || CAST(hint_no AS VARCHAR) || ']' || chr(10) || val, chr(10) ORDER BY hint_no)
+    || chr(10) || '</PROTOTYPE_HINTS_V4>' AS hints
+  FROM h WHERE hint_no < 3 GROUP BY row_id)
+SELECT p_partkey, {_sql_lit(_CONST_HINT.strip())} AS hints_const, '' AS hints_none,
+       CASE WHEN p_partkey % 3 = 0 THEN '' ELSE hints END AS hints_index
+FROM part JOIN b ON p_partkey = row_id""")
 def q_hint_override(spark, sf):
+    """A constant text wins over index blocks; blocks alone; a request without
+    blocks; neither."""
     from cribra.operators.lookup import attach_hints
     p = table(spark, sf, "part").select("p_partkey")
-    both = attach_hints(p, "p_partkey", hint_text=_CONST_HINT, name="hints_const")
-    return attach_hints(both, "p_partkey", name="hints_none")
+    blocks = q_ladder_hints(spark, sf).filter(F.col("p_partkey") % 3 != 0)
+    out = p
+    for name, text, b in (("hints_const", _CONST_HINT, blocks), ("hints_index", None, blocks),
+                          ("hints_none", None, None)):
+        named = None if b is None else b.withColumnRenamed("hints", name)
+        out = attach_hints(out, "p_partkey", hint_text=text, blocks=named, name=name)
+    return out
 
 
 @register("index_json", _SQL_LADDER.split("req AS")[0].rstrip().rstrip(",") + """
@@ -649,23 +664,18 @@ SELECT 'level' || CAST(level_no AS VARCHAR) AS level, key, count(*) AS n_rows,
        count(DISTINCT val) AS n_distinct, arg_min(val, pos) AS first_val
 FROM idx GROUP BY level_no, key""")
 def q_index_json(spark, sf):
-    """The part index written as JSON object documents (one JSON object per
-    line, each holding whole lists for a group of keys) to the session's
-    checkpoint folder, then read back with the index reader."""
-    import uuid
-
+    """The part index written as JSON object documents (one line per list) to
+    the shared folder, then read back with the index reader."""
     from cribra.operators.lookup import read_index, row_text
-    from cribra.session import checkpoint_dir
+    from cribra.session import shared_path
 
     idx = _part_index(table(spark, sf, "part"))
     lists = (idx.groupBy("level", "key")
                 .agg(F.array_sort(F.collect_list(F.struct("pos", F.to_json("row").alias("j"))))
                      .alias("rows"))
                 .select("level", "key", F.transform("rows", lambda r: r["j"]).alias("rows")))
-    docs = (lists.groupBy("level", F.pmod(F.hash("key"), F.lit(64)).alias("bucket"))
-                 .agg(F.map_from_entries(F.collect_list(F.struct("key", "rows"))).alias("keys"))
-                 .select(F.to_json(F.create_map("level", "keys")).alias("value")))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/index_{uuid.uuid4().hex}"
+    docs = lists.select(F.to_json(F.create_map("level", F.create_map("key", "rows"))).alias("value"))
+    path = shared_path(spark, "index")
     docs.write.text(path)
     back = read_index(spark, path, layout="lines")
     t = back.select("level", "key", "pos", row_text(F.col("row")).alias("val"))
@@ -865,17 +875,12 @@ SELECT o_orderkey, coalesce(n, 0) AS n_candidates,
 FROM orders LEFT JOIN c ON o_orderkey = l_orderkey""")
 def q_left_outcome(spark, sf):
     o = table(spark, sf, "orders")
-    work = o.filter(F.col("o_orderpriority") != "5-LOW")          # P18: skip before the join
     cands = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    done = (work.join(cands, work.o_orderkey == cands.l_orderkey, "left")
-                .select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_candidates"),
-                        F.when(F.col("n").isNull(), F.lit("generation_failed"))
-                         .otherwise(F.lit("selected")).alias("outcome")))
-    skipped = o.filter(F.col("o_orderpriority") == "5-LOW").select(
-        "o_orderkey", F.lit(0).cast("bigint").alias("n_candidates"), F.lit("skipped").alias("outcome"))
-    skipped_n = skipped.join(cands, skipped.o_orderkey == cands.l_orderkey, "left").select(
-        "o_orderkey", F.coalesce("n", F.lit(0)).alias("n_candidates"), "outcome")
-    return done.unionByName(skipped_n)                              # D6
+    return o.join(cands, o.o_orderkey == cands.l_orderkey, "left").select(
+        "o_orderkey", F.coalesce("n", F.lit(0)).alias("n_candidates"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("skipped"))
+         .when(F.col("n").isNull(), F.lit("generation_failed"))
+         .otherwise(F.lit("selected")).alias("outcome"))
 
 
 # --------------------------------------------------------------- S1 + S4 round trip
@@ -895,20 +900,19 @@ SELECT CAST(p_partkey AS VARCHAR) AS row_id, p_brand AS material_id,
        WHEN p_partkey % 5 = 1 THEN p_name || chr(10) || 'second, line'
        WHEN p_partkey % 5 = 2 THEN '  ' || p_name || '\\n'
        WHEN p_partkey % 5 = 3 THEN '' ELSE p_name END AS pretty_formula,
-  CAST(p_size AS VARCHAR) AS space_group
+  CAST(p_size AS VARCHAR) AS space_group, row_number() OVER (ORDER BY p_partkey) - 1 AS line_no
 FROM part""")
 def q_csv_roundtrip(spark, sf):
-    """S4 then S1: values with quotes, newlines, commas, backslashes, leading
-    blanks and empty text read back equal."""
-    import uuid
-
-    from cribra.session import checkpoint_dir
+    """S4 then S1: values with quotes, newlines, commas, backslashes, leading blanks
+    and empty text read back equal; ``line_no`` over the written files is the order
+    they were written in (L2)."""
+    from cribra.session import shared_path
     from cribra.sources.io import read_requests, write_results
     p = table(spark, sf, "part").select(
         F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("material_id"),
         _tricky_text().alias("pretty_formula"), F.col("p_size").alias("space_group"))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/results_{uuid.uuid4().hex}"
+    path = shared_path(spark, "results")
     cols = ["row_id", "material_id", "pretty_formula", "space_group"]
     write_results(p, path, cols)
     back = read_requests(spark, path, cols, ordinal="line_no")
-    return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols])
+    return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols], "line_no")

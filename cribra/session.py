@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
@@ -34,19 +35,35 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cutting lineage, read from ``spark.checkpoint.dir``.
+    """Shared folder for intermediate tables, read from ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local runs and tests) a fresh scratch folder
-    is created and registered; a cluster always supplies its own shared path.
+    Where it is unset a local master, whose driver and executors are one process,
+    gets a scratch folder; a cluster must name a folder that all executors share.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="cribra-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder: application, name and a uuid."""
+    return (f"{checkpoint_dir(spark).rstrip('/')}/cribra/{spark.sparkContext.applicationId}/"
+            f"{name}-{uuid.uuid4().hex}")
+
+
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "cribra") -> SparkSession:
     """Local session for tests and the bench (UI off, no extra servers)."""

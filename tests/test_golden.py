@@ -460,3 +460,111 @@ def test_f11_long_and_overflowing(spark):
     assert rows[0].d["n_listed_sites"] == "19999999998" and rows[1].d is None
     over = F.create_map(F.lit("output_Z_raw"), F.lit(big))
     assert df.select(ps.derive_full_fields(over, F.lit("Na2Cl3")).alias("d")).first().d is None
+
+
+# ---------------------------------------------------------------- generators, order, strict forms
+
+def _factory(tag):
+    def factory():
+        def gen(prompts, n):
+            if any("boom" in p for p in prompts):
+                raise RuntimeError("model failed")
+            if any("short" in p for p in prompts):
+                return [[tag]]
+            return [[f"{tag}:{p}{i}" for i in range(n)] for p in prompts]
+        return gen
+    return factory
+
+
+def test_generators_of_one_name_do_not_meet(spark):
+    from cribra.operators.generate import generate
+    df = spark.createDataFrame([(0, "p")], "row_id long, prompt string").coalesce(1)
+    got = [generate(df, _factory(t), 1).first()["response"] for t in "ABC"]
+    assert got == ["A:p0", "B:p0", "C:p0"]
+
+
+def test_a_failing_prompt_fails_alone(spark):
+    from cribra.functions.text import token_budget_error
+    from cribra.operators.generate import generate
+    rows = [(0, "x"), (1, "boom"), (2, "y"), (3, "short"), (4, "z" * 99)]
+    df = spark.createDataFrame(rows, "row_id long, prompt string").coalesce(1)
+    out = generate(df, _factory("A"), 2, partition=False,
+                   prompt_error=token_budget_error(F.length("prompt"), F.lit(100))).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["row_id"], []).append((r["response"], r["error"]))
+    assert len(by[0]) == len(by[2]) == 2 and by[1] == [(None, "RuntimeError: model failed")]
+    assert by[3] == [("A", None)]  # one list for one prompt is what was asked for
+    assert by[4] == [(None, "prompt_too_long")]
+    req = spark.createDataFrame([(i, "m", "NaCl", 1) for i in range(5)],
+                                "row_id long, material_id string, pretty_formula string, space_group int")
+    res = {r["row_id"]: r["scaffold_errors"] for r in jobs.scaffold_job(req, generate(
+        df, _factory("A"), 2, partition=False), 2).collect()}
+    assert res[1] == '["generation_failed", "generation_failed:RuntimeError: model failed"]'
+
+
+def test_rows_of_many_files_are_numbered_in_file_order(spark, tmp_path):
+    from cribra.sources.io import read_requests, write_results
+    for name, n in (("a", 2), ("b", 3000), ("c", 50)):
+        lines = "".join(f"{name}{i}\n" for i in range(n))
+        (tmp_path / f"{name}.csv").write_text("id\n" + lines)
+    back = read_requests(spark, str(tmp_path), ["id"])
+    got = [r["id"] for r in back.orderBy("row_id").collect()]
+    assert got == [f"{x}{i}" for x, n in (("a", 2), ("b", 3000), ("c", 50)) for i in range(n)]
+    assert back.agg(F.max("row_id")).first()[0] == 3051
+    df = spark.range(999, -1, -1, 7).select(F.col("id").alias("row_id"))
+    write_results(df, str(tmp_path / "one"), ["row_id"], single_file=True)
+    part = [p for p in (tmp_path / "one").iterdir() if p.name.endswith(".csv")]
+    assert part[0].read_text().split() == ["row_id"] + [str(i) for i in range(1000)] and len(part) == 1
+
+
+def test_best_and_all_starts_from_the_requests(spark):
+    cands = spark.createDataFrame([(0, 1, 5, False), (0, 2, 6, True)],
+                                  "row_id long, order_no int, rank int, valid_cif boolean")
+    req = spark.createDataFrame([(0,), (1,)], "row_id long")
+    out = jobs.best_and_all(cands, ["rank", "valid_cif"], False, req, strict=True).orderBy("row_id").collect()
+    assert [r["error"] for r in out] == ["no_valid_cif_candidate"] * 2
+    assert out[0]["best"]["rank"] == 5 and out[1]["best"] is None and out[1]["all"] == []
+    with pytest.raises(Exception, match="No candidate was generated"):
+        jobs.best_and_all(cands, ["rank"], True, req).collect()
+
+
+def test_truncated_index_fails(spark, tmp_path):
+    (tmp_path / "i.json").write_text('{"level1": {"k": [{"scaffold_full"')
+    with pytest.raises(Exception, match="must be a JSON object"):
+        lk.read_index(spark, str(tmp_path / "i.json")).collect()
+
+
+def test_generated_records_can_be_valid(spark, tmp_path):
+    from cribra.plans.batch import run_crystal_batch, run_scaffold_batch
+    text = CIF
+
+    def factory():
+        return lambda prompts, n: [[text] * n for _ in prompts]
+
+    inp = tmp_path / "in.csv"
+    with open(inp, "w", newline="", encoding="utf-8") as fh:
+        w = csv.writer(fh)
+        w.writerow(["material_id", "pretty_formula", "space_group", "scaffold_full"])
+        w.writerow(["mp-1", "NaCl", "225", scaffold_text()])
+    labelers = {"metric_family": lambda r: F.lit("M1"), "stack_family": lambda r: F.lit("NO_LAYER"),
+                "position_family": lambda r: F.when(F.size(r["sites"]) == 8, "GENERAL_DOMINANT")}
+    run = lambda name, **kw: run_crystal_batch(
+        spark, str(inp), str(tmp_path / name), str(tmp_path / "cif"), factory=factory, strict=True, **kw)
+    assert run("a", labelers=labelers)["accepted"] == 1
+    assert run("b")["accepted"] == 0
+    empty = tmp_path / "empty.csv"
+    empty.write_text("material_id,pretty_formula,space_group\n")
+    with pytest.raises(ValueError, match="No rows"):
+        run_scaffold_batch(spark, str(empty), str(tmp_path / "c"), factory=factory)
+
+
+def test_zero_lattice_and_compile_failure(spark):
+    c = crystal_candidates(spark, scaffold_text(), [CIF.replace("_cell_length_a 5.64", "_cell_length_a 0")])[0]
+    assert "zero_lattice" in c["verify_errors"]
+    core = "\n".join(f"{k}={v}" for k, v in FULL.items() if k in rl.REQUIRED_CORE)
+    core = core.replace(f"output_Z_raw={FULL['output_Z_raw']}", "output_Z_raw=9223372036854775807")
+    cands = spark.createDataFrame([(0, f"{jobs.SCAFFOLD_BEGIN}\n{core}\n{jobs.SCAFFOLD_END}", "NaCl", 225)],
+                                  "row_id long, response string, pretty_formula string, space_group int")
+    got = jobs.compile_scaffolds(cands).first()["scaffold_errors"]
+    assert got == ["compile_full_failed:bad_formula_or_Z"]
