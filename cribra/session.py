@@ -20,9 +20,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # the rule and parser expressions are wide; inferring constraints over all
-    # their aliases costs optimizer memory without enabling any pushdown
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -76,7 +73,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.driver.memory", os.environ.get("CRIBRA_DRIVER_MEMORY", "16g"))
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.constraintPropagation.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
