@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
+    "op6_near_dups": near_dups.NEAR_SQL,
     "op8_chat_format": chat.CHAT_SQL,
     "op9_embedding_near_dups": cover_tree.LINKS_SQL,
 }

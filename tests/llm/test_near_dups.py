@@ -107,3 +107,10 @@ def test_empty_table_null_ids_repeated_rows(make):
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept)
                  for r in nd.near_duplicates(make(rows, SCHEMA)).collect())
     assert got == [(0, 0, True), (7, 7, True), (7, 7, True), (9, 7, False), (9, 9, True)]
+
+
+def test_query_equals_sql(spark, sf):
+    from oracle import compare
+
+    res = compare(spark, "op6_near_dups", sf)
+    assert res["ok"], res
