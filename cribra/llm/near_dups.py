@@ -33,6 +33,8 @@ SLOTS, BITS, CHUNK, ERRORS = 65, 16, 5, 1
 #: Signatures may differ in this many slots more than the guarantee before a pair
 #: that met anyway is given up without comparing its sets.
 SLACK = 7
+#: Hash slots of doc_id (numbers in one broadcast table at most).
+ID_SLOTS = 1 << 20
 #: Classes of a block, and shingles it should hold on average.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 20
 
@@ -178,9 +180,15 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``rep, s``: the full shingle sets of the classes ``wanted(rep, digest)``."""
-    texts = docs.select("doc_id", "text").join(
-        wanted.select(F.col("rep").alias("doc_id"), "digest"), "doc_id")
+    """``rep, s``: the full shingle sets of the classes ``wanted(rep, digest)``.
+
+    Most documents are not wanted: those whose hash slot nobody asks for go before
+    their texts are shuffled.  At most ID_SLOTS slots are broadcast.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).alias("slot")
+    texts = docs.select("doc_id", "text", slot("doc_id")) \
+        .join(F.broadcast(wanted.select(slot("rep")).distinct()), "slot", "left_semi") \
+        .join(wanted.select(F.col("rep").alias("doc_id"), "digest"), "doc_id")
 
     def run(batches):
         for batch in batches:
