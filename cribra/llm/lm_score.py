@@ -6,9 +6,10 @@ target's total, so that neither is favoured for its size.  A document's score is
 mean over its tokens of the target's loss minus the background's: the lower, the
 more the document is like the target.
 
-All documents are counted.  Texts are dealt into chunks of about CHUNK_CHARS.  Each
-chunk counts its own n-grams first; the counts meet in one row per n-gram, get their
-losses by joins, and go back to the chunks that asked for them.  No model is ever
+All documents are counted.  Texts are dealt into chunks of about CHUNK_CHARS by a hash
+of doc_id.  A chunk counts its own n-grams first, in one group; the counts meet in one
+row per n-gram, get their losses by joins, and go back to the chunks that asked for
+them.  No model is ever
 held whole, so it may grow with the corpus.
 """
 
@@ -26,7 +27,7 @@ ORDER, CHUNK_CHARS = 4, 8_000_000
 #: Tokens' worth of belief in the next lower order.
 PRIOR = 4.0
 #: Positions handled at a time.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,30 +63,30 @@ def _encoded(column) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in column.to_pylist()]
 
 
-def _count(docs: DataFrame, order: int) -> DataFrame:
-    """``chunk, gram, t, b``: n-grams of target and of all documents, as far as one
-    batch counts them."""
-    def run(batches):
-        for batch in batches:
-            chunk = batch.column(0).to_numpy()
-            texts, target = _encoded(batch.column(1)), np.array(batch.column(2).to_pylist(), bool)
-            for c in np.unique(chunk):
-                rows = np.flatnonzero(chunk == c)
-                parts = []
-                for lo, hi in _slices([texts[i] for i in rows]):
-                    own = rows[lo:hi]
-                    gram, ends = _grams([texts[i] for i in own], order)
-                    key, inv, n = np.unique(gram, return_inverse=True, return_counts=True)
-                    hit = np.repeat(target[own], np.diff(ends, prepend=0))
-                    parts.append((key, np.bincount(inv[hit], minlength=len(key)), n))
-                key, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                t, b = (np.bincount(inv, np.concatenate([p[k] for p in parts]), len(key)).astype(np.int64)
-                        for k in (1, 2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), c)), pa.array(key), pa.array(t), pa.array(b)],
-                    ["chunk", "gram", "t", "b"])
-
-    return docs.select("chunk", "text", "target").mapInArrow(run, "chunk long, gram long, t long, b long")
+def _count(docs: DataFrame, ids: DataFrame, order: int) -> DataFrame:
+    """``chunk, gram, t, b``: a chunk's n-grams in target and in all documents."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = _encoded(left["text"])
+        target = np.isin(left["doc_id"].fill_null(0).to_numpy(), right["doc_id"].to_numpy())
+        target &= left["doc_id"].is_valid().to_numpy()
+        key = np.zeros(0, np.int64)
+        sums = np.zeros((2, 0), np.int64)
+        for lo, hi in _slices(texts):
+            gram, ends = _grams(texts[lo:hi], order)
+            own, inv, n = np.unique(gram, return_inverse=True, return_counts=True)
+            hit = np.repeat(target[lo:hi], np.diff(ends, prepend=0))
+            t = np.bincount(inv[hit], minlength=len(own))
+            merged = np.union1d(key, own)
+            total = np.zeros((2, len(merged)), np.int64)
+            total[:, np.searchsorted(merged, key)] = sums
+            total[:, np.searchsorted(merged, own)] += np.stack([t, n])
+            key, sums = merged, total
+        chunk = left["chunk"][0].as_py() if left.num_rows else 0
+        return pa.table({"chunk": np.full(len(key), chunk, np.int64), "gram": key,
+                         "t": sums[0], "b": sums[1]})
+
+    return docs.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(
+        run, "chunk long, gram long, t long, b long")
 
 
 def losses(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
@@ -129,13 +130,12 @@ def score(docs: DataFrame, target_ids: DataFrame, order: int = ORDER, prior: flo
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-chars // CHUNK_CHARS))
-    # rows without doc_id go by their text; a chunk is one shuffle partition's rows
-    key = F.coalesce("doc_id", F.xxhash64("text"))
-    d = docs.select("doc_id", "text", F.pmod(F.hash(key), F.lit(chunks)).cast("long").alias("chunk"))
-    ids = target_ids.select("doc_id").distinct().withColumn("hit", F.lit(True))
-    labelled = d.repartition(int(chunks), "doc_id").join(ids, "doc_id", "left") \
-                .withColumn("target", F.coalesce("hit", F.lit(False)))
-    counts = persist_shared(_count(labelled, order), "grams")
+    chunk = lambda key: F.pmod(F.hash(key), F.lit(chunks)).cast("long").alias("chunk")
+    # rows without doc_id go by their text
+    d = docs.select("doc_id", "text", chunk(F.coalesce("doc_id", F.xxhash64("text"))))
+    ids = target_ids.filter("doc_id IS NOT NULL").select("doc_id").distinct() \
+                    .select("doc_id", chunk(F.col("doc_id")))
+    counts = persist_shared(_count(d, ids, order), "grams")
     table = losses(counts.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), order, prior)
     asked = counts.select("chunk", "gram").join(persist_shared(table, "losses"), "gram") \
                   .select("chunk", "gram", F.col("loss_t").cast("float"), F.col("loss_b").cast("float"))
