@@ -79,3 +79,38 @@ def test_run_and_empty_table(spark, sf, stages, tmp_path):
     empty = str(tmp_path / "documents.parquet")
     stages[0].limit(0).write.parquet(empty)
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark, make, monkeypatch):
+    from cribra.llm import lang_id
+
+    monkeypatch.setattr(lang_id, "STEPS", 60)
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, copies int, row string, "
+              "score double, p string, digest string, slot int, component string, ids string")
+    extra = (7, "r", 0.5, "p", "d", 1, "c", "i")
+    text = "the quick brown fox jumps over the lazy dog while {} cats look on from the old stone wall"
+    rows = [(i, text.format(i % 7) + f" number {i} " + "and so on " * (i % 5), "en", f"s{i % 3}", None, *extra)
+            for i in range(30)]
+    rows += [(100, None, "en", "s0", 3, *extra), (101, "", None, None, 0, *extra), (102, "12 34 !!", "en", "s1", 8, *extra),
+             (None, "a text without an id that says something of its own", "en", None, 1, *extra),
+             (103, "no language and no source are given for this one here", None, None, None, *extra),
+             (1, rows[1][1], "en", "s1", None, *extra), (104, "long words follow " * 20_000, "en", "s2", 5, *extra),
+             (105, 'the key is token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" keep it safe', "en", "s2", 77, *extra)]
+    long = " ".join(f"word{i}" for i in range(80))
+    rows += [(200 + i, f"{long} end{i}", "en", "s0", 1, *extra) for i in range(3)]
+    docs = make(rows, schema)
+    seen = []
+    for name, stage in cp.STAGES[:-1]:
+        docs = persist_shared(stage(spark, docs, ""), "odd")
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        seen.append({r.doc_id: r for r in docs.collect()})
+    language, near, secret, mixed = seen
+    assert language.keys() == {r[0] for r in rows} - {100, 101, 102}
+    named = {(i, r.text) for i, r in language.items() if i is not None}
+    want = {i for i, (_, _, kept) in brute(sorted(named), 5, 80).items() if kept}
+    assert near.keys() == want | {None} and 200 in want and not want & {201, 202}
+    assert secret[105].text == f'the key is token = "{secrets.MASK}" keep it safe'
+    assert secret[105].n_chars == len(secret[105].text) and secret[104].n_chars == 5
+    assert mixed.keys() <= secret.keys() and all(tuple(r)[5:] == extra for r in mixed.values())
+    ids = cp.STAGES[-1][1](spark, docs, "").collect()
+    assert len(ids) == docs.count() and all(r.n_tokens == len(r.ids) for r in ids)
