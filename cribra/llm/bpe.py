@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Entries of the part table of one worker; it is emptied when it gets larger.
-PART_TABLE = 400_000
+PART_TABLE = 150_000
 
 # Unicode White_Space, which the split pattern's \s stands for.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

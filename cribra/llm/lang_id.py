@@ -24,7 +24,9 @@ HIDDEN, STEPS, BATCH, RATE = 16, 1500, 256, 0.01
 #: A longer word is read in pieces of so many bytes.
 PIECE = 48
 #: Distinct words that a worker remembers; code points it splits at a time.
-WORD_TABLE, CHUNK_CHARS = 250_000, 2_000_000
+WORD_TABLE, CHUNK_CHARS = 100_000, 1_000_000
+#: Bytes read at a time: bounds the network's states, however long the words are.
+POSITIONS = 1 << 16
 
 
 class Network:
@@ -200,8 +202,9 @@ class Reader:
             by_length.setdefault(len(p), []).append((i, p))
         new = np.zeros((len(words), len(self.langs) + 1), np.float32)
         for length, group in by_length.items():
-            for at in range(0, len(group), 16384):
-                part = group[at:at + 16384]
+            size = max(1, POSITIONS // length)
+            for at in range(0, len(group), size):
+                part = group[at:at + size]
                 text = np.frombuffer(b"".join([p for _, p in part]), np.uint8).reshape(-1, length)
                 np.add.at(new[:, :-1], [i for i, _ in part], self.net.label(text).sum(axis=0))
                 np.add.at(new[:, -1], [i for i, _ in part], length)
