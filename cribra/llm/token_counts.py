@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cribra.llm.bpe import _rank_bytes, codec
+from cribra.llm.common import persist_shared
 
 #: Lengths per block of the two-level running sums.
 BLOCK = 1024
@@ -50,7 +51,8 @@ def limits(hist: DataFrame) -> DataFrame:
     Running sums go in two levels (blocks of lengths, lengths inside a block), so
     no single task holds the histogram.
     """
-    h = hist.withColumn("block", F.floor(F.col("length") / F.lit(BLOCK))) \
+    # read twice below: texts must not be encoded twice
+    h = persist_shared(hist, "lengths").withColumn("block", F.floor(F.col("length") / F.lit(BLOCK))) \
             .withColumn("tokens", F.col("length") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     # one row per block of lengths: as many as the longest document has blocks
