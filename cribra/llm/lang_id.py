@@ -20,6 +20,9 @@ UNKNOWN = "und"
 #: Bound of the training sample: documents per language, code points of each (a
 #: window at a seeded place), and languages (the most frequent ones).
 DOCS_PER_LANG, WINDOW_CHARS, MAX_LANGS = 250, 4000, 200
+#: Rows a language needs to give some for calibration, how many it gives, and the
+#: words of the pieces that are read besides their whole texts.
+CALIBRATE_FROM, CALIBRATE_DOCS, FRAGMENTS = 20, 200, (1, 2, 4, 8, 16, 32)
 HIDDEN, STEPS, BATCH, RATE = 16, 1500, 256, 0.01
 #: A longer word is read in pieces of so many bytes.
 PIECE = 48
@@ -233,8 +236,9 @@ class Reader:
             out[full] = np.add.reduceat(self.rows[codes], starts[full], axis=0, dtype=np.float64)
         return out
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        lang, score = [], []
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, its probability, and that less the runner-up's (alone: that itself)."""
+        lang, score, margin = [], [], []
         at = 0
         while at < len(texts):
             end, size = at, 0
@@ -246,27 +250,30 @@ class Reader:
             prob = s[:, :-1] / np.maximum(1, s[:, -1:])
             lang += [self.langs[i] for i in prob.argmax(axis=1)]
             score += np.clip(prob.max(axis=1), 0.0, 1.0).tolist()
-        return lang, score
+            two = np.sort(prob, axis=1)[:, -2:]
+            margin += np.clip(two[:, -1] - (two[:, 0] if two.shape[1] > 1 else 0.0), 0.0, 1.0).tolist()
+        return lang, score, margin
 
 
 def predict(docs: DataFrame, model: tuple[Network | None, list[str]]) -> Column:
-    """Column ``struct<lang string, score double>`` for column ``text`` of ``docs``.
+    """Column ``struct<lang string, score double, margin double>`` for column ``text``
+    of ``docs``; the margin is the score less the runner-up's.
 
     Null texts and texts without a letter give ``und`` and 0.0, as does a model that
     has learned nothing.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 100 kB, by HIDDEN and MAX_LANGS
 
-    @F.pandas_udf("struct<lang string, score double>")
+    @F.pandas_udf("struct<lang string, score double, margin double>")
     def label(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         net, langs = shared.value
         reader = Reader(net, langs) if langs else None
         for text, letters in batches:
-            out = pd.DataFrame({"lang": UNKNOWN, "score": 0.0}, index=text.index)
+            out = pd.DataFrame({"lang": UNKNOWN, "score": 0.0, "margin": 0.0}, index=text.index)
             real = letters.fillna(False).astype(bool)
             if reader is not None and real.any():
-                lang, score = reader.predict(text[real].tolist())
-                out.loc[real, "lang"], out.loc[real, "score"] = lang, score
+                for name, values in zip(out, reader.predict(text[real].tolist())):
+                    out.loc[real, name] = values
             yield out
 
     text = F.col("text")
@@ -286,11 +293,89 @@ def identify(docs: DataFrame) -> DataFrame:
                .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
+def _cut(margin: np.ndarray, right: np.ndarray) -> float:
+    """The margin at which keeping the texts from there on makes the fewest errors
+    (wrong texts kept, right ones dropped), halfway in the gap below the next text."""
+    order = np.argsort(margin, kind="stable")
+    right = right[order].astype(np.int64)
+    errors = np.concatenate([[0], np.cumsum(right)]) + np.concatenate([np.cumsum((1 - right)[::-1])[::-1], [0]])
+    edges = np.append(margin[order], np.inf)
+    edges[0] = 0.0
+    first = np.append(True, edges[1:] > edges[:-1])  # equal margins are kept or dropped together
+    at = int(np.where(first, errors, errors.max() + 1).argmin())
+    return 0.0 if at == 0 else float(min(1.0, (edges[at - 1] + edges[at]) / 2))
+
+
+def calibrate(model: tuple[Network | None, list[str]], sample: list[tuple[str, str]]) -> dict[str, float]:
+    """The least margin to accept per language, from ``(lang, text)`` rows that were
+    not trained on.
+
+    Whole texts and pieces of FRAGMENTS words count as told right or wrong; each text
+    joined to as many words of another language is one that cannot be told.  The cut
+    makes the fewest errors on these.  It never exceeds the least margin of a language's own whole
+    texts that are told right, so a language with close relatives keeps its texts.
+    """
+    net, langs = model
+    sample = [(lang, text) for lang, text in sorted(sample) if text.strip()]
+    if net is None or not sample:
+        return {}
+    texts, truth = [text for _, text in sample], [lang for lang, _ in sample]
+    rng = np.random.default_rng(0)
+    for lang, text in sample:
+        w = text.split()
+        for n in FRAGMENTS:
+            if n < len(w):
+                at = rng.integers(0, len(w) - n + 1)
+                texts.append(" ".join(w[at:at + n]))
+                truth.append(lang)
+    by_lang = {lang: [text.split() for x, text in sample if x == lang] for lang in sorted({x for x, _ in sample})}
+    for i, (lang, text) in enumerate(sample):
+        others = [x for x in by_lang if x != lang]
+        if others:
+            pool = by_lang[others[i % len(others)]]
+            w, v = text.split(), pool[i % len(pool)]
+            n = min(len(w), len(v))
+            texts.append(" ".join(w[:n] + v[:n]))
+            truth.append(UNKNOWN)
+    told, _, margin = Reader(net, langs).predict(texts)
+    margin, right = np.array(margin), np.array([a == b for a, b in zip(told, truth)])
+    cut = _cut(margin, right)
+    whole = [(lang, m) for lang, m, ok in zip(truth[:len(sample)], margin, right) if ok]
+    return {lang: min([cut, *(m for x, m in whole if x == lang)]) for lang in langs}
+
+
+def keep_identified(docs: DataFrame, least: float | None = None) -> DataFrame:
     """``docs`` without the rows whose language cannot be told: no text, no letter,
-    or a score under ``least``.  All columns stay."""
+    or a margin to the runner-up under its language's cut (``calibrate``).  All columns
+    stay.
+
+    Languages with at least CALIBRATE_FROM labelled rows that are not held out give a
+    tenth of them (by a hash of doc_id, at most about CALIBRATE_DOCS) to find the cuts;
+    the network does not train on these.  Without such a row, or with one language
+    only, there is nothing to compare and only texts without a letter go.  ``least``
+    asks for that score instead of the calibrated margin.
+    """
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(True))
-    model = fit(docs.select("doc_id", "text", "lang").filter(~out))
+    known = docs.select("doc_id", "text", "lang").filter(~out)
+    if least is not None:
+        model, enough = fit(known), F.col("p.score") >= least
+    else:
+        named = known.filter("text IS NOT NULL AND lang IS NOT NULL")
+        counts = named.groupBy("lang").count().filter(F.col("count") >= CALIBRATE_FROM)
+        apart = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0
+        named = named.join(F.broadcast(counts), "lang", "left")
+        model = fit(named.filter(~(apart & F.col("count").isNotNull())).select("doc_id", "text", "lang"))
+        place = F.pmod(F.xxhash64("doc_id", F.lit(2)),
+                       F.greatest(F.lit(1), F.length("text") - WINDOW_CHARS)).cast("int") + 1
+        sample = named.filter(apart & F.col("count").isNotNull()) \
+            .filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
+                    < F.lit(10.0 * CALIBRATE_DOCS) / F.col("count") * (1 << 30)) \
+            .filter(F.col("text").rlike(r"\p{L}")) \
+            .select("lang", F.substr("text", place, F.lit(WINDOW_CHARS)).alias("text")).collect()
+        cuts = calibrate(model, [(r["lang"], r["text"]) for r in sample])
+        cut = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]) if cuts else None
+        enough = F.lit(True) if cut is None else \
+            F.col("p.margin") >= F.coalesce(F.try_element_at(cut, F.col("p.lang")), F.lit(0.0))
     rows = docs.select(F.struct("*").alias("row"), F.col("text"))
     return rows.select("row", predict(docs, model).alias("p")) \
-               .filter((F.col("p.lang") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")
+               .filter((F.col("p.lang") != UNKNOWN) & enough).select("row.*")

@@ -73,3 +73,28 @@ def test_odd_rows(make, monkeypatch):
     assert L.identify(df.limit(0)).count() == 0
     unlabelled = L.identify(df.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}
+
+
+def _lexicon(rng, shared, n):
+    """Words of a language: a tenth its own, the rest shared with its relatives."""
+    own = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n // 10)]
+    return own * 3 + shared[:n - len(own) * 3]
+
+
+@pytest.mark.parametrize("n_langs", [2, 4, 30])
+def test_cut_follows_the_learned_languages(make, n_langs):
+    rng = np.random.default_rng(n_langs)
+    # two and four languages are far apart; thirty share most of their words
+    shared = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(60)]
+    lex = [_lexicon(rng, shared, 60) if n_langs == 30 else
+           ["".join(chr(97 + 6 * (k % 4) + c) for c in rng.integers(0, 6, 6)) for _ in range(60)]
+           for k in range(n_langs)]
+    say = lambda k, n: " ".join(rng.choice(lex[k], n))
+    rows = [(k * 1000 + i, say(k, 120), f"l{k:02}", "", 0.0) for k in range(n_langs) for i in range(60)]
+    if n_langs < 30:  # nobody can tell these
+        rows += [(10 ** 6 + i, " ".join(w for ws in zip(*(rng.choice(lex[k], 40) for k in range(n_langs))) for w in ws),
+                  None, "mixed", 0.0) for i in range(20)]
+    df = make(rows, SCHEMA)
+    kept = [r.p for r in L.keep_identified(df).collect()]
+    assert kept.count("") >= 0.97 * 60 * n_langs
+    assert kept.count("mixed") <= 5
