@@ -7,10 +7,11 @@ mean over its tokens of the target's loss minus the background's: the lower, the
 more the document is like the target.
 
 All documents are counted.  Texts are dealt into chunks of about CHUNK_CHARS by a hash
-of doc_id.  A chunk counts its own n-grams first, in one group; the counts meet in one
-row per n-gram, get their losses by joins, and go back to the chunks that asked for
-them.  No model is ever
-held whole, so it may grow with the corpus.
+of doc_id.  A chunk counts its own n-grams first, in one group.  Orders up to SHORT get
+their losses by joins of one row per n-gram.  All longer orders of an n-gram share the
+SHORT - 1 bytes before its last one, so the chunks' counts meet once, in buckets by
+these bytes, get their losses there and go back to the chunks that asked for them.  No
+model is ever held whole, so it may grow with the corpus.
 """
 
 from __future__ import annotations
@@ -22,16 +23,20 @@ from pyspark.sql import functions as F
 
 from cribra.llm.common import persist_shared
 
-#: Bytes of an n-gram (at most 7), and code points of a chunk.
-ORDER, CHUNK_CHARS = 4, 8_000_000
+#: Bytes of an n-gram (at most 16, two keys of 8), and code points of a chunk.  15 bytes
+#: of context are two to three English words, and what is counted grows with the corpus.
+ORDER, CHUNK_CHARS = 16, 1_000_000
+#: Orders up to this one are counted by joins on one key; rows of a bucket of the others.
+SHORT, BUCKET_ROWS = 7, 1_000_000
 #: Tokens' worth of belief in the next lower order.
 PRIOR = 4.0
 #: Positions handled at a time.
 SLICE = 1_000_000
 
 
-def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte, as a number, and the end of each text.
+def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram that ends at each byte, as two numbers (bytes up to the ninth last,
+    last eight bytes), and the end of each text.
 
     Before a text stand ``order - 1`` zero bytes.
     """
@@ -41,10 +46,31 @@ def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     n = int(sizes.sum())
     # position of each text byte in ``raw``
     at = np.arange(n) + np.repeat((np.arange(len(texts)) + 1) * (order - 1), sizes)
-    out = np.zeros(n, np.int64)
+    out = np.zeros((2, n), np.int64)
     for j in range(order):
-        out |= raw[at - j].astype(np.int64) << (8 * j)
-    return out, np.cumsum(sizes)
+        out[int(j < 8)] |= raw[at - j].astype(np.int64) << (8 * (j % 8))
+    return out[0], out[1], np.cumsum(sizes)
+
+
+def _mixed(hi: np.ndarray, lo: np.ndarray, seed: int) -> np.ndarray:
+    """One number per n-gram."""
+    x = hi.astype(np.uint64) + np.uint64(2 * seed + 1)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * seed)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))) + lo.astype(np.uint64)
+
+
+def _index(hi: np.ndarray, lo: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """A seed that gives every n-gram a number of its own, the numbers in order, and a
+    row of each."""
+    seed = 0
+    while True:
+        key = _mixed(hi, lo, seed)
+        own, first, inv = np.unique(key, return_index=True, return_inverse=True)
+        if (hi[first][inv] == hi).all() and (lo[first][inv] == lo).all():
+            return seed, own, first
+        seed += 1
 
 
 def _slices(texts: list[bytes]):
@@ -64,32 +90,28 @@ def _encoded(column) -> list[bytes]:
 
 
 def _count(docs: DataFrame, ids: DataFrame, order: int) -> DataFrame:
-    """``chunk, gram, t, b``: a chunk's n-grams in target and in all documents."""
+    """``chunk, hi, lo, t, b``: a chunk's n-grams in target and in all documents."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = _encoded(left["text"])
         target = np.isin(left["doc_id"].fill_null(0).to_numpy(), right["doc_id"].to_numpy())
         target &= left["doc_id"].is_valid().to_numpy()
-        key = np.zeros(0, np.int64)
-        sums = np.zeros((2, 0), np.int64)
-        for lo, hi in _slices(texts):
-            gram, ends = _grams(texts[lo:hi], order)
-            own, inv, n = np.unique(gram, return_inverse=True, return_counts=True)
-            hit = np.repeat(target[lo:hi], np.diff(ends, prepend=0))
-            t = np.bincount(inv[hit], minlength=len(own))
-            merged = np.union1d(key, own)
-            total = np.zeros((2, len(merged)), np.int64)
-            total[:, np.searchsorted(merged, key)] = sums
-            total[:, np.searchsorted(merged, own)] += np.stack([t, n])
-            key, sums = merged, total
+        add = lambda parts: pa.concat_tables(parts).group_by(["hi", "lo"]) \
+            .aggregate([("t", "sum"), ("b", "sum")]).rename_columns(["hi", "lo", "t", "b"])
+        parts = [pa.table({k: np.zeros(0, np.int64) for k in ("hi", "lo", "t", "b")})]
+        for start, end in _slices(texts):
+            hi, lo, ends = _grams(texts[start:end], order)
+            hit = np.repeat(target[start:end], np.diff(ends, prepend=0)).astype(np.int64)
+            parts.append(add([pa.table({"hi": hi, "lo": lo, "t": hit, "b": np.ones(len(lo), np.int64)})]))
+        out = add(parts)
         chunk = left["chunk"][0].as_py() if left.num_rows else 0
-        return pa.table({"chunk": np.full(len(key), chunk, np.int64), "gram": key,
-                         "t": sums[0], "b": sums[1]})
+        return pa.table({"chunk": np.full(out.num_rows, chunk, np.int64),
+                         **{k: out[k] for k in ("hi", "lo", "t", "b")}})
 
     return docs.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(
-        run, "chunk long, gram long, t long, b long")
+        run, "chunk long, hi long, lo long, t long, b long")
 
 
-def losses(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
+def losses(counts: DataFrame, order: int = SHORT, prior: float = PRIOR) -> DataFrame:
     """``gram, loss_t, loss_b`` from ``gram, t, b`` (one row per n-gram).
 
     Order k believes its own counts as far as they go and ``prior`` tokens' worth of
@@ -118,6 +140,66 @@ def losses(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataF
                         (-F.log("qb")).alias("loss_b"))
 
 
+def _runs(keys: list[np.ndarray], order: int):
+    """Groups of rows with equal last k bytes, for k = SHORT + 1 .. order.
+
+    ``keys`` are the last eight bytes and those before, each with the newest byte in
+    the highest place.  Gives a function from k and a column to the column's group
+    sums, one per row.
+    """
+    rows = np.lexsort(keys[::-1])
+    near, far = (k[rows] for k in keys)
+    step = [near[1:] ^ near[:-1], far[1:] ^ far[:-1]]
+
+    def sums(k: int, column: np.ndarray) -> np.ndarray:
+        new = (step[0] >> np.uint64(8 * max(0, 8 - k))) != 0
+        if k > 8:
+            new |= (step[1] >> np.uint64(8 * (16 - k))) != 0
+        starts = np.flatnonzero(np.append(True, new))
+        out = np.empty(len(rows))
+        out[rows] = np.repeat(np.add.reduceat(column[rows], starts), np.diff(starts, append=len(rows)))
+        return out
+
+    return sums
+
+
+def long_losses(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
+    """``chunk, hi, lo, loss_t, loss_b`` of every row of ``counts(chunk, hi, lo, t, b)``
+    by the model of ``losses``, of any order up to 16."""
+    short = min(order, SHORT)
+    mask = (1 << (8 * short)) - 1
+    base = persist_shared(counts.groupBy(F.col("lo").bitwiseAND(F.lit(mask)).alias("gram"))
+                                .agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "short")
+    total = base.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    scale = (total["t"] or 0) / (total["b"] or 1)
+    buckets = max(1, -(-counts.count() // BUCKET_ROWS))
+    # the bytes that the n-grams of all longer orders and their contexts share
+    middle = lambda c: F.pmod(F.xxhash64(F.shiftrightunsigned(F.col(c), 8).bitwiseAND(F.lit(mask >> 8))),
+                              F.lit(buckets)).alias("bucket")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk, hi, lo, t, b = (left[c].to_numpy() for c in ("chunk", "hi", "lo", "t", "b"))
+        gram = right["gram"].to_numpy()
+        rows = np.argsort(gram)
+        at = rows[np.searchsorted(gram[rows], lo & mask)] if len(lo) else np.zeros(0, np.int64)
+        qt, qb = (np.exp(-right[c].to_numpy()[at]) for c in ("loss_t", "loss_b"))
+        if order > short and len(lo):
+            near, far = lo.view(np.uint64).byteswap(), hi.view(np.uint64).byteswap()
+            whole = _runs([near, far], order)
+            # contexts: the same without the last byte
+            before = _runs([near << np.uint64(8) | far >> np.uint64(56), far << np.uint64(8)], order)
+            for k in range(short + 1, order + 1):
+                qt = (whole(k, t) + prior * qt) / (before(k - 1, t) + prior)
+                qb = (whole(k, b) * scale + prior * qb) / (before(k - 1, b) * scale + prior)
+        return pa.table({"chunk": chunk, "hi": hi, "lo": lo, "loss_t": -np.log(qt).astype(np.float32),
+                         "loss_b": -np.log(qb).astype(np.float32)})
+
+    known = persist_shared(losses(base, short, prior), "losses")
+    return counts.select(middle("lo"), "chunk", "hi", "lo", "t", "b").groupBy("bucket").cogroup(
+        known.select(middle("gram"), "gram", "loss_t", "loss_b").groupBy("bucket")).applyInArrow(
+        run, "chunk long, hi long, lo long, loss_t float, loss_b float")
+
+
 def score(docs: DataFrame, target_ids: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of every row of
     ``docs(doc_id, text)``; the target is the documents whose id is in
@@ -128,6 +210,8 @@ def score(docs: DataFrame, target_ids: DataFrame, order: int = ORDER, prior: flo
     Repeated rows are counted and scored each; ids may repeat in ``target_ids``; other
     columns are ignored.
     """
+    if not 1 <= order <= 16:
+        raise ValueError(f"order {order} is not in 1 .. 16")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-chars // CHUNK_CHARS))
     chunk = lambda key: F.pmod(F.hash(key), F.lit(chunks)).cast("long").alias("chunk")
@@ -136,23 +220,20 @@ def score(docs: DataFrame, target_ids: DataFrame, order: int = ORDER, prior: flo
     ids = target_ids.filter("doc_id IS NOT NULL").select("doc_id").distinct() \
                     .select("doc_id", chunk(F.col("doc_id")))
     counts = persist_shared(_count(d, ids, order), "grams")
-    table = losses(counts.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), order, prior)
-    asked = counts.select("chunk", "gram").join(persist_shared(table, "losses"), "gram") \
-                  .select("chunk", "gram", F.col("loss_t").cast("float"), F.col("loss_b").cast("float"))
+    asked = long_losses(counts, order, prior)
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        gram, first = np.unique(right["gram"].to_numpy(), return_index=True)
-        loss = np.stack([right[c].to_numpy()[first] for c in ("loss_t", "loss_b")]).astype(np.float64) \
-            if len(first) else np.zeros((2, 0))
+        seed, own, first = _index(right["hi"].to_numpy(), right["lo"].to_numpy())
+        loss = [right[c].to_numpy()[first].astype(np.float64) for c in ("loss_t", "loss_b")]
         texts = _encoded(left["text"])
         size = np.array([len(t) for t in texts], np.int64)
         sums = np.zeros((2, len(texts)))
-        for lo, hi in _slices(texts):
-            g, ends = _grams(texts[lo:hi], order)
-            row = np.repeat(np.arange(hi - lo), np.diff(ends, prepend=0))
-            at = np.searchsorted(gram, g)
+        for start, end in _slices(texts):
+            hi, lo, ends = _grams(texts[start:end], order)
+            row = np.repeat(np.arange(end - start), np.diff(ends, prepend=0))
+            at = np.searchsorted(own, _mixed(hi, lo, seed))
             for k in (0, 1):
-                sums[k, lo:hi] = np.bincount(row, loss[k][at], hi - lo) if len(g) else 0
+                sums[k, start:end] = np.bincount(row, loss[k][at], end - start) if len(lo) else 0
         none = size == 0
         mean = sums / np.maximum(1, size)
         return pa.table({

@@ -76,3 +76,34 @@ def test_query(spark, sf):
     _same(some, good, rows)
     mean = lambda ids: sum(r.score for r in rows if r.doc_id in ids) / len(ids)
     assert mean(good) < mean(set(docs) - good)
+
+
+def test_shuffled_words_score_worse(make):
+    """Same spelling, other word order: only a context longer than a word can tell."""
+    rng = random.Random(3)
+    words = ["oooo" + "".join(rng.choice("abcdefgh") for _ in range(3)) + "oooo" for _ in range(12)]
+    after = {w: rng.sample(words, 2) for w in words}
+
+    def ordered():
+        out = [rng.choice(words)]
+        while len(out) < 150:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+    rows, texts = [], [ordered() for _ in range(80)]
+    for i, t in enumerate(texts):
+        rows.append((i, " ".join(t), 0, "", None))
+        rows.append((1000 + i, " ".join(rng.sample(t, len(t))), 0, "", None))
+    got = {r.doc_id: r.score for r in lm.score(make(rows, SCHEMA), make([(i,) for i in range(40)], "doc_id long")).collect()}
+    # documents 40.. are like the target but were not in it
+    assert max(got[i] for i in range(40, 80)) < min(got[1000 + i] for i in range(80)) - 0.1
+
+
+@pytest.mark.parametrize("order", [1, 4, 7, 8, 9])
+def test_other_orders(make, order):
+    rng = random.Random(order)
+    rows = [(i, "".join(rng.choice("abé") for _ in range(rng.randint(0, 60)))) for i in range(20)]
+    got = {r.doc_id: r for r in lm.score(make([(*r, 1, "x", None) for r in rows], SCHEMA),
+                                         make([(i,) for i in range(5)], "doc_id long"), order).collect()}
+    for (i, _), (n, t, b) in zip(rows, brute(rows, set(range(5)), order)):
+        assert got[i].n_tokens == n and (not n or (got[i].target_loss, got[i].background_loss)
+                                         == pytest.approx((t, b), abs=3e-4))
