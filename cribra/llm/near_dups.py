@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cribra.llm.common import ascii_lower, persist_shared, words
@@ -111,7 +111,7 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def _word_arrays(docs: DataFrame, *extra: str) -> DataFrame:
+def _word_arrays(docs: DataFrame, *extra: str | Column) -> DataFrame:
     """doc_id and the word hashes of the lower-cased text, made in the JVM."""
     return docs.select("doc_id", *extra,
                        F.transform(words(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w)).alias("w"))
@@ -132,18 +132,18 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sets = shingle_sets(*_lists(batch.column(1)), width)
+            sets = shingle_sets(*_lists(batch.column(2)), width)
             full = [s for s in sets if len(s)]
             sigs = iter(signatures(full))
             rows = [(_digest(s), next(sigs).tobytes()) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([r[0] for r in rows], pa.binary()),
                  pa.array([r[1] for r in rows], pa.binary())],
-                ["doc_id", "n_shingles", "digest", "sig"])
+                ["doc_id", "text_id", "n_shingles", "digest", "sig"])
 
-    return _word_arrays(docs).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return _word_arrays(docs, _text_id(F.col("text")).alias("text_id")).mapInArrow(
+        run, "doc_id long, text_id binary, n_shingles long, digest binary, sig binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -180,28 +180,29 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``rep, s``: the full shingle sets of the classes ``wanted(rep, digest)``.
+    """``rep, s``: the full shingle sets of the classes ``wanted(rep, first, digest)``;
+    ``first`` is a document of the class.
 
     Most documents are not wanted: those whose hash slot nobody asks for go before
     their texts are shuffled.  At most ID_SLOTS slots are broadcast.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).alias("slot")
     texts = docs.select("doc_id", "text", slot("doc_id")) \
-        .join(F.broadcast(wanted.select(slot("rep")).distinct()), "slot", "left_semi") \
-        .join(wanted.select(F.col("rep").alias("doc_id"), "digest"), "doc_id")
+        .join(F.broadcast(wanted.select(slot("first")).distinct()), "slot", "left_semi") \
+        .join(wanted.select(F.col("first").alias("doc_id"), "rep", "digest"), "doc_id")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = shingle_sets(*_lists(batch.column(2)), width)
+            found = shingle_sets(*_lists(batch.column(3)), width)
             # a repeated doc_id may carry other texts: keep the class's own
-            same = [_digest(s) == d for s, d in zip(found, batch.column(1).to_pylist())]
+            same = [_digest(s) == d for s, d in zip(found, batch.column(2).to_pylist())]
             out = pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "s"])
+                [batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "s"])
             yield out.filter(pa.array(same))
 
-    return _word_arrays(texts, "digest").mapInArrow(run, "rep long, s binary")
+    return _word_arrays(texts, "rep", "digest").mapInArrow(run, "rep long, s binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -303,13 +304,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Null, empty and blank texts have an empty set and link with nothing, as do rows
     without doc_id (component_id null, kept true).  Rows that repeat a doc_id are
-    the same document.  Other columns are ignored.
+    the same document, each decided by its own text.  Other columns are ignored.
     """
+    return _decided(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _text_id(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with ``text_id``, ``digest`` (null: no shingles) and the number
+    of the ``group``: two groups may have one smallest doc_id."""
     sketched = persist_shared(_sketches(docs, width), "sketches")
     named = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = persist_shared(
         named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("m"))
-             .select("digest", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig"), "classes")
+             # a document with several texts is first in several classes: number them
+             .select("digest", F.monotonically_increasing_id().alias("rep"),
+                     F.col("m.doc_id").alias("first"), "m.n_shingles", "m.sig"), "classes")
 
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"),
@@ -321,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = persist_shared(met.select("key", "rep").join(hubs, "key"), "buckets")
     cells = persist_shared(
         buckets.groupBy("rep").agg(F.max("hub").alias("hub")).select("rep", F.col("hub.rep").alias("cell"))
-               .join(classes.select("rep", "n_shingles", "digest").dropDuplicates(["rep"]), "rep"), "cells")
+               .join(classes.select("rep", "first", "n_shingles", "digest"), "rep"), "cells")
     sets = persist_shared(_full_sets(docs, cells, width).dropDuplicates(["rep"]), "sets")
 
     # every member of a bucket against its hub
@@ -355,24 +368,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                    .select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
     joined = components(inside.unionByName(across))
 
-    final = classes.select("digest", "rep").join(label("rep"), "rep", "left") \
+    final = classes.select("digest", "rep", "first").join(label("rep"), "rep", "left") \
         .withColumn("c", F.coalesce("c_rep", "rep")) \
         .join(joined.select(F.col("node").alias("c"), F.col("component").alias("c2")), "c", "left") \
-        .select("digest", F.coalesce("c2", "c").alias("component_id"))
-    found = named.join(final, "digest").select("doc_id", "n_shingles", "component_id")
+        .select("digest", "first", F.coalesce("c2", "c").alias("c"))
+    final = persist_shared(final, "final")
+    least = final.groupBy("c").agg(F.min("first").alias("component_id"))
+    final = final.join(least, "c").select("digest", "component_id", F.col("c").alias("group"))
+    found = named.join(final, "digest").select("doc_id", "text_id", "digest", "n_shingles", "component_id", "group")
     alone = sketched.filter("digest IS NULL OR doc_id IS NULL") \
-                    .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+                    .select("doc_id", "text_id", "digest", "n_shingles", F.col("doc_id").alias("component_id"),
+                            F.lit(None).cast("long").alias("group"))
     return found.unionByName(alone).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that ``near_duplicates`` does not keep.
+    """One row of ``docs`` for each group of near-duplicates, of the smallest doc_id.
 
-    All columns stay.  Rows without doc_id or text stay.
+    All columns stay.  Rows without doc_id or words stay.  Where a doc_id carries
+    several texts, each is dropped or kept by its own group; rows that repeat a doc_id
+    and its text stay once.
     """
-    gone = near_duplicates(docs, width, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = persist_shared(_decided(docs, width, percent).filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+                           .groupBy("group", "doc_id", "text_id").agg(F.count(F.lit(1)).alias("n")), "decided")
+    stay = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_id", "n")).alias("m")).select("m.*")
+    gone = found.join(stay, ["doc_id", "text_id"], "left_anti").select("doc_id", "text_id", F.lit(True).alias("gone"))
+    more = stay.filter("n > 1").select("doc_id", "text_id", F.lit(False).alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", _text_id(F.col("text")).alias("text_id")) \
+               .join(gone.unionByName(more), ["doc_id", "text_id"], "left")
+    turn = F.row_number().over(Window.partitionBy("doc_id", "text_id").orderBy(F.xxhash64("row")))
+    once = rows.filter("NOT gone").withColumn("turn", turn).filter("turn = 1")
+    return rows.filter("gone IS NULL").select("row.*").unionByName(once.select("row.*"))
 
 
 #: The same components in DuckDB, for 4-word shingles: all pairs that share a shingle.

@@ -109,6 +109,16 @@ def test_empty_table_null_ids_repeated_rows(make):
     assert got == [(0, 0, True), (7, 7, True), (7, 7, True), (9, 7, False), (9, 9, True)]
 
 
+def test_documents_of_several_texts(make):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(7, a, 0, "", 0), (7, a, 0, "", 0), (9, a, 0, "", 0), (9, "a text that only nine has", 0, "", 0),
+            (9, b, 0, "", 0), (9, a + " x", 0, "", 0), (11, b + " y", 0, "", 0), (12, None, 0, "", 0), (None, a, 0, "", 0)]
+    kept = [(r.doc_id, r[1]) for r in nd.drop_near_duplicates(make(rows, SCHEMA)).collect()]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(kept, key=key) == sorted([
+        (7, a), (9, "a text that only nine has"), (9, b), (12, None), (None, a)], key=key)
+
+
 def test_query_equals_sql(spark, sf):
     from oracle import compare
 
