@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def persist_shared(df: DataFrame, name: str) -> DataFrame:
+def persist_shared(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     Cuts the lineage without depending on an executor's own disk; the name is
@@ -59,5 +59,5 @@ def persist_shared(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cribra/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)

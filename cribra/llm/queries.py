@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cribra.llm import bpe, chat, cover_tree, fingerprints, lang_id, lm_score, mixing, near_dups, secrets, token_counts
+from cribra.llm import (bpe, chat, cover_tree, fingerprints, hard_negatives, lang_id, lm_score, merkle, mixing,
+                        near_dups, secrets, substrings, token_counts)
 from cribra.llm.common import RANKS, WEIGHTS, table
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +58,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_by_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_counts": op2_token_counts,
@@ -67,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_embedding_near_dups": op9_embedding_near_dups,
     "op10_lm_score": op10_lm_score,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -75,4 +93,7 @@ ORACLE: dict[str, str] = {
     "op6_near_dups": near_dups.NEAR_SQL,
     "op8_chat_format": chat.CHAT_SQL,
     "op9_embedding_near_dups": cover_tree.LINKS_SQL,
+    "op11_hard_negatives": hard_negatives.MINE_SQL,
+    "op12_substring_dedup": substrings.REPEATS_SQL,
+    "op13_merkle_manifest": merkle.MERKLE_SQL,
 }
