@@ -66,34 +66,43 @@ def render_kv(m, keys: list[str], begin: str | None = None, end: str | None = No
 
 
 # ------------------------------------------------------------ T2 crystal text
+#
+# The text is cut into tokens once (quoted values, text fields between lines that start
+# with ";", comments, bare words); line ends mean nothing else.  One letter per token
+# says what it is, and the tags and the site loop are found in that short string, so a
+# value may stand anywhere and a loop row is a run of as many values as there are headers.
 
 CELL_TAGS = ("_cell_length_a", "_cell_length_b", "_cell_length_c",
              "_cell_angle_alpha", "_cell_angle_beta", "_cell_angle_gamma")
+_TEXT_TAGS = ("_chemical_formula_structural", "_chemical_formula_sum", "_cell_formula_units_Z")
+_SITE_TAGS = ("_atom_site_type_symbol", "_atom_site_label", "_atom_site_fract_x",
+              "_atom_site_fract_y", "_atom_site_fract_z")
 _NUM = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)(?:\([0-9]+\))?"
-_SITE_TAGS = ("_atom_site_type_symbol", "_atom_site_fract_x", "_atom_site_fract_y",
-              "_atom_site_fract_z")
+_DARK = "[^" + WS_CLASS[1:]
+_TOKEN = "|".join((
+    r"(?<![^\r\n]);[\s\S]*?[\r\n];", r"(?<![^\r\n]);[\s\S]*",  # text field, and one without end
+    rf"'[^\r\n]*?'(?!{_DARK})", rf'"[^\r\n]*?"(?!{_DARK})', rf"#[^\r\n]*|{_DARK}+"))
+# D data block, S other block, L loop, H site tag, T other tag, V value
+_SITE_LOOP = "LH+"
 
 
-# what a line is to the site loop: its start, a header, any other end, or a row
-_LINE_KINDS = ((r"^[ \t]*loop_[ \t]*$", "L"), (r"^[ \t]*_atom_site_", "H"),
-               (r"^[ \t]*(?:_|loop_|data_|#)", "S"))
+def _tokens(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    return F.when(~text.contains("#"), found).otherwise(F.filter(found, lambda t: ~t.startswith("#")))
 
 
-def _entries(lines: Column) -> Column:
-    """``ARRAY<STRUCT<k, v>>`` of the tag lines: first word, and the rest stripped
-    with surrounding quotes removed."""
-    def entry(line):
-        v = strip_ws(F.regexp_extract(line, r"^[ \t]*_[^ \t]*(?:[ \t]+(.*))?$", 1))
-        return let(v, lambda x: F.struct(
-            F.regexp_extract(line, r"^[ \t]*(_[^ \t]*)", 1).alias("k"),
-            F.when(x.rlike(r"^(['\"]).*\1$"), F.regexp_extract(x, r"^(['\"])(.*)\1$", 2))
-             .otherwise(x).alias("v")))
-    return F.transform(F.filter(lines, lambda x: F.ltrim(x, F.lit(" \t")).startswith("_")), entry)
+def _kind(name: Column) -> Column:
+    return F.when(name.startswith("_"), F.when(
+        name.startswith("_atom_site_") & ~name.startswith("_atom_site_aniso_"), "H").otherwise("T")) \
+        .when(name == "loop_", "L").when(name.startswith("data_"), "D") \
+        .when(name.startswith("save_") | name.isin("global_", "stop_"), "S").otherwise("V")
 
 
-def _tag_value(entries: Column, tag: str) -> Column:
-    """Value of the first line with ``tag``; null when the tag is absent."""
-    return F.get(F.filter(entries, lambda e: e["k"] == tag), F.lit(0))["v"]
+def _value(token: Column) -> Column:
+    """A token without its quotes, or the stripped inside of a text field."""
+    inside = F.call_function("substr", token, F.lit(2), F.length(token) - 2)
+    return F.when(token.rlike(r"^(['\"])[\s\S]*\1$"), inside) \
+            .when(token.rlike(r"^;[\s\S]*[\r\n];$"), strip_ws(inside)).otherwise(token)
 
 
 def _num(v: Column) -> Column:
@@ -101,108 +110,110 @@ def _num(v: Column) -> Column:
     return F.when(m != "", m.try_cast("double"))
 
 
-def _site_loop(lines: Column) -> Column:
-    """``STRUCT<headers ARRAY<STRING>, rows ARRAY<ARRAY<STRING>>>`` of the first
-    ``loop_`` whose headers are ``_atom_site_*`` tags.
+def _at(name: str) -> str:
+    return "at" + name.lower()
 
-    One letter per line says what the line is; the loop is then a run of letters,
-    and its lines are slices, so a record may have any number of sites.
+
+def _count(kinds: Column, pattern: str, group: int) -> Column:
+    return F.length(F.regexp_extract(kinds, pattern, group))
+
+
+def _site(e: dict[str, Column], i: Column) -> Column:
+    """Site ``i``: the values under its headers."""
+    first = e["body_at"] + i * e["width"] - 1  # a header's place counts from 1
+    token = lambda at: F.when(e[at] > 0, F.get(e["tokens"], (first + e[at]).cast("int")))
+    return F.struct(
+        F.regexp_extract(F.coalesce(_value(token("symbol")), F.lit("")), r"^[A-Z][a-z]?", 0).alias("element"),
+        *[_num(token(_at(f"_atom_site_fract_{x}"))).alias(x) for x in "xyz"])
+
+
+#: Steps from ``text`` to a record.  Each gives new columns from the earlier ones, which
+#: it uses more than once, so that Spark keeps them as columns of their own.
+_RECORD_STEPS = (
+    lambda e: {"all": _tokens(F.coalesce(e["text"], F.lit("")))},
+    lambda e: {"lower": F.transform(e["all"], lambda t: F.lower(t))},
+    lambda e: {"every": F.array_join(F.transform(e["lower"], _kind), "")},
+    # tokens up to a second data block belong to the record
+    lambda e: {"kinds": F.regexp_extract(e["every"], "^[^D]*D?[^D]*", 0)},
+    lambda e: {"tokens": F.when(e["kinds"] == e["every"], e["all"])
+               .otherwise(F.slice(e["all"], F.lit(1), F.length(e["kinds"]))),
+               "names": F.when(e["kinds"] == e["every"], e["lower"])
+               .otherwise(F.slice(e["lower"], F.lit(1), F.length(e["kinds"]))),
+               # tags of a loop have no single value
+               "single": F.regexp_replace(F.regexp_replace(e["kinds"], r"(?:(?<=L)|\G(?!\A))H", "h"),
+                                          r"(?:(?<=L)|\G(?!\A))T", "h"),
+               "loop": F.regexp_instr(e["kinds"], F.lit(_SITE_LOOP)),
+               "width": F.greatest(_count(e["kinds"], _SITE_LOOP, 0) - 1, F.lit(1)),
+               "values": _count(e["kinds"], _SITE_LOOP + "(V*)", 1)},
+    lambda e: {_at(t): F.array_position(e["names"], F.lit(t.lower())).cast("int")
+               for t in CELL_TAGS + _TEXT_TAGS}
+    | {"heads": F.when(e["loop"] > 0, F.slice(e["names"], e["loop"] + 1, e["width"]))
+       .otherwise(F.array().cast("array<string>")),
+       "body_at": e["loop"] + e["width"], "data_at": F.instr(e["kinds"], "D")},
+    lambda e: {"t" + t: F.when((e[_at(t)] > 0) & F.call_function("substr", e["single"], e[_at(t)], F.lit(2))
+                               .isin("TV", "HV"), F.get(e["tokens"], e[_at(t)]))
+               for t in CELL_TAGS + _TEXT_TAGS}
+    | {_at(t): F.array_position(e["heads"], F.lit(t)).cast("int") for t in _SITE_TAGS}
+    | {"name": F.coalesce(F.call_function("substr", F.get(e["tokens"], F.when(
+        e["data_at"] > 0, e["data_at"] - 1)), F.lit(6)), F.lit(""))},
+    lambda e: {"v" + t: _value(e["t" + t]) for t in CELL_TAGS + _TEXT_TAGS}
+    | {"symbol": F.when(e["at_atom_site_type_symbol"] > 0, e["at_atom_site_type_symbol"])
+       .otherwise(e["at_atom_site_label"]),
+       "uneven": (e["loop"] > 0) & (e["values"] % e["width"] != 0),
+       "rows": F.when((e["loop"] > 0) & (e["values"] % e["width"] == 0), F.floor(e["values"] / e["width"]))
+       .otherwise(F.lit(0).cast("bigint")).cast("int")},
+    lambda e: {tag: _num(e["v" + tag]) for tag in CELL_TAGS}
+    | {"z": int_text(e["v_cell_formula_units_Z"]),
+       "sites": F.when(e["rows"] > 0, F.transform(
+           F.sequence(F.lit(0), F.greatest(e["rows"], F.lit(1)) - 1), lambda i: _site(e, i)))
+       .otherwise(F.array().cast("array<struct<element:string,x:double,y:double,z:double>>"))},
+    lambda e: {"bad_site": e["uneven"] | F.exists(e["sites"], lambda s: (s["element"] == "") | s["x"].isNull()
+                                                  | s["y"].isNull() | s["z"].isNull())},
+    lambda e: {"error": F.coalesce(
+        F.when(e["data_at"] == 0, "missing data_ block"),
+        *[F.when(e[t].isNull() | F.isnan(e[t]) | (F.abs(e[t]) == float("inf")), "bad " + t) for t in CELL_TAGS],
+        F.when(e["z"].isNull() | (e["z"] <= 0), "bad _cell_formula_units_Z"),
+        F.when(e["bad_site"], "bad _atom_site_ row"))},
+)
+#: Fields of a record and the step column that each one is.
+_RECORD = {"name": "name", "formula_structural": "v_chemical_formula_structural",
+           "formula_sum": "v_chemical_formula_sum", "cell_a": CELL_TAGS[0], "cell_b": CELL_TAGS[1],
+           "cell_c": CELL_TAGS[2], "alpha": CELL_TAGS[3], "beta": CELL_TAGS[4], "gamma": CELL_TAGS[5],
+           "z": "z", "sites": "sites", "parse_error": "error"}
+
+
+def with_crystal_record(df: DataFrame, text: str, name: str = "record") -> DataFrame:
+    """T2 over a DataFrame: adds the struct column ``name`` (see ``crystal_record``).
+
+    Every step is a projection of plain columns, so each value is computed once and
+    what a step shares is generated code; only the loops over tokens and sites are not.
     """
-    def kind(line):
-        out = None
-        for pattern, letter in _LINE_KINDS:
-            hit = line.rlike(pattern)
-            out = F.when(hit, letter) if out is None else out.when(hit, letter)
-        return out.otherwise("B")
-
-    def cut(kinds):
-        start = F.regexp_instr(kinds, F.lit("LH+"))
-        n_head = F.length(F.regexp_extract(kinds, "L(H+)", 1))
-        n_body = F.length(F.regexp_extract(kinds, "LH+(B*)", 1))
-        part = lambda at, n: F.when(start > 0, F.slice(lines, at, n)) \
-            .otherwise(F.array().cast("array<string>"))
-        rows = F.filter(part(F.greatest(start, F.lit(1)) + 1 + n_head, n_body),
-                        lambda r: strip_ws(r) != "")
-        return F.struct(
-            F.transform(part(F.greatest(start, F.lit(1)) + 1, n_head), lambda h: strip_ws(h)).alias("headers"),
-            F.transform(rows, lambda r: F.split(strip_ws(r), WS_CLASS + "+")).alias("rows"))
-
-    return let(F.array_join(F.transform(lines, kind), ""), cut)
+    mark = lambda c: f"_{name}_{c}"
+    out = df.withColumn(mark("text"), F.col(text))
+    for step in _RECORD_STEPS:
+        made = step({c[len(mark("")):]: F.col(c) for c in out.columns if c.startswith(mark(""))})
+        out = out.select("*", *[v.alias(mark(k)) for k, v in made.items()])
+    return out.select(*df.columns, F.struct(*[F.col(mark(c)).alias(f) for f, c in _RECORD.items()]).alias(name))
 
 
 def crystal_record(c) -> Column:
-    """Crystallographic text -> record struct.
+    """Crystallographic text -> record struct, as one Column.
 
     Fields: name, formula_structural, formula_sum, cell_a/b/c, alpha/beta/gamma,
     z, sites ``ARRAY<STRUCT<element, x, y, z>>`` and parse_error (null when the
-    record parsed).  Required: the six cell values (finite numbers) and a
-    positive integer Z; a site row with a bad number fails the record.  The text is
-    cut into lines once; tags and sites are read from the lines.
+    record parsed).  Required: a ``data_`` block, the six cell values (finite numbers)
+    and a positive integer Z; a site row with a bad number, or a site loop whose values
+    do not fill its rows, fails the record.  Tags are read in any case, from the first
+    ``data_`` block; values may be quoted, on the next line or in a ``;`` text field.
     """
-    t = F.coalesce(col_of(c), F.lit(""))
-
-    def head(entries):
-        return F.struct(
-            F.regexp_extract(t, r"(?m)^[ \t]*data_(\S*)", 1).alias("name"),
-            _tag_value(entries, "_chemical_formula_structural").alias("formula_structural"),
-            _tag_value(entries, "_chemical_formula_sum").alias("formula_sum"),
-            *[_num(_tag_value(entries, tag)).alias(tag) for tag in CELL_TAGS],
-            int_text(_tag_value(entries, "_cell_formula_units_Z")).alias("z"),
-            t.contains("data_").alias("has_data"))
-
-    def field(row, p):
-        return F.when(p > 0, F.try_element_at(row, p))
-
-    def parse_rows(q):
-        return F.transform(q["rows"], lambda r: F.struct(
-            F.regexp_extract(F.coalesce(field(r, q["sym"]), F.lit("")), r"^[A-Z][a-z]?", 0)
-             .alias("element"),
-            _num(field(r, q["px"])).alias("x"),
-            _num(field(r, q["py"])).alias("y"),
-            _num(field(r, q["pz"])).alias("z")))
-
-    def with_positions(lp):
-        hdr = lp["headers"]
-        sym = F.array_position(hdr, F.lit("_atom_site_type_symbol"))
-        sym = F.when(sym > 0, sym).otherwise(F.array_position(hdr, F.lit("_atom_site_label")))
-        return let(F.struct(
-            sym.cast("int").alias("sym"),
-            F.array_position(hdr, F.lit("_atom_site_fract_x")).cast("int").alias("px"),
-            F.array_position(hdr, F.lit("_atom_site_fract_y")).cast("int").alias("py"),
-            F.array_position(hdr, F.lit("_atom_site_fract_z")).cast("int").alias("pz"),
-            lp["rows"].alias("rows")), parse_rows)
-
-    def record(lines):
-        return let(let(_entries(lines), head), lambda h: let(
-            let(_site_loop(lines), with_positions), lambda st: _record(h, st)))
-
-    return materialize(let(F.split(t, r"\r\n|\r|\n"), record))
-
-
-def _record(h: Column, sites: Column) -> Column:
-    bad_site = F.exists(sites, lambda s: (s["element"] == "") | s["x"].isNull()
-                        | s["y"].isNull() | s["z"].isNull())
-    errors = [F.when(~h["has_data"], F.lit("missing data_ block"))]
-    for tag in CELL_TAGS:
-        v = h[tag]
-        errors.append(F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")),
-                             F.lit("bad " + tag)))
-    errors.append(F.when(h["z"].isNull() | (h["z"] <= 0), F.lit("bad _cell_formula_units_Z")))
-    errors.append(F.when(bad_site, F.lit("bad _atom_site_ row")))
-    return F.struct(
-        h["name"].alias("name"),
-        h["formula_structural"].alias("formula_structural"),
-        h["formula_sum"].alias("formula_sum"),
-        h["_cell_length_a"].alias("cell_a"),
-        h["_cell_length_b"].alias("cell_b"),
-        h["_cell_length_c"].alias("cell_c"),
-        h["_cell_angle_alpha"].alias("alpha"),
-        h["_cell_angle_beta"].alias("beta"),
-        h["_cell_angle_gamma"].alias("gamma"),
-        h["z"].alias("z"),
-        sites.alias("sites"),
-        F.coalesce(*errors).alias("parse_error"),
-    )
+    def chain(env: dict[str, Column], steps) -> Column:
+        if not steps:
+            return F.struct(*[env[k].alias(f) for f, k in _RECORD.items()])
+        made = steps[0](env)
+        return let(F.struct(*[v.alias(k) for k, v in (env | made).items()]),
+                   lambda s: chain({k: s[k] for k in env | made}, steps[1:]))
+
+    return materialize(chain({"text": col_of(c)}, _RECORD_STEPS))
 
 
 def site_table(df: DataFrame, keys: list[str], record_col: str = "record") -> DataFrame:
@@ -246,30 +257,43 @@ def _fmt(x: Column) -> Column:
     return F.format_string("%.6f", x)
 
 
-def canonical_text(record) -> Column:
-    """T3 rendering: fixed tag order, six decimals, formula sum from the sites."""
+def quoted(v: Column) -> Column:
+    """A value as it must stand to be read back whole: bare, in quotes or as a text field."""
+    plain = v.rlike("^[^_#$'\"\\[\\];" + _DARK[2:] + _DARK + "*$") & ~F.lower(v).rlike(
+        "^(?:loop_|global_|stop_|data_|save_)")
+    line = ~v.rlike(r"[\r\n]")
+    return F.when(plain, v).when(line & ~v.contains("'"), F.concat(F.lit("'"), v, F.lit("'"))) \
+            .when(line & ~v.contains('"'), F.concat(F.lit('"'), v, F.lit('"'))) \
+            .otherwise(F.concat(F.lit("\n;"), v, F.lit("\n;")))
+
+
+def site_lines(record) -> Column:
+    """The rows of the site loop of a canonical text."""
+    return F.transform(col_of(record)["sites"], lambda s: F.concat_ws(
+        " ", s["element"], _fmt(s["x"]), _fmt(s["y"]), _fmt(s["z"])))
+
+
+def canonical_text(record, counts=None, sites=None) -> Column:
+    """T3 rendering: fixed tag order, six decimals, formula sum from the sites.
+
+    ``counts`` (A1 of the sites) and ``sites`` (``site_lines``) may come from columns
+    that already hold them.
+    """
     r = col_of(record)
+    if counts is None:
+        counts = element_counts(F.transform(r["sites"], lambda s: s["element"]))
+    sites = site_lines(record) if sites is None else col_of(sites)
     name = F.when(r["name"] == "", F.lit("unknown")).otherwise(r["name"])
     fs = F.coalesce(r["formula_structural"], F.lit(""))
-    fsum = counts_text(element_counts(F.transform(r["sites"], lambda s: s["element"])), " ")
-    site_lines = F.transform(r["sites"], lambda s: F.concat_ws(
-        " ", s["element"], _fmt(s["x"]), _fmt(s["y"]), _fmt(s["z"])))
-    lines = F.concat(
-        F.array(F.concat(F.lit("data_"), name),
-                F.concat(F.lit("_chemical_formula_structural "),
-                         F.when(fs == "", F.lit("unknown")).otherwise(fs)),
-                F.concat(F.lit("_chemical_formula_sum '"), fsum, F.lit("'")),
-                F.concat(F.lit("_cell_length_a "), _fmt(r["cell_a"])),
-                F.concat(F.lit("_cell_length_b "), _fmt(r["cell_b"])),
-                F.concat(F.lit("_cell_length_c "), _fmt(r["cell_c"])),
-                F.concat(F.lit("_cell_angle_alpha "), _fmt(r["alpha"])),
-                F.concat(F.lit("_cell_angle_beta "), _fmt(r["beta"])),
-                F.concat(F.lit("_cell_angle_gamma "), _fmt(r["gamma"])),
-                F.concat(F.lit("_cell_formula_units_Z "), r["z"].cast("string")),
-                F.lit("loop_"), F.lit("_atom_site_type_symbol"), F.lit("_atom_site_fract_x"),
-                F.lit("_atom_site_fract_y"), F.lit("_atom_site_fract_z")),
-        site_lines)
-    return F.array_join(lines, "\n")
+    head = F.concat_ws(
+        "\n", F.concat(F.lit("data_"), name),
+        F.concat(F.lit("_chemical_formula_structural "), F.when(fs == "", F.lit("unknown")).otherwise(quoted(fs))),
+        F.concat(F.lit("_chemical_formula_sum '"), counts_text(counts, " "), F.lit("'")),
+        *[F.concat(F.lit(tag + " "), _fmt(r[field])) for tag, field in zip(
+            CELL_TAGS, ("cell_a", "cell_b", "cell_c", "alpha", "beta", "gamma"))],
+        F.concat(F.lit("_cell_formula_units_Z "), r["z"].cast("string")),
+        F.lit("loop_\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n_atom_site_fract_z"))
+    return F.when(F.size(sites) > 0, F.concat(head, F.lit("\n"), F.array_join(sites, "\n"))).otherwise(head)
 
 
 # Degenerate-record markers; any of the first list, or all of the
@@ -308,6 +332,21 @@ def degenerate(c, any_markers=DEGENERATE_ANY, all_markers=DEGENERATE_ALL) -> Col
     return F.coalesce(contains_any(c, any_markers) | contains_all(c, all_markers), F.lit(False))
 
 
+def with_canonical(df: DataFrame, record: str, original: str) -> DataFrame:
+    """T3 over a DataFrame with parsed records: adds cif, canonicalized,
+    canonicalize_error and the record's element ``counts`` (A1), each computed once."""
+    failed = F.col(record)["parse_error"].isNotNull()
+    out = df.select("*", element_counts(F.transform(F.col(record)["sites"], lambda s: s["element"])).alias("counts"),
+                    site_lines(record).alias("_lines"))
+    out = out.select("*", canonical_text(record, F.col("counts"), F.col("_lines")).alias("_canon"))
+    out = out.select("*", degenerate("_canon").alias("_deg"))
+    return out.select(
+        *df.columns, F.when(failed, F.col(original)).otherwise(F.col("_canon")).alias("cif"),
+        (~failed & ~F.col("_deg")).alias("canonicalized"),
+        F.when(failed, F.col(record)["parse_error"])
+         .when(F.col("_deg"), F.lit("degenerate_canonicalized_cif")).alias("canonicalize_error"), "counts")
+
+
 def canonicalize(c) -> Column:
     """``STRUCT<cif, canonicalized, canonicalize_error>``.
 

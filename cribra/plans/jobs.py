@@ -18,8 +18,8 @@ from cribra.functions.labels import (DEFAULT_ANGLE_EDGES, DEFAULT_RATIO_EDGES,
                                      DEFAULT_VPA_EDGES, ANGLE_LABELS, LENGTH_LABELS,
                                      bin_label, equal_pattern, ratio_bin_if)
 from cribra.functions.text import (bool_text, cut_from_marker, json_list, normalize_ws,
-                                   strip_ws, tagged_block, tagged_block_error, text_or_empty)
-from cribra.functions.util import col_of, materialize
+                                   remove_ws, strip_ws, tagged_block, tagged_block_error, text_or_empty)
+from cribra.functions.util import col_of
 from cribra.operators import parse as ps
 from cribra.operators import rules as rl
 from cribra.operators import select as sl
@@ -198,12 +198,18 @@ def cell_volume(r: Column) -> Column:
     return r["cell_a"] * r["cell_b"] * r["cell_c"] * F.sqrt(F.greatest(inner, F.lit(0.0)))
 
 
-def record_labels(r: Column, angle_edges=DEFAULT_ANGLE_EDGES, ratio_edges=DEFAULT_RATIO_EDGES,
+# Fields compared with the scaffold, and those compared only where present.
+VERIFY_FIELDS = ("site_schema", "metric_family", "length_pattern", "angle_pattern", "vol_per_atom_bin",
+                 "position_family", "stack_family")
+VERIFY_OPTIONAL = ("eq_angle_bin", "gamma_bin", "b_over_a_bin", "c_over_a_bin_family")
+
+
+def record_labels(r: Column, n_sites: Column | None = None, angle_edges=DEFAULT_ANGLE_EDGES, ratio_edges=DEFAULT_RATIO_EDGES,
                   vpa_edges=DEFAULT_VPA_EDGES) -> dict[str, Column]:
     """Geometry labels of a parsed record (F14-F16; edges and tolerances are ours)."""
     lp = equal_pattern(r["cell_a"], r["cell_b"], r["cell_c"], LENGTH_TOL, LENGTH_LABELS)
     ap = equal_pattern(r["alpha"], r["beta"], r["gamma"], ANGLE_TOL, ANGLE_LABELS)
-    n_sites = F.size(r["sites"])
+    n_sites = F.size(r["sites"]) if n_sites is None else n_sites
     vpa = F.when(n_sites > 0, cell_volume(r) / n_sites)
     abin = lambda x: bin_label(x, angle_edges, prefix="A")
     eq_bin = (F.when(ap.isin(ANGLE_LABELS[1], ANGLE_LABELS[2]), abin(r["alpha"]))
@@ -223,45 +229,69 @@ def record_labels(r: Column, angle_edges=DEFAULT_ANGLE_EDGES, ratio_edges=DEFAUL
 
 def verify_candidates(df: DataFrame, record: str = "record", fields: str = "scaffold_fields",
                       scaffold_check: str = "scaffold_check", labels: Sequence[str] = (
-                          "metric_family", "position_family", "stack_family")) -> DataFrame:
+                          "metric_family", "position_family", "stack_family"),
+                      counts: str | None = None, n_sites: str | None = None) -> DataFrame:
     """Rule set of a parsed record against the request's full scaffold.
 
     Early exits: invalid scaffold -> ``invalid_scaffold:<code>`` per code, -999,
     999; unparsable text -> ``parse_failed:<msg>``, -999, 999, no cif_fields.
-    ``metric_family``/``position_family``/``stack_family`` arrive as columns.
+    ``metric_family``/``position_family``/``stack_family`` arrive as columns, and
+    ``counts`` (A1 of the sites) and ``n_sites`` may.  Expected values, labels and
+    conditions become columns one step after the other, so each is computed once and
+    the rules are plain generated code.
     """
-    r = F.col(record)
-    m = F.col(fields)
-    site_schema = ps.schema_text(ps.element_counts(F.transform(r["sites"], lambda s: s["element"])))
-    geo = record_labels(r)
-    cand = {"site_schema": site_schema, "metric_family": F.col(labels[0]),
-            "length_pattern": geo["length_pattern"], "angle_pattern": geo["angle_pattern"],
-            "vol_per_atom_bin": geo["vol_per_atom_bin"], "position_family": F.col(labels[1]),
-            "stack_family": F.col(labels[2])}
-    n_sites = F.size(r["sites"])
-
-    def present(k):
-        return F.map_contains_key(m, F.lit(k))
-
-    def differs(k, v):
-        return present(k) & ~v.eqNullSafe(F.try_element_at(m, F.lit(k)))
-
+    r, m = F.col(record), F.col(fields)
+    expected = VERIFY_FIELDS + VERIFY_OPTIONAL + ("output_Z_raw", "n_listed_sites")
+    if counts is None:
+        df_counts = ps.element_counts(F.transform(r["sites"], lambda s: s["element"]))
+    else:
+        df_counts = F.col(counts)
+    out = df.select("*", df_counts.alias("_counts"),
+                    (F.size(r["sites"]) if n_sites is None else F.col(n_sites)).alias("_n"),
+                    *[F.try_element_at(m, F.lit(k)).alias(f"_want_{k}") for k in expected],
+                    *_formula_texts(df, r["formula_structural"]))
+    geo = record_labels(r, F.col("_n"))
+    out = out.select("*", ps.schema_text("_counts").alias("_is_site_schema"),
+                     *[F.col(c).alias(f"_is_{k}") for k, c in zip(
+                         ("metric_family", "position_family", "stack_family"), labels)],
+                     *[v.alias(f"_is_{k}") for k, v in geo.items()],
+                     _formula_differs(df, r["formula_structural"]).alias("_formula"))
+    want, has = (lambda k: F.col(f"_want_{k}")), (lambda k: F.col(f"_is_{k}"))
+    differs = lambda k: want(k).isNotNull() & ~has(k).eqNullSafe(want(k))
+    number = lambda k: rl.int_text(want(k))
+    # Codes and their order.
     pairs = [
-        ("empty_atom_sites", n_sites == 0),
+        ("empty_atom_sites", F.col("_n") == 0),
         ("zero_lattice", F.least(r["cell_a"], r["cell_b"], r["cell_c"]) <= 0),
-        ("formula_structural_mismatch", _formula_differs(df, r["formula_structural"])),
-        ("output_Z_raw_mismatch", ~r["z"].cast("bigint").eqNullSafe(
-            rl.int_text(F.try_element_at(m, F.lit("output_Z_raw"))))),
-        ("n_listed_sites_mismatch", ~n_sites.cast("bigint").eqNullSafe(
-            rl.int_text(F.try_element_at(m, F.lit("n_listed_sites"))))),
-    ]
-    pairs += [(f"{k}_mismatch", differs(k, v)) for k, v in cand.items()]
-    pairs += [("eq_angle_bin_mismatch", differs("eq_angle_bin", geo["eq_angle_bin"]))]
-    pairs += [(f"{k}_mismatch", differs(k, geo[k]))
-              for k in ("gamma_bin", "b_over_a_bin", "c_over_a_bin_family")]
-    errs = rl.rules(pairs)
-    return df.withColumn("_errs", errs).transform(
-        lambda d: _finish_verify(d, df.columns, m, r, cand, geo, n_sites, scaffold_check, labels))
+        ("formula_structural_mismatch", F.col("_formula")),
+        ("output_Z_raw_mismatch", ~r["z"].cast("bigint").eqNullSafe(number("output_Z_raw"))),
+        ("n_listed_sites_mismatch", ~F.col("_n").cast("bigint").eqNullSafe(number("n_listed_sites"))),
+    ] + [(f"{k}_mismatch", differs(k)) for k in VERIFY_FIELDS + VERIFY_OPTIONAL]
+    out = out.select("*", *[F.coalesce(cond, F.lit(False)).alias(f"_if_{code}") for code, cond in pairs])
+    held = lambda codes: sum((F.col(f"_if_{c}").cast("int") for c in codes), F.lit(0))
+    codes = [code for code, _ in pairs]
+    out = out.select(
+        "*", rl.rules([(c, F.col(f"_if_{c}")) for c in codes]).alias("_errs"),
+        rl.collapse_penalty(want("position_family"), want("stack_family"), F.col(labels[1]),
+                            F.col(labels[2])).alias("_pen"),
+        held([c for c in codes if c in rl.HARD_CODES]).alias("_hard"),
+        held([c for c in codes if c not in rl.HARD_CODES]).alias("_soft"),
+        F.col(scaffold_check)["valid"].alias("_ok"), r["parse_error"].alias("_bad"))
+    failed = ~F.col("_ok") | F.col("_bad").isNotNull()
+    cif_fields = F.struct(
+        r["formula_structural"].alias("formula"), r["z"].alias("output_Z_raw"),
+        F.col("_n").alias("n_listed_sites"), *[has(k).alias(k) for k in VERIFY_FIELDS + VERIFY_OPTIONAL])
+    out = out.select(
+        *df.columns,
+        F.when(~F.col("_ok"), rl.prefixed(F.col(scaffold_check)["errors"], "invalid_scaffold:"))
+         .when(F.col("_bad").isNotNull(), F.array(F.concat(F.lit("parse_failed:"), "_bad")))
+         .otherwise(F.col("_errs")).alias("verify_errors"),
+        F.when(failed, F.lit(rl.FAILED_SCORE))
+         .otherwise(rl.score(F.col("_hard"), F.col("_soft"), F.col("_pen"))).alias("consistency_score"),
+        F.when(failed, F.lit(rl.FAILED_PENALTY)).otherwise(F.col("_pen")).alias("collapse_penalty"),
+        F.when(~failed, cif_fields).alias("cif_fields"))
+    return out.select(*df.columns, (F.size("verify_errors") == 0).alias("valid_cif"), "verify_errors",
+                      "consistency_score", "collapse_penalty", "cif_fields")
 
 
 def request_reduced(formula="pretty_formula") -> Column:
@@ -271,59 +301,42 @@ def request_reduced(formula="pretty_formula") -> Column:
     return F.array_sort(reduced_counts(formula_counts(formula)))
 
 
+def _formula_texts(df: DataFrame, record_formula: Column) -> list[Column]:
+    """Whether request and record hold one formula text: then nothing is parsed."""
+    if "req_reduced" not in df.columns:
+        return []
+    same = remove_ws(F.coalesce(record_formula, F.lit(""))) == remove_ws("pretty_formula")
+    return [F.coalesce(same, F.lit(False)).alias("_same_text")]
+
+
 def _formula_differs(df: DataFrame, record_formula: Column) -> Column:
     """F13 against the request: uses the per-request ``req_reduced`` column when
     present, else parses the request formula here."""
     if "req_reduced" not in df.columns:
         return ~rl.formula_matches("pretty_formula", record_formula)
     cand = request_reduced(F.coalesce(record_formula, F.lit("")))
-    return ~F.coalesce(cand == F.col("req_reduced"), F.lit(False))
-
-
-def _finish_verify(df: DataFrame, columns, m, r, cand, geo, n_sites, scaffold_check,
-                   labels) -> DataFrame:
-    errs = F.col("_errs")
-    pen = rl.collapse_penalty(F.try_element_at(m, F.lit("position_family")),
-                              F.try_element_at(m, F.lit("stack_family")),
-                              F.col(labels[1]), F.col(labels[2]))
-    score = rl.weighted_score(errs, pen)
-    ok_scaffold = F.col(scaffold_check)["valid"]
-    parse_err = r["parse_error"]
-    cif_fields = F.struct(
-        r["formula_structural"].alias("formula"), r["z"].alias("output_Z_raw"),
-        n_sites.alias("n_listed_sites"), *[v.alias(k) for k, v in cand.items()],
-        geo["eq_angle_bin"].alias("eq_angle_bin"), geo["gamma_bin"].alias("gamma_bin"),
-        geo["b_over_a_bin"].alias("b_over_a_bin"),
-        geo["c_over_a_bin_family"].alias("c_over_a_bin_family"))
-    v = F.struct(
-        (F.when(~ok_scaffold, rl.prefixed(F.col(scaffold_check)["errors"], "invalid_scaffold:"))
-          .when(parse_err.isNotNull(), F.array(F.concat(F.lit("parse_failed:"), parse_err)))
-          .otherwise(errs)).alias("verify_errors"),
-        F.when(~ok_scaffold | parse_err.isNotNull(), F.lit(rl.FAILED_SCORE))
-         .otherwise(score).alias("consistency_score"),
-        F.when(~ok_scaffold | parse_err.isNotNull(), F.lit(rl.FAILED_PENALTY))
-         .otherwise(pen).alias("collapse_penalty"),
-        F.when(ok_scaffold & parse_err.isNull(), cif_fields).alias("cif_fields"))
-    out = df.withColumn("_v", materialize(v))
-    return out.select(*columns, (F.size("_v.verify_errors") == 0).alias("valid_cif"),
-                      "_v.verify_errors", "_v.consistency_score", "_v.collapse_penalty",
-                      "_v.cif_fields")
+    return F.when(F.col("_same_text"), F.col("req_reduced").isNull()) \
+            .otherwise(~F.coalesce(cand == F.col("req_reduced"), F.lit(False)))
 
 
 def canonical_record(rec: Column) -> Column:
     """The record as re-read from its canonical text: values at six decimals,
-    empty name/formula shown as ``unknown`` (saves a second parse)."""
+    empty name/formula shown as ``unknown`` (saves a second parse); a record that
+    failed to parse as it is."""
+    ok = rec["parse_error"].isNull()
     r6 = lambda x: F.format_string("%.6f", x).cast("double")
+    shown = lambda x, y: F.when(ok, y).otherwise(x)
     fs = F.coalesce(rec["formula_structural"], F.lit(""))
     return F.struct(
-        F.when(rec["name"] == "", F.lit("unknown")).otherwise(rec["name"]).alias("name"),
-        F.when(fs == "", F.lit("unknown")).otherwise(fs).alias("formula_structural"),
+        shown(rec["name"], F.when(rec["name"] == "", F.lit("unknown")).otherwise(rec["name"])).alias("name"),
+        shown(rec["formula_structural"], F.when(fs == "", F.lit("unknown")).otherwise(fs))
+        .alias("formula_structural"),
         rec["formula_sum"].alias("formula_sum"),
-        *[r6(rec[k]).alias(k) for k in ("cell_a", "cell_b", "cell_c", "alpha", "beta", "gamma")],
+        *[shown(rec[k], r6(rec[k])).alias(k) for k in ("cell_a", "cell_b", "cell_c", "alpha", "beta", "gamma")],
         rec["z"].alias("z"),
-        F.transform(rec["sites"], lambda s: F.struct(
+        shown(rec["sites"], F.transform(rec["sites"], lambda s: F.struct(
             s["element"].alias("element"), r6(s["x"]).alias("x"), r6(s["y"]).alias("y"),
-            r6(s["z"]).alias("z"))).alias("sites"),
+            r6(s["z"]).alias("z")))).alias("sites"),
         rec["parse_error"].alias("parse_error"))
 
 
@@ -364,21 +377,12 @@ def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int | None
         cands = cands.withColumn(c, F.coalesce(F.col(c), F.lit("")))
     cands = cands.join(req, "row_id")
     cands = cands.withColumn("_cut", cut_from_marker("response"))
-    cands = cands.withColumn("_rec", ps.crystal_record("_cut"))
-    cands = cands.withColumn("_canon_text", ps.canonical_text("_rec"))
-    failed = F.col("_rec.parse_error").isNotNull()
-    deg = ps.degenerate("_canon_text")
-    cands = cands.select(
-        "*",
-        F.when(failed, F.col("_cut")).otherwise(F.col("_canon_text")).alias("cif"),
-        (~failed & ~deg).alias("canonicalized"),
-        F.when(failed, F.col("_rec.parse_error"))
-         .when(deg, F.lit("degenerate_canonicalized_cif")).alias("canonicalize_error"),
-        F.when(failed, F.col("_rec")).otherwise(canonical_record(F.col("_rec"))).alias("record"))
-    cands = cands.drop("_cut", "_rec", "_canon_text")
+    cands = ps.with_canonical(ps.with_crystal_record(cands, "_cut", "_rec"), "_rec", "_cut")
+    cands = cands.select("*", F.size("_rec.sites").alias("n_sites"), canonical_record(F.col("_rec")).alias("record"))
+    cands = cands.drop("_cut", "_rec")
     for c, fn in (labelers or {}).items():
         cands = cands.withColumn(c, F.coalesce(fn(F.col("record")), F.lit("")))
-    ver = verify_candidates(cands)
+    ver = verify_candidates(cands, counts="counts", n_sites="n_sites").drop("counts", "n_sites")
     return sl.rank_candidates(ver, "row_id", cif_ranking())
 
 

@@ -496,6 +496,60 @@ def q_formula_parse(spark, sf):
         fm.same_reduced(counts, fm.formula_counts("doubled")).alias("same_as_doubled"))
 
 
+# Forms of a grouped formula over two symbols, with the counts of both (an element that
+# stands twice is one); a null form is invalid.  c1 and c2 are small positive numbers.
+_GROUP_FORMS = (
+    ("{a}({b}H2){2}", "1", "c2", "2 * c2"),
+    ("[{a}({b}H){2}]{1}H", "c1", "c1 * c2", "c1 * c2 + 1"),
+    ("{a}{1}{b}{2}\u00b75H2", "c1", "c2", "10"),
+    ("{a}0.5{b}{2}H", "1", "2 * c2", "2"),
+    ("{a}({b}0.5H1.50){1}*2{a}", "6", "c1", "3 * c1"),
+    ("{a}({b}H{2}", None, None, None),
+    ("{a}()({b}H)", None, None, None),
+    ("{a}({b}H]{2}", None, None, None),
+    ("{a}{b}\u00b7", None, None, None),
+    ("{a}(({b}{2}))0H", None, None, None),
+)
+
+
+def _sql_group_forms() -> str:
+    def text(form: str) -> str:
+        parts = form.replace("{a}", "\0a\0").replace("{b}", "\0b\0").replace("{1}", "\0c1\0").replace("{2}", "\0c2\0")
+        names = {"a": "e1", "b": "e2", "c1": "CAST(c1 AS VARCHAR)", "c2": "CAST(c2 AS VARCHAR)"}
+        return " || ".join(names[x] if i % 2 else f"'{x}'" for i, x in enumerate(parts.split("\0")) if i % 2 or x)
+
+    pick = lambda at: "CASE k " + " ".join(
+        f"WHEN {i} THEN {text(f[0]) if at == 0 else f[at] or 'NULL'}" for i, f in enumerate(_GROUP_FORMS)) + " END"
+    return f"""
+WITH t AS (SELECT p_partkey, {_SQL_SYM}[p_size % 4 + 2] AS e1, {_SQL_SYM}[p_partkey % 4 + 6] AS e2,
+                  p_partkey % 4 + 2 AS c1, p_size % 3 + 2 AS c2, p_partkey % {len(_GROUP_FORMS)} AS k FROM part),
+f AS (SELECT *, {pick(0)} AS formula, {pick(1)} AS n1, {pick(2)} AS n2, {pick(3)} AS nh FROM t),
+g AS (SELECT *, gcd(gcd(n1, n2), nh) AS g FROM f)
+SELECT p_partkey, formula, CAST(n1 // g AS VARCHAR) || ':' || CAST(n2 // g AS VARCHAR) || ':' || CAST(nh // g AS VARCHAR)
+         AS ratio, CAST((n1 + n2 + nh) // g AS BIGINT) AS n_reduced, n1 IS NOT NULL AS parses
+FROM g"""
+
+
+@register("formula_groups", _sql_group_forms())
+def q_formula_groups(spark, sf):
+    """F11 with groups, nesting, hydrate dots and decimals; unbalanced ones are invalid."""
+    sym = F.array(*[F.lit(x) for x in SYMBOLS])
+    k = F.col("p_partkey")
+    part = {"{a}": F.element_at(sym, (F.col("p_size") % 4 + 2).cast("int")),
+            "{b}": F.element_at(sym, (k % 4 + 6).cast("int")),
+            "{1}": (k % 4 + 2).cast("string"), "{2}": (F.col("p_size") % 3 + 2).cast("string")}
+    form = F.element_at(F.array(*[F.lit(f[0]) for f in _GROUP_FORMS]), (k % len(_GROUP_FORMS) + 1).cast("int"))
+    for mark, value in part.items():
+        form = F.replace(form, F.lit(mark), value)
+    p = table(spark, sf, "part").select("p_partkey", form.alias("formula"))
+    p = p.select("*", fm.formula_counts("formula").alias("counts"))
+    p = p.select("*", fm.reduced_counts("counts").alias("reduced"))
+    return p.select(
+        "p_partkey", "formula", fm.ratio_text("counts").alias("ratio"),
+        F.aggregate("reduced", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("n_reduced"),
+        F.col("counts").isNotNull().alias("parses"))
+
+
 # --------------------------------------------------------------- P3 P4 P5 P6
 
 def _order_fields() -> tuple[Column, Column, Column, Column]:

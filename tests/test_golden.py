@@ -140,8 +140,18 @@ def test_formula_counts_and_gcd(spark):
 
 
 def test_formula_invalid(spark):
-    bad = ["Ca(OH)2", "Li0.5O", "Na0Cl", "xx"]
-    assert col_values(spark, bad, fm.formula_counts) == [None] * 4
+    bad = ["Ca(OH", "CaOH)2", "Ca(OH]2", "Ca()2", "Ca(2H)", "Li.5", "Li5.", "Na0Cl", "Na(Cl)0", "Na0.0Cl", "Na05(Cl)",
+           "xx", "", "H2O\u00b7", "\u00b7H2O", "C\u00b7o2", "Ca(OH\u00b7H2O)2", "2H2O", "<OH>2",
+           "A(B9223372036854775807)2"]
+    assert col_values(spark, bad, fm.formula_counts) == [None] * len(bad)
+
+
+def test_formula_groups_dots_and_decimals(spark):
+    texts = {"Ca(OH)2": "Ca1O2H2", "[Co(NH3)6]Cl3": "Co1N6H18Cl3", "CuSO4\u00b75H2O": "Cu1S1O9H10",
+             "CaSO4 * 0.5 H2O": "Ca10S10O45H10", "Li0.5CoO2": "Li5Co10O20", "Li0.50(Mg0.5O)1.5": "Li50Mg75O150",
+             "((((H))))2": "H2", "{Na}2.0": "Na2", "Na" + "(C)2" * 3000: "Na1C6000"}
+    got = col_values(spark, list(texts), lambda c: fm.counts_text(fm.formula_counts(c)))
+    assert got == list(texts.values())
 
 
 def test_gcd_large_values(spark):
@@ -449,6 +459,42 @@ def test_t2_any_number_of_sites(spark, n):
     assert len(r.sites) == n and (n == 0 or r.sites[-1].y == 0.5)
 
 
+SITES = ("loop_\n_atom_site_label\n_atom_site_type_symbol\n_atom_site_fract_x\n_atom_site_fract_y\n"
+         "_atom_site_fract_z\n")
+
+
+def test_t2_token_forms(spark):
+    head = "data_x\n" + CELL + "_cell_formula_units_Z 4\n"
+    texts = {
+        "quoted label": (head + SITES + "'Na 1' Na 0 0 0\n\"Cl '1'\" Cl .5 .5 .5\n", 2, None),
+        "row over lines": (head + SITES + "Na1 Na 0\n 0 0\nCl1 Cl .5 .5 .5\n", 2, None),
+        "tag in a text field": ("data_x\n_n\n;\n_cell_length_a 9\nloop_\n;\n" + CELL + "_cell_formula_units_Z 4\n", 0, None),
+        "any case, next line": (head.upper().replace("DATA_X", "data_x").replace("_B ", "_B\n\n"), 0, None),
+        "comments": (head.replace("\n", " # c 'x\n") + SITES + "# none\nNa1 Na 0 0 0 # _x 1", 1, None),
+        "values left over": (head + SITES + "Na1 Na 0 0 0 Cl1\n", 0, "bad _atom_site_ row"),
+        "tag in a loop": (head.replace("_cell_length_a", "loop_\n_cell_length_a"), 0, "bad _cell_length_a"),
+        "second block": (head.replace("_cell_length_b", "_other_b") + "data_y\n" + CELL, 0, "bad _cell_length_b"),
+        "aniso first": (head + "loop_\n_atom_site_aniso_label\n_atom_site_aniso_U_11\nNa 1\n" + SITES + "a Na 0 0 0", 1, None),
+        "open text field": (head + "_n\n;\n" + CELL, 0, None),
+    }
+    df = spark.createDataFrame([(k, t[0]) for k, t in texts.items()], "k string, t string")
+    flat = {r.k: r for r in ps.with_crystal_record(df, "t", "r").collect()}
+    for r in df.select("k", ps.crystal_record("t").alias("r")).collect():
+        assert r.r == flat[r.k].r, r.k
+        assert (len(r.r.sites), r.r.parse_error) == texts[r.k][1:], r.k
+        assert r.r.cell_a == 1.0 or "cell_length_a" in (r.r.parse_error or ""), r.k
+
+
+def test_canonical_text_reads_back(spark):
+    values = ["Na Cl", "it's", "a 'b' \"c\" d", "two\nlines", "_tag", "loop_", "#x", "plain(2)", "data_1", "'"]
+    rows = [(f"data_x\n_chemical_formula_structural\n;{v}\n;\n" + CELL + "_cell_formula_units_Z 4\n" + SITES
+             + "a Na 0 0.125 1e-3",) for v in values]
+    df = ps.with_crystal_record(spark.createDataFrame(rows, "t string"), "t", "r")
+    out = ps.with_crystal_record(ps.with_canonical(df, "r", "t"), "cif", "again").collect()
+    assert [r.again.formula_structural for r in out] == values
+    assert all(r.again.sites == r.r.sites and r.again.parse_error is None for r in out)
+
+
 def test_f11_long_and_overflowing(spark):
     big = "9223372036854775807"
     texts = ["NaCl" * 12500, "Na" + "9" * 20 + "Cl", f"Na{big}Na{big}", "Na01", f"Na{big}", "Na Cl\n"]
