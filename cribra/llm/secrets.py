@@ -32,8 +32,12 @@ MASK = "<secret>"
 
 _ASSIGNED = re.compile(r"""[:=]>?[ \t]{0,3}["'`]?([^\s"'`,;<>(){}\[\]]{8,})""")
 _KNOWN = re.compile(r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}"""
-                    r"""|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}"""
-                    r"""|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8000}-----END [A-Z ]{0,20}PRIVATE KEY-----)?)""")
+                    r"""|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}"""
+                    # tried once for each run of its characters, so that long runs cost no more
+                    r"""|(?<![\w-])eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+)""")
+_EDGE = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
+_HEADER = re.compile(r"[A-Za-z0-9-]+:.*")
+_BASE64 = re.compile(r"[A-Za-z0-9+/=\\]*")
 _MIXED = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
 _SECRET_WORDS = re.compile(r"(?i)passw|pwd|secret|token|api.?key|access.?key|private|credential|auth|bearer|signing")
 _PLAIN_WORDS = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your|commit|checksum|digest|sha\d|md5|etag"
@@ -41,13 +45,47 @@ _PLAIN_WORDS = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your|c
 _EXTENSION = re.compile(r"\.[A-Za-z]{1,5}\d?$")
 
 
+def _is_key_body(body: str) -> bool:
+    """Header lines, then lines of base64 (a backslash stands for an escaped line end)."""
+    head = True
+    for line in body.split("\n"):
+        line = line.strip()
+        if _BASE64.fullmatch(line):
+            head = head and not line
+        elif not head or not _HEADER.fullmatch(line):
+            # a wrapped header value goes on with a blank, others end the block
+            return False
+    return True
+
+
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Private keys from BEGIN to END, of any length; a BEGIN line without one alone.
+
+    One pass over the marks, and each body is read once.
+    """
+    edges = list(_EDGE.finditer(text)) if "PRIVATE KEY-----" in text else []
+    out = []
+    for a, b in zip(edges, [*edges[1:], None]):
+        if a[1] == "BEGIN":
+            whole = b is not None and b[1] == "END" and _is_key_body(text[a.end():b.start()])
+            out.append((a.start(), b.end() if whole else a.end()))
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, rule)`` of every candidate, in order, without overlaps.
 
     Where rules overlap, a known shape wins over an assigned value and that over a
     long mixed string.
     """
-    found = [(m.start(), m.end(), "known") for m in _KNOWN.finditer(text)]
+    keys = key_blocks(text)
+    found = [(s, e, "known") for s, e in keys]
+    at = 0
+    for m in _KNOWN.finditer(text):
+        while at < len(keys) and keys[at][1] <= m.start():
+            at += 1
+        if at == len(keys) or keys[at][0] >= m.end():
+            found.append((m.start(), m.end(), "known"))
     found += [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
     found += [(m.start(), m.end(), "mixed") for m in _MIXED.finditer(text)
               if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
@@ -82,7 +120,9 @@ def _coverage(value: str, words: frozenset[str]) -> float:
     return covered / max(1, sum(c.isalpha() for c in v))
 
 
-def features(before: str, value: str, after: str, words: frozenset[str]) -> list[float]:
+def features(before: str, value: str, after: str, words: frozenset[str],
+             odds: dict[str, float] | None = None) -> list[float]:
+    odds = odds or {}
     n = len(value)
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     share = Counter(kind)
@@ -102,7 +142,37 @@ def features(before: str, value: str, after: str, words: frozenset[str]) -> list
         float(bool(_SECRET_WORDS.search(near))), float(bool(_PLAIN_WORDS.search(near))),
         float(bool(_PLAIN_WORDS.search(value))), float(bool(_SECRET_WORDS.search(line))),
         float(near.rstrip("\"'` \t")[-1:] in ("=", ":", ">")), float(before[-1:] in "\"'`" and after[:1] in "\"'`"),
-        float(bool(_KNOWN.match(value)))]
+        float(bool(_KNOWN.match(value))), float(bool(_EDGE.match(value))), float(value.count("\n")),
+        *_lean(line, odds)]
+
+
+#: Findings that a word or word pair must stand in front of before it counts, and words
+#: looked at.
+WORD_FINDINGS, NEAR_WORDS = 20, 3
+
+
+def _near(line: str) -> list[str]:
+    """The last words of a line, lower-cased, and their neighbouring pairs."""
+    w = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", line[-40:])][-NEAR_WORDS:]
+    return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+
+def _lean(line: str, odds: dict[str, float]) -> list[float]:
+    """Least, greatest and last log odds of the words and pairs before a candidate."""
+    own = [odds.get(w, 0.0) for w in _near(line)] or [0.0]
+    return [min(own), max(own), sum(own)]
+
+
+def word_odds(findings: list[tuple[str, str, str, int]]) -> dict[str, float]:
+    """Log odds of a secret after each word or pair that precedes enough findings, less
+    those of all findings: 0 says nothing."""
+    seen: dict[str, list[int]] = {}
+    for before, _, _, secret in findings:
+        for w in set(_near(before.rpartition("\n")[2])):
+            seen.setdefault(w, [0, 0])[secret] += 1
+    secrets = sum(f[3] for f in findings)
+    base = math.log((secrets + 1) / (len(findings) - secrets + 1))
+    return {w: math.log((n[1] + 1) / (n[0] + 1)) - base for w, n in seen.items() if sum(n) >= WORD_FINDINGS}
 
 
 class Forest:
@@ -165,26 +235,30 @@ class Forest:
 
 
 class Judge:
-    """A forest with its dictionary."""
+    """A forest with its dictionary and the log odds of the words before a finding."""
+
+    def __init__(self, forest: Forest, words: frozenset[str], odds: dict[str, float] | None = None):
+        self.forest, self.words, self.odds = forest, words, odds or {}
 
-    def __init__(self, forest: Forest, words: frozenset[str]):
-        self.forest, self.words = forest, words
+    def vote(self, findings: list[tuple]) -> np.ndarray:
+        """Mean vote on findings ``(before, value, after, ...)``."""
+        return self.forest.score(np.array([features(*f[:3], self.words, self.odds) for f in findings]))
 
     def findings(self, text: str) -> list[tuple[int, int, str, float]]:
         """``(start, end, rule, score)`` of every candidate of a text."""
         spans = candidates(text)
         if not spans:
             return []
-        x = np.array([features(text[max(0, s - CONTEXT):s], text[s:e], text[e:e + CONTEXT], self.words)
-                      for s, e, _ in spans])
-        return [(*span, float(p)) for span, p in zip(spans, self.forest.score(x))]
+        votes = self.vote([(text[max(0, s - CONTEXT):s], text[s:e], text[e:e + CONTEXT]) for s, e, _ in spans])
+        return [(*span, float(p)) for span, p in zip(spans, votes)]
 
 
 def train(findings: list[tuple[str, str, str, int]], words: frozenset[str], seed: int = 0) -> Judge:
     """A judge from labelled findings ``(before, value, after, is_secret)``."""
-    x = np.array([features(b, v, a, words) for b, v, a, _ in findings])
+    odds = word_odds(findings)
+    x = np.array([features(b, v, a, words, odds) for b, v, a, _ in findings])
     y = np.array([f[3] for f in findings], float)
-    return Judge(Forest(seed=seed).fit(x, y), words)
+    return Judge(Forest(seed=seed).fit(x, y), words, odds)
 
 
 def labelled_findings(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[tuple], frozenset[str]]:
@@ -214,7 +288,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[
     rows = sorted(map(tuple, some.collect()))[:sample]
     count = Counter(w for r in rows for w in re.findall(r"[a-z]{3,12}", r[0].lower()))
     words = frozenset(w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:DICTIONARY])
-    rng = np.random.default_rng(0)
+    rng, shapes = np.random.default_rng(0), np.random.default_rng(1)
     out = []
     for t, x40, x32, x64, b, b64s, u in rows:
         parts = t.split() or ["a"]
@@ -228,11 +302,15 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[
         quote = str(rng.choice(['"', "'", ""]))
         name = str(rng.choice(["token", "api_key", "secret", "auth_token", "access_key", "client_secret"]))
         op = str(rng.choice([" = ", "=", ": ", ":"]))
+        kind, lines = str(shapes.choice(["", "RSA ", "EC ", "ENCRYPTED ", "OPENSSH "])), int(shapes.integers(1, 30))
+        head = str(shapes.choice(["", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{x32.upper()}\n\n"]))
         yes = [(f"{name}{op}{quote}", v, quote) for v in (x40, x32, b[:24], b[:40], b64s[:44])]
         yes += [(f"password{op}{quote}", b[:12], quote), (f"{a}_pwd{op}{quote}", b[3:13] + "!", quote),
                 ("", "AKIA" + u[:16], ""), ("", "ghp_" + b[:36], ""), ("sk ", "sk-" + b[:32], ""),
                 ("Authorization: Bearer ", b[:40], ""), ("", "eyJ" + b[:20] + "." + b[20:44] + "." + b[44:70], ""),
-                (f"{a}:", "xoxb-" + num + "-" + b[:24], "")]
+                (f"{a}:", "xoxb-" + num + "-" + b[:24], ""),
+                ("", f"-----BEGIN {kind}PRIVATE KEY-----\n{head}" + "\n".join([b64s[:64]] * lines)
+                 + f"\n-----END {kind}PRIVATE KEY-----", "")]
         no = [("commit ", x40, ""), ("sha256: ", x64, ""), ("md5=", x32, ""), ("etag: \"", x32, "\""), ("checksum = ", x40, ""),
               ("id: ", uuid, ""), ("uuid=", uuid, ""), (f"{name}{op}{quote}", f"{a}_{c}", quote), (f"{name}{op}{quote}", f"{a}{c}{e}", quote),
               (f"password{op}", f"{a}{c}1", ""), (f"{name}{op}{quote}", f"your_{name}_here", quote), (f"{name}{op}", "x" * 16, ""),
@@ -240,7 +318,7 @@ def labelled_findings(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[list[
               ("", f"/usr/{a}/{c}/{e}.so.1.2", ""), ("see: ", f"https://www.{a}.com/{c}/{num}", ""), ("", f"{a}/{c}/{e}_{num[:4]}.tar.gz", ""),
               ("version: ", f"{num[0]}.{num[1]}.{num[2:4]}-{a}.{num[4:10]}", ""), ("date: ", f"20{num[:2]}-0{num[2]}-1{num[3]}T10:00:00", ""),
               ("mail: ", f"{a}.{num[:2]}@mail1.example.com", ""), ("phone: ", f"+1-{num[:3]}-{num[3:6]}-{num[:4]}", ""),
-              ("order: ", num, ""), (f"{a}: ", f"{c}{e}{a}", ""), ("", f"{a}-{c}-{e}-{num[:3]}-{a}", ""), (f"{a}=", f"{c}_{e}_{num[:2]}", "")]
+              (f"{a} ", f"-----BEGIN {kind}PRIVATE KEY-----", f" {c}"), ("order: ", num, ""), (f"{a}: ", f"{c}{e}{a}", ""), ("", f"{a}-{c}-{e}-{num[:3]}-{a}", ""), (f"{a}=", f"{c}_{e}_{num[:2]}", "")]
         out += [(left + p, v, q + right, 1) for p, v, q in yes] + [(left + p, v, q + right, 0) for p, v, q in no]
     return out, words
 

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -15,11 +17,64 @@ def test_held_out_findings(spark, sf):
     found, words = S.labelled_findings(spark.read.parquet(f"{sf}/documents.parquet"))
     cut = len(found) // 2
     judge = S.train(found[:cut], words)
-    x = np.array([S.features(*f[:3], words) for f in found[cut:]])
-    right = (judge.forest.score(x) >= S.THRESHOLD) == np.array([f[3] for f in found[cut:]])
+    right = (judge.vote(found[cut:]) >= S.THRESHOLD) == np.array([f[3] for f in found[cut:]])
     assert right.mean() >= 0.97
 
 
+def test_templates_that_training_never_saw(spark, sf):
+    """Every template is held out once, with all its findings."""
+    found, words = S.labelled_findings(spark.read.parquet(f"{sf}/documents.parquet"), 60)
+    kinds = len(found) // 60
+    assert len(found) == 60 * kinds
+    right = []
+    for fold in range(8):
+        held = [f for i, f in enumerate(found) if i % kinds % 8 == fold]
+        judge = S.train([f for i, f in enumerate(found) if i % kinds % 8 != fold], words)
+        right += ((judge.vote(held) >= S.THRESHOLD) == np.array([f[3] for f in held])).tolist()
+    assert np.mean(right) >= 0.8
+
+
+def test_words_before_a_finding_are_learned():
+    """The hand-written word patterns know nothing of these."""
+    rng = np.random.default_rng(2)
+    hexes = lambda: "".join(rng.choice(list("0123456789abcdef"), 32))
+    found = [(f"the zorb {w} ", hexes(), "", int(w == "quil")) for w in ("quil", "mott", "frin") * 80]
+    judge = S.train(found, frozenset())
+    assert judge.odds["quil"] > 1 and abs(judge.odds["zorb"]) < 0.1 and judge.odds["mott"] < -1
+    new = [(f"a zorb {w} ", hexes(), "", 0) for w in ("quil", "mott")]
+    assert (judge.vote(new) >= S.THRESHOLD).tolist() == [True, False]
+
+
+def _pem(body: str, head: str = "", kind: str = "RSA ") -> str:
+    lines = "\n".join(body[i:i + 64] for i in range(0, len(body), 64))
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{lines}\n-----END {kind}PRIVATE KEY-----"
+
+
+def test_private_keys_are_masked_whole(make, judge):
+    rng = np.random.default_rng(1)
+    b64 = lambda n: "".join(rng.choice(list("ABCDEFabcdef0123456789+/"), n))
+    locked = "Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,9A5D0F3E1C2B4A69\n\n"
+    keys = [_pem(b64(20_000)), _pem(b64(400), locked), _pem(b64(1600), kind=""), _pem(b64(200)).replace("\n", "\r\n")]
+    for key in keys:
+        assert S.candidates(f"see {key} end")[0] == (4, 4 + len(key), "known")
+    rows = [(i, f"before {k} after", 0, 0.0, "", "", "") for i, k in enumerate(keys)]
+    df = make(rows, SCHEMA)
+    assert {r.t for r in df.select(S.redacted(judge, df).alias("t")).collect()} == {f"before {S.MASK} after"}
+    prose = "-----BEGIN PRIVATE KEY----- starts it, and so on. -----END PRIVATE KEY----- ends it"
+    assert S.key_blocks(prose) == [(0, 27)]
+    two = keys[1] + "\n" + keys[2]
+    assert S.key_blocks(two) == [(0, len(keys[1])), (len(keys[1]) + 1, len(two))]
+
+
+@pytest.mark.parametrize("unit", ["eyJ-", "eyJabcdefgh.", "-----BEGIN PRIVATE KEY-----", "eyJ_ab1-", "=", "xoxb-", "sk-a1 ",
+                                  "-----BEGIN PRIVATE KEY-----\nA: b\n"])
+def test_long_runs_take_linear_time(unit):
+    text = (unit * (1_000_000 // len(unit) + 1))[:1_000_000]
+    t = time.perf_counter()
+    S.candidates(text)
+    assert time.perf_counter() - t < 2
+
+
 def test_forest_separates_and_keeps_bounds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 4))
