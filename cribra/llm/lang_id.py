@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 #: Bound of the training sample: documents per language, code points of each (a
-#: window at a seeded place), and languages (the most frequent ones).
-DOCS_PER_LANG, WINDOW_CHARS, MAX_LANGS = 250, 4000, 200
+#: window at a seeded place), and documents of all languages.  Every language is
+#: learned; with many of them each gives fewer documents.
+DOCS_PER_LANG, WINDOW_CHARS, SAMPLE_DOCS = 250, 4000, 50_000
 #: Rows a language needs to give some for calibration, how many it gives, and the
 #: words of the pieces that are read besides their whole texts.
 CALIBRATE_FROM, CALIBRATE_DOCS, FRAGMENTS = 20, 200, (1, 2, 4, 8, 16, 32)
@@ -154,6 +155,26 @@ def _pieces(word: bytes) -> list[bytes]:
     return [word[i:i + PIECE] for i in range(0, len(word), PIECE)]
 
 
+def _counts(known: DataFrame) -> dict[str, int]:
+    """Rows of each language; raises beyond SAMPLE_DOCS languages."""
+    rows = known.groupBy("lang").count().orderBy("lang").limit(SAMPLE_DOCS + 1).collect()
+    if len(rows) > SAMPLE_DOCS:
+        raise ValueError(f"more than {SAMPLE_DOCS} languages: the lang column holds something else")
+    return {r["lang"]: r["count"] for r in rows}
+
+
+def _share(n: int, per_lang: int) -> int:
+    """Documents that each of ``n`` languages may give."""
+    return min(per_lang, SAMPLE_DOCS // max(1, n))
+
+
+def _window() -> Column:
+    """WINDOW_CHARS code points of the text from a place by a hash of doc_id."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(2)),
+                   F.greatest(F.lit(1), F.length("text") - WINDOW_CHARS)).cast("int") + 1
+    return F.substr("text", place, F.lit(WINDOW_CHARS)).alias("text")
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
@@ -166,24 +187,23 @@ def fit(docs: DataFrame) -> tuple[Network | None, list[str]]:
     null text or lang are left out.  Without any row the model is None.
     """
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in
-              known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = _counts(known)
     if not counts:
         return None, []
     langs = sorted(counts)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, DOCS_PER_LANG / counts[k]))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(2)),
-                   F.greatest(F.lit(1), F.length("text") - WINDOW_CHARS)).cast("int") + 1
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
-                          < F.try_element_at(share, "lang") * (1 << 30)) \
-        .select("lang", F.substr("text", place, F.lit(WINDOW_CHARS)).alias("text")) \
-        .limit(2 * DOCS_PER_LANG * len(langs)).collect()
+    each = _share(len(langs), DOCS_PER_LANG)
+    shares = docs.sparkSession.createDataFrame(
+        [(lang, min(1.0, each / counts[lang])) for lang in langs], "lang string, share double")
+    sample = known.join(F.broadcast(shares), "lang") \
+        .filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < F.col("share") * (1 << 30)) \
+        .select("lang", _window()).limit(2 * each * len(langs)).collect()
+    number = {lang: i for i, lang in enumerate(langs)}
     words, ids = [], []
     for lang, text in sorted((r["lang"], r["text"]) for r in sample):
         for w in text.split():
             for piece in _pieces(w.encode()):
                 words.append(piece)
-                ids.append(langs.index(lang))
+                ids.append(number[lang])
     if not words:
         return None, []
     return train(words, np.array(ids), len(langs)), langs
@@ -262,7 +282,7 @@ def predict(docs: DataFrame, model: tuple[Network | None, list[str]]) -> Column:
     Null texts and texts without a letter give ``und`` and 0.0, as does a model that
     has learned nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 100 kB, by HIDDEN and MAX_LANGS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 100 kB, by HIDDEN and SAMPLE_DOCS
 
     @F.pandas_udf("struct<lang string, score double, margin double>")
     def label(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -358,24 +378,26 @@ def keep_identified(docs: DataFrame, least: float | None = None) -> DataFrame:
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(True))
     known = docs.select("doc_id", "text", "lang").filter(~out)
     if least is not None:
-        model, enough = fit(known), F.col("p.score") >= least
+        model, enough = fit(known), lambda p: p["score"] >= least
     else:
         named = known.filter("text IS NOT NULL AND lang IS NOT NULL")
-        counts = named.groupBy("lang").count().filter(F.col("count") >= CALIBRATE_FROM)
+        counts = docs.sparkSession.createDataFrame(
+            [(lang, n) for lang, n in _counts(named).items() if n >= CALIBRATE_FROM], "lang string, count long")
         apart = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0
-        named = named.join(F.broadcast(counts), "lang", "left")
+        named = named.join(F.broadcast(counts), "lang", "left")  # at most SAMPLE_DOCS rows
         model = fit(named.filter(~(apart & F.col("count").isNotNull())).select("doc_id", "text", "lang"))
-        place = F.pmod(F.xxhash64("doc_id", F.lit(2)),
-                       F.greatest(F.lit(1), F.length("text") - WINDOW_CHARS)).cast("int") + 1
+        each = _share(len(model[1]), CALIBRATE_DOCS)
         sample = named.filter(apart & F.col("count").isNotNull()) \
             .filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
-                    < F.lit(10.0 * CALIBRATE_DOCS) / F.col("count") * (1 << 30)) \
+                    < F.lit(10.0 * each) / F.col("count") * (1 << 30)) \
             .filter(F.col("text").rlike(r"\p{L}")) \
-            .select("lang", F.substr("text", place, F.lit(WINDOW_CHARS)).alias("text")).collect()
+            .select("lang", _window()).limit(2 * each * max(1, len(model[1]))).collect()
         cuts = calibrate(model, [(r["lang"], r["text"]) for r in sample])
         cut = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]) if cuts else None
-        enough = F.lit(True) if cut is None else \
-            F.col("p.margin") >= F.coalesce(F.try_element_at(cut, F.col("p.lang")), F.lit(0.0))
-    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return rows.select("row", predict(docs, model).alias("p")) \
-               .filter((F.col("p.lang") != UNKNOWN) & enough).select("row.*")
+        enough = lambda p: F.lit(True) if cut is None else \
+            p["margin"] >= F.coalesce(F.try_element_at(cut, p["lang"]), F.lit(0.0))
+    name = "p"  # the text goes through the network as the row's own column, not beside it
+    while name in docs.columns:
+        name += "_"
+    told = docs.select("*", predict(docs, model).alias(name))
+    return told.filter((F.col(name)["lang"] != UNKNOWN) & enough(F.col(name))).drop(name)

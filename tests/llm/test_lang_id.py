@@ -98,3 +98,17 @@ def test_cut_follows_the_learned_languages(make, n_langs):
     kept = [r.p for r in L.keep_identified(df).collect()]
     assert kept.count("") >= 0.97 * 60 * n_langs
     assert kept.count("mixed") <= 5
+
+
+def test_every_language_is_learned_and_too_many_raise(make, monkeypatch):
+    monkeypatch.setattr(L, "STEPS", 400)
+    # 300 languages, each of its own three letters
+    say = lambda k: " ".join(chr(0x4E00 + 3 * k + j % 3) * 2 for j in range(30))
+    rows = [(300 * i + k, say(k), f"l{k:03}", "", 0.0) for k in range(300) for i in range(4)]
+    df = make(rows, SCHEMA)
+    net, langs = L.fit(df.select("doc_id", "text", "lang"))
+    assert len(langs) == 300 and net.p["c"].shape == (300,)
+    assert len({r.lang_pred for r in L.identify(df).collect()}) > 100
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 299)
+    with pytest.raises(ValueError, match="languages"):
+        L.fit(df.select("doc_id", "text", "lang"))
