@@ -14,10 +14,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cribra.llm.common import ascii_lower, persist_shared
+from cribra.llm.common import ascii_lower, persist_shared, ranked
 
 #: Nodes of a run, levels of a builder, inputs of a builder.
 FAN, HEIGHT = 16, 3
@@ -87,27 +87,6 @@ def fold(leaf: str, path: list[tuple[str, str]]) -> str:
     return leaf
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Adds ``rank``, the 0-based place of each row in its group, and writes the table.
-
-    Rows are dealt to sorted ranges, so no group meets in one task; the rows of every
-    (range, group) then give its offset.  Only these counts meet in a window.  Rows
-    equal in all columns named take any order among themselves.
-    """
-    keys = [*group, *order, "_turn"]
-    laid = persist_shared(
-        df.withColumn("_turn", F.monotonically_increasing_id())
-          .repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_turn")
-          .withColumn("_at", F.monotonically_increasing_id())
-          .withColumn("_range", F.shiftright("_at", 33)), "sorted")
-    counts = laid.groupBy("_range", *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return laid.join(counts, ["_range", *group]) \
-               .withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first")) \
-               .drop("_range", "_at", "_first", "_n", "_before")
-
-
 def leaf_of(docs: DataFrame, text: Column) -> Column:
     """Digest of a row: each field is ``-`` if null, else its bytes, ``:`` and the value."""
     fields = [text if c == "text" else F.col(c).cast("string")

@@ -1,10 +1,14 @@
 """Mixing overlapping sources to target weights by a min-cost flow.
 
 Documents are aggregated by membership pattern (the set of sources that list
-them).  The driver sees one row per pattern only: a flow routes the patterns'
-tokens, each usable up to ``repeats`` times at a convex cost per repetition, to
-the quotas of their sources.  The flow says how many tokens of a pattern each of
-its sources takes; documents are then chosen in a seeded order by prefix sums.
+them).  A flow routes the patterns' tokens, each usable up to ``repeats`` times at a
+convex cost per repetition, to the quotas of their sources.  It says how many tokens
+of a pattern each of its sources takes; documents are then chosen in a seeded order by
+prefix sums.
+
+Targets come from sorted running sums over the table of sources.  A source that shares
+no document with another one needs no search either: its one pattern supplies it.  So
+the driver sees only the patterns of sources that overlap, one row each.
 
 The prefix sums need no sort of a whole pattern: a histogram over HASH_BUCKETS
 hash ranges finds the range in which a cut falls, and only that range's documents
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from cribra.llm.common import n_words, persist_shared
+from cribra.llm.common import n_words, persist_shared, ranked
 
 #: Steps in which the cost of one more pass over a pattern rises.
 SLICES = 8
@@ -133,48 +137,88 @@ def sized(docs: DataFrame, sources: Column, seed: int = 0) -> DataFrame:
                     seeded_hash(F.col("doc_id"), seed).alias("h")), "sized")
 
 
-def pattern_sizes(docs: DataFrame, max_patterns: int = 100_000) -> dict[tuple, int]:
-    """Tokens per membership pattern; raises beyond ``max_patterns`` patterns, the
-    bound on what a mixture may ask the driver to solve."""
-    rows = docs.groupBy("sources").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns: group the sources first")
-    return {tuple(r["sources"]): r["size"] for r in rows if r["sources"]}
-
+def source_targets(listed: DataFrame, weights: list[int], share: float = 1.0, repeats: int = 3) -> DataFrame:
+    """``targets`` over a table: ``source, source_size, target`` from ``listed(source,
+    source_size)``; ``share`` of all sizes is shared out.
 
-def select(docs: DataFrame, flow: dict[tuple, dict], sizes: dict[tuple, int]) -> DataFrame:
-    """Documents for a flow: ``doc_id, sources, size, copies, by_source``.
-
-    ``docs`` comes from ``sized``.  ``copies`` is how often the mix takes the
-    document, ``by_source`` how many of them each source counts.  Within a pattern
-    the documents form a line in seeded order, passed over again and again; each
-    source takes a stretch of it.  A document belongs to the stretch its middle lies
-    in, so each stretch is met to half a document.  Rows of one doc_id go together.
-    Documents without sources or words are taken 0 times.
+    Sources are numbered by code point, null last, and ordered by the level at which
+    they stop; the first that does not stop gives the level of the rest.
     """
-    spark = docs.sparkSession
-    rows = []
-    for p, parts in flow.items():
-        end = 0
-        for i, s in enumerate(p):
-            end += parts[s]
-            if sizes[p]:
-                rows.append((list(p), i, s, end // sizes[p], end % sizes[p]))
-    schema = T.StructType([
-        T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("i", T.IntegerType()),
-        T.StructField("source", T.StringType()), T.StructField("passes", T.LongType()),
-        T.StructField("cut", T.LongType())])
-    cuts = F.broadcast(spark.createDataFrame(rows, schema))  # bounded by max_patterns
-
+    order = ranked(listed.withColumn("last", F.col("source").isNull()), [], ["last", "source"])
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    cap = F.col("source_size") * repeats
+    order = order.select("source", "source_size", F.col("rank").alias("place"), weight.cast("long").alias("w"),
+                         cap.alias("cap"), (cap.cast("double") / weight).alias("stops"))
+    order = persist_shared(ranked(order, [], ["stops", "place"], ("cap", "w")), "targets")
+    total = order.agg(F.sum("source_size"), F.sum("w")).first()
+    tokens = int(share * (total[0] or 0))
+    level = (F.lit(tokens) - F.col("cap_before")).cast("double") / (F.lit(total[1] or 0) - F.col("w_before"))
+    first = order.withColumn("level", level).filter("cap >= level * w") \
+        .agg(F.min_by("level", "rank").alias("level")).first()["level"]
+    target = F.col("cap").cast("double") if first is None else \
+        F.least(F.col("cap").cast("double"), F.lit(first) * F.col("w"))
+    return order.select("source", "source_size", target.alias("target"))
+
+
+def pattern_sizes(docs: DataFrame) -> DataFrame:
+    """``sources, size``: tokens per membership pattern, without the empty one."""
+    return docs.groupBy("sources").agg(F.sum("size").alias("size")).filter("size(sources) > 0")
+
+
+def _shared(patterns: DataFrame, max_patterns: int) -> dict[tuple, int]:
+    """The patterns of all sources that share a document with another one; raises
+    beyond ``max_patterns``, the bound on the flow that the driver solves."""
+    touched = patterns.filter("size(sources) > 1").select(F.explode("sources").alias("s")).distinct() \
+        .select(F.array("s").alias("sources"))
+    rows = patterns.filter("size(sources) > 1").unionByName(
+        patterns.join(touched, "sources", "left_semi")).limit(max_patterns + 1).collect()
+    if len(rows) > max_patterns:
+        raise ValueError(f"more than {max_patterns} overlapping membership patterns: group the sources first")
+    return {tuple(r["sources"]): r["size"] for r in rows}
+
+
+_CUTS = T.StructType([
+    T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("i", T.IntegerType()),
+    T.StructField("source", T.StringType()), T.StructField("passes", T.LongType()),
+    T.StructField("cut", T.LongType())])
+
+
+def cuts(patterns: DataFrame, goal: DataFrame, repeats: int = 3, max_patterns: int = 100_000) -> DataFrame:
+    """``sources, i, source, passes, cut``: where the stretch of each source of a pattern
+    ends, in whole passes over the pattern and tokens of the next one."""
+    quota = F.floor(F.col("target") + 0.5).cast("long")
+    shared = _shared(patterns, max_patterns)
+    rows, names = [], sorted({s for p in shared for s in p}, key=lambda s: (s is None, s or ""))
+    if shared:
+        wanted = goal.sparkSession.createDataFrame([(s,) for s in names], "s string")
+        found = goal.join(wanted, goal["source"].eqNullSafe(wanted["s"])).select("source", quota.alias("q"))
+        flow = route(shared, {r["source"]: r["q"] for r in found.collect()}, repeats)
+        for p, parts in flow.items():
+            end = 0
+            for i, s in enumerate(p):
+                end += parts[s]
+                if shared[p]:
+                    rows.append((list(p), i, s, end // shared[p], end % shared[p]))
+    solved = goal.sparkSession.createDataFrame(rows, _CUTS)
+    taken = F.least(quota, F.col("source_size") * repeats)
+    alone = goal.withColumn("sources", F.array("source")).join(
+        goal.sparkSession.createDataFrame([([s],) for s in names], "sources array<string>"), "sources", "left_anti")
+    div = lambda name: F.call_function(name, taken, F.col("source_size"))
+    return solved.unionByName(alone.filter("source_size > 0").select(
+        "sources", F.lit(0).alias("i"), "source", div("div").alias("passes"), div("mod").alias("cut")))
+
+
+def _marks(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``sources, marks``: the last document of each stretch, from ``sized`` documents
+    and ``cuts``."""
     shift = HASH_BITS - RANGE_BITS
     docs = docs.withColumn("range", F.shiftright("h", shift))
     hist = docs.groupBy("sources", "range").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("sources").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("start", F.coalesce(F.sum("in_range").over(before), F.lit(0)))
-    hit = hist.join(cuts, "sources").filter("start < cut AND cut <= start + in_range") \
+    hit = hist.join(ends, "sources").filter("start < cut AND cut <= start + in_range") \
               .select("sources", "range", "i", "start", "cut")
-    line = docs.join(F.broadcast(hit.select("sources", "range").distinct()), ["sources", "range"],
-                     "left_semi") \
+    line = docs.join(hit.select("sources", "range").distinct(), ["sources", "range"], "left_semi") \
                .groupBy("sources", "range", "h", "doc_id").agg(F.sum("size").alias("size"))
     up_to = Window.partitionBy("sources", "range").orderBy("h", "doc_id") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -184,40 +228,61 @@ def select(docs: DataFrame, flow: dict[tuple, dict], sizes: dict[tuple, int]) ->
               .filter("doc_id IS NULL OR 2 * (start + end) - size < 2 * cut") \
               .groupBy("sources", "i").agg(F.max(F.struct("h", "doc_id")).alias("last"))
     found = hit.join(last, ["sources", "i"], "left").select("sources", "i", "range", "last")
-    marks = cuts.join(found, ["sources", "i"], "left").groupBy("sources").agg(
+    return ends.join(found, ["sources", "i"], "left").groupBy("sources").agg(
         F.array_sort(F.collect_list(F.struct("i", "source", "passes", "range", "last"))).alias("marks"))
 
+
+def _passes(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Adds ``n``: per source of a document's pattern, how often the stretches up to that
+    source's take the document (doc_id, sources, size, h)."""
     me = F.struct("h", "doc_id")
-    counted = docs.join(F.broadcast(marks), "sources", "left").withColumn("n", F.transform(
-        "marks", lambda m: F.when(F.col("size") == 0, 0).otherwise(m["passes"] + F.when(
-            (F.col("range") < m["range"])
-            | ((F.col("range") == m["range"]) & (me <= m["last"])), 1).otherwise(0))))
-    return counted.select(
-        "doc_id", "sources", "size",
-        F.coalesce(F.get("n", F.size("n") - 1), F.lit(0)).cast("long").alias("copies"),
-        F.transform("marks", lambda m, i: F.struct(
-            m["source"].alias("source"),
-            (F.get("n", i) - F.coalesce(F.get("n", i - 1), F.lit(0))).alias("copies"))).alias("by_source"))
+    return docs.withColumn("range", F.shiftright("h", HASH_BITS - RANGE_BITS)) \
+        .join(marks, "sources", "left").withColumn("n", F.transform(
+            "marks", lambda m: F.when(F.col("size") == 0, 0).otherwise(m["passes"] + F.when(
+                (F.col("range") < m["range"])
+                | ((F.col("range") == m["range"]) & (me <= m["last"])), 1).otherwise(0))))
+
+
+def _copies() -> Column:
+    return F.coalesce(F.get("n", F.size("n") - 1), F.lit(0)).cast("long")
+
+
+def _solved(docs: DataFrame, sources: Column, weights: list[int], share: float, repeats: int,
+            seed: int, max_patterns: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sized documents, targets, and the marks of the mix."""
+    table = sized(docs, sources, seed)
+    patterns = persist_shared(pattern_sizes(table), "patterns")
+    listed = patterns.select(F.explode("sources").alias("source"), "size") \
+        .groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = persist_shared(source_targets(listed, weights, share, repeats), "goal")
+    ends = persist_shared(cuts(patterns, goal, repeats, max_patterns), "cuts")
+    return table, goal, persist_shared(_marks(table, ends), "marks")
 
 
 def mix(docs: DataFrame, sources: Column, weights: list[int], share: float = 1.0,
-        repeats: int = 3, seed: int = 0) -> tuple[DataFrame, dict, dict]:
+        repeats: int = 3, seed: int = 0, max_patterns: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Chooses documents so that each source comes near its share of the tokens.
 
     ``docs`` needs doc_id and text; ``sources`` is an array column of the sources
-    that list a document.  Returns the choice (see ``select``), the tokens that each
-    source lists and the target of each source.  Null texts have size 0; an empty
-    table gives an empty choice.  Reruns choose the same documents.
+    that list a document.  Returns the choice, ``doc_id, sources, size, copies,
+    by_source``, and ``source, source_size, target`` of each source: the tokens that it
+    lists and those it should get, of ``share`` of all that sources list.
+
+    ``copies`` is how often the mix takes the document, ``by_source`` how many of them
+    each source counts.  Within a pattern the documents form a line in seeded order,
+    passed over again and again; each source takes a stretch of it.  A document belongs
+    to the stretch its middle lies in, so each stretch is met to half a document.  Rows
+    of one doc_id and pattern go together.  Documents without sources or words are taken
+    0 times.  Null texts have size 0; an empty table gives an empty choice.  Reruns
+    choose the same documents.  More than ``max_patterns`` patterns of overlapping
+    sources raise ValueError; sources of their own may be any number.
     """
-    table = sized(docs, sources, seed)
-    sizes = pattern_sizes(table)
-    listed: dict = {}
-    for p, n in sizes.items():
-        for s in p:
-            listed[s] = listed.get(s, 0) + n
-    goal = targets(listed, weights, int(share * sum(sizes.values())), repeats) if listed else {}
-    quotas = {s: int(t + 0.5) for s, t in goal.items()}
-    return select(table, route(sizes, quotas, repeats), sizes), listed, goal
+    table, goal, marks = _solved(docs, sources, weights, share, repeats, seed, max_patterns)
+    return _passes(table, marks).select(
+        "doc_id", "sources", "size", _copies().alias("copies"),
+        F.transform("marks", lambda m, i: F.struct(
+            m["source"].alias("source"),
+            (F.get("n", i) - F.coalesce(F.get("n", i - 1), F.lit(0))).alias("copies"))).alias("by_source")), goal
 
 
 def mix_by_source(docs: DataFrame, weights: list[int], seed: int = 0) -> DataFrame:
@@ -225,11 +290,9 @@ def mix_by_source(docs: DataFrame, weights: list[int], seed: int = 0) -> DataFra
 
     ``taken`` counts words, repeats included.  See ``mix`` for empty cases.
     """
-    chosen, listed, goal = mix(docs, F.array("source"), weights, seed=seed)
-    spark = docs.sparkSession
-    per_source = spark.createDataFrame(
-        [([s], listed[s], goal[s]) for s in goal], "sources array<string>, source_size long, target double")
-    return chosen.join(F.broadcast(per_source), "sources", "left").select(
+    chosen, goal = mix(docs, F.array("source"), weights, seed=seed)
+    per_source = goal.select(F.array("source").alias("sources"), "source_size", "target")
+    return chosen.join(per_source, "sources", "left").select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -237,14 +300,15 @@ def mix_by_source(docs: DataFrame, weights: list[int], seed: int = 0) -> DataFra
 def repeat_documents(docs: DataFrame, weights: list[int], seed: int = 0) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it.
 
-    All columns stay; rows that the mix takes 0 times go.
+    All columns stay; rows that the mix takes 0 times go.  A doc_id that stands in
+    several sources is taken by each as its own targets say.
     """
-    chosen = mix(docs, F.array("source"), weights, seed=seed)[0] \
-        .filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(chosen, rows["row.doc_id"].eqNullSafe(chosen["doc_id"])) \
-               .select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))) \
-               .select("row.*")
+    one = F.array("source")
+    _, _, marks = _solved(docs, one, weights, 1.0, 3, seed, 1)
+    rows = docs.select(F.struct("*").alias("whole"), "doc_id", one.alias("sources"),
+                       n_words(F.col("text")).alias("size"), seeded_hash(F.col("doc_id"), seed).alias("h"))
+    return _passes(rows, marks).select("whole", _copies().alias("copies")).filter("copies > 0") \
+        .select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
 
 
 #: The same mix of single-source documents in DuckDB, for weights 5, 2, 1 and seed 0.

@@ -80,7 +80,8 @@ def test_overlapping_sources_come_near_their_quotas(make):
         src = rng.choice([["a"], ["a"], ["b"], ["a", "b"], ["b", "c"], ["c", "c", "a"]])
         rows.append((i, " ".join(["w"] * rng.randint(0, 30)), src))
     docs = make(rows, "doc_id long, text string, src array<string>")
-    chosen, listed, goal = mixing.mix(docs, F.col("src"), [1, 3, 2])
+    chosen, goal = mixing.mix(docs, F.col("src"), [1, 3, 2])
+    goal = {r.source: r.target for r in goal.collect()}
     got = chosen.select("size", "copies", F.explode("by_source").alias("b")).groupBy("b.source").agg(
         F.sum(F.col("size") * F.col("b.copies")).alias("n")).collect()
     for r in got:
@@ -108,7 +109,37 @@ def test_nulls_ties_empty_tables_and_clashing_columns(make):
     assert mixing.repeat_documents(docs.limit(0), [5, 2, 1]).count() == 0
 
 
-def test_too_many_patterns_raise(make):
-    docs = make([(i, "w", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
+def test_too_many_overlapping_patterns_raise(make):
+    rows = [(i, "w w", [f"s{i}"]) for i in range(5)] + [(9, "w", ["s0", "s1"])]
+    docs = make(rows, "doc_id long, text string, src array<string>")
     with pytest.raises(ValueError, match="membership patterns"):
-        mixing.pattern_sizes(mixing.sized(docs, F.array("source")), 4)
+        mixing.mix(docs, F.col("src"), [1], max_patterns=2)
+    chosen, goal = mixing.mix(docs, F.col("src"), [1], max_patterns=3)
+    assert chosen.count() == 6 and goal.count() == 5
+
+
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_targets_over_a_table_equal_the_plain_ones(make, n):
+    rng = random.Random(n)
+    sizes = {None if i == 3 else f"s{rng.random()}": rng.choice([0, 5, rng.randint(1, 10 ** 6)]) for i in range(n)}
+    want = mixing.targets(sizes, [5, 2, 1], sum(sizes.values()))
+    got = mixing.source_targets(make(list(sizes.items()), "source string, source_size long"), [5, 2, 1])
+    assert {r.source: r.target for r in got.collect()} == pytest.approx(want)
+
+
+def test_many_sources(spark):
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "repeat('w ', int(id % 5)) AS text", "concat('s', id) AS source")
+    got = mixing.mix_by_source(docs, [5, 2, 1]).selectExpr(
+        "count(*) AS n", "sum(taken) AS taken", "sum(target) AS target", "max(taken - 3 * size) AS over").first()
+    assert (got.n, got.over) == (200_000, 0)
+    assert abs(got.taken - got.target) < 200_000 * 2.5
+
+
+def test_a_doc_id_in_two_sources_is_taken_by_each(make):
+    rows = [(i, "w " * 10, "a") for i in range(200)] + [(i, "v " * 10, "b") for i in range(200)] + \
+        [(i, "u " * 100, "c") for i in range(1000, 1100)]
+    docs = make(rows, "doc_id long, text string, source string")
+    got = {r.source: r.n for r in mixing.repeat_documents(docs, [5, 2, 1]).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    goal = {r.source: r.target / (10 if r.source != "c" else 100) for r in mixing.mix(docs, F.array("source"), [5, 2, 1])[1].collect()}
+    assert all(abs(got.get(s, 0) - goal[s]) <= 1 for s in goal)
