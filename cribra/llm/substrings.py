@@ -5,7 +5,7 @@ period that moves both to cover positions.  So two equal windows of ``window`` w
 share an aligned anchor: equal sequences of ``window - period + 1`` words that start
 at cover positions of both.  Only anchors at cover positions are hashed and counted;
 those that occur once end there.  Around the others every window that contains the
-anchor is hashed whole (128 bits) and counted, which extends the match exactly.
+anchor is hashed whole (96 bits) and counted, which extends the match.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cribra.llm.common import persist_shared
@@ -22,7 +22,7 @@ from cribra.llm.common import persist_shared
 #: Difference covers by period (fixed values: the smallest ones).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _BYTES, _WORDS, _MORE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
@@ -105,12 +105,12 @@ def _anchors(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """``f, g, row, start``: windows around the anchors ``at`` of each text."""
+    """``f, g, row, start, many``: windows around the anchors ``at`` of each text."""
     reach = period_for(window) - 1
 
     def run(batches):
         for batch in batches:
-            rows, anchors = batch.column(0).to_numpy(), batch.column(2)
+            rows, anchors, many = batch.column(0).to_numpy(), batch.column(2), np.array(batch.column(3))
             for first, pieces in _chunks(batch.column(1), CHUNK):
                 hashes, firsts = word_hashes(pieces)
                 starts = []
@@ -125,36 +125,55 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                 text = np.repeat(np.arange(len(pieces)), [len(s) for s in starts])
                 for part in np.array_split(np.arange(len(i)), max(1, len(i) >> 16)):
                     j, t = i[part], text[part]
+                    f, g = (_rolling(hashes, base, j, j + window) for base in (_WORDS, _MORE))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(_rolling(hashes, base, j, j + window).view(np.int64))
-                         for base in (_WORDS, _MORE)] +
-                        [pa.array(rows[first + t]), pa.array((j - firsts[t]).astype(np.int32))],
-                        ["f", "g", "row", "start"])
+                        [pa.array(f.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32)),
+                         pa.array(rows[first + t]), pa.array((j - firsts[t]).astype(np.int32)),
+                         pa.array(many[first + t])], ["f", "g", "row", "start", "many"])
 
-    return texts.select("row", F.col("text").cast("binary"), "at").mapInArrow(
-        run, "f long, g long, row long, start int")
+    return texts.select("row", F.col("text").cast("binary"), "at", "many").mapInArrow(
+        run, "f long, g int, row long, start int, many boolean")
 
 
-def _repeated(found: DataFrame, *keys: str) -> DataFrame:
-    """Rows of ``found`` whose key occurs again.  Counts are summed before the shuffle;
-    the join's partitions can be split, so a key may hold any share of the rows."""
-    again = persist_shared(found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-                                .select(*keys), "repeated")
-    return found.join(again.hint("shuffle_hash"), list(keys)).drop(*keys)
+def _repeated(found: DataFrame, keys: list[str], more: Column) -> DataFrame:
+    """Keys of ``found`` that occur again, or for which ``more``, an aggregate, holds.
+    Counts are summed before the shuffle, and partitions of a join with the keys can be
+    split, so a key may hold any share of the rows."""
+    again = persist_shared(found.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias("n"), more.alias("more"))
+                                .filter("n OR more").select(*keys), "repeated")
+    return again.hint("shuffle_hash")
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """``texts(row, doc_id, text)``, written once, and ``starts(row, starts)``: for every
-    row that has them the places (in words, 0-based, ascending) of its windows of
-    ``window`` words whose sequence also starts elsewhere, in the same text or another."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    path = persist_shared(texts, "texts", compression="zstd")
-    anchors = _repeated(_anchors(path, window), "h")
-    near = persist_shared(anchors.groupBy("row").agg(F.collect_list("at").alias("at")), "anchored")
-    windows = persist_shared(_windows(path.join(near, "row"), window), "windows")
-    starts = _repeated(windows, "f", "g").groupBy("row") \
-        .agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    return path, persist_shared(starts, "starts")
+    """``texts(row, doc_id, text)``, written once, and ``marks(row, starts, copy)``: for
+    every row that has them the places (in words, 0-based, ascending) of its windows of
+    ``window`` words whose sequence also starts elsewhere, in the same text or another.
+
+    Rows whose whole text occurs again have ``copy`` instead: all their windows repeat.
+    Only the first of such rows meets the others, for all of them.
+    """
+    texts = persist_shared(docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text",
+        F.unhex(F.md5("text")).alias("digest")), "texts", compression="zstd")
+    # written, so that the join deals both sides anew and can split a large group of copies
+    groups = persist_shared(
+        texts.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+             .filter("n > 1 AND digest IS NOT NULL").select("digest", "first"), "groups")
+    copies = persist_shared(texts.select("row", "digest").join(groups, "digest")
+                            .select("row", (F.col("row") == F.col("first")).alias("first")), "copies")
+
+    anchors = _anchors(texts, window)
+    near = anchors.join(_repeated(anchors, ["h"], F.lit(False)), "h") \
+        .groupBy("row").agg(F.collect_list("at").alias("at")) \
+        .join(copies, "row", "left").filter("first IS NULL OR first") \
+        .select("row", "at", F.col("first").isNotNull().alias("many"))
+    windows = persist_shared(_windows(texts.join(persist_shared(near, "anchored"), "row"), window), "windows")
+    keys = ["f", "g"]
+    starts = windows.filter("NOT many").join(_repeated(windows, keys, F.max("many")), keys) \
+        .groupBy("row").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    marks = starts.select("row", "starts", F.lit(False).alias("copy")).unionByName(
+        copies.select("row", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    return texts.drop("digest"), persist_shared(marks, "marks")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -169,15 +188,17 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     null doc_id is kept as it is.  Other columns are ignored; an empty table gives no
     rows.
     """
-    texts, starts = repeated_windows(docs, window)
+    texts, marks = repeated_windows(docs, window)
 
     def run(batches):
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, at in zip(batch.column(1), batch.column(2)):
+            for text, at, copy in zip(*batch.columns[1:]):
                 words = (text.as_py() or b"").split()  # bytes: ASCII white space only
                 total.append(len(words))
-                if at.is_valid:
+                if copy.as_py() and len(words) >= window:
+                    words = []
+                elif at.is_valid and len(at):
                     edge = np.zeros(len(words) + 1, np.int64)
                     i = at.values.to_numpy()
                     edge[i] += 1
@@ -189,7 +210,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                 [batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()),
                  pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return texts.join(starts, "row", "left").select("doc_id", F.col("text").cast("binary"), "starts") \
+    return texts.join(marks, "row", "left").select("doc_id", F.col("text").cast("binary"), "starts", "copy") \
         .mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary") \
         .withColumn("kept", F.col("kept").cast("string"))
 
