@@ -58,11 +58,6 @@ def _with_hints(requests: DataFrame, hint_text: str | None, index: DataFrame | N
     return attach_hints(requests, blocks=hint_block(hits, "hint"))
 
 
-def _require_rows(requests: DataFrame, path: str) -> None:
-    if requests.isEmpty():
-        raise ValueError(f"No rows in {path}")
-
-
 def run_scaffold_batch(spark: SparkSession, input_csv: str, output_csv: str, *,
                        responses: DataFrame | None = None, factory=None, num_samples: int = 6,
                        first_n: int | None = None, instruction: str = "",
@@ -74,13 +69,13 @@ def run_scaffold_batch(spark: SparkSession, input_csv: str, output_csv: str, *,
     prompt that leaves no room is not sent and reported as ``prompt_too_long``.
     """
     req = read_requests(spark, input_csv, jobs.SCAFFOLD_INPUT, first_n)
-    good, _ = jobs.split_requests(req)                    # first bad row fails the job
-    _require_rows(good, input_csv)
+    good, _ = jobs.split_requests(req, require=input_csv)  # first bad row fails the job
     resp = _responses(spark, jobs.scaffold_prompts(good, instruction), responses, factory,
                       num_samples, "prompt", _budget_error(prompt_tokens, max_len))
     out = jobs.scaffold_job(good, resp, num_samples)
     obs = Observation("scaffold")
-    out = out.observe(obs, F.count(F.lit(1)).alias("written"))
+    # the sink orders the rows, which reads them twice: count and compute them once
+    out = write_shared(out.observe(obs, F.count(F.lit(1)).alias("written")), "scaffold")
     write_results(out, output_csv, jobs.SCAFFOLD_OUTPUT, single_file=single_file)
     return {"written": obs.get["written"]}
 
@@ -101,8 +96,7 @@ def run_crystal_batch(spark: SparkSession, input_csv: str, output_csv: str, outp
     and ``max_len`` as in ``run_scaffold_batch``.
     """
     req = read_requests(spark, input_csv, jobs.CIF_INPUT, first_n)
-    good, _ = jobs.split_requests(req, with_scaffold=True)
-    _require_rows(good, input_csv)
+    good, _ = jobs.split_requests(req, with_scaffold=True, require=input_csv)
     todo = good.filter(F.col("scaffold_full") != "")     # P18: skip before generation
     if responses is None:
         todo = _with_hints(todo, hint_text, index)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cribra.functions.labels import (DEFAULT_ANGLE_EDGES, DEFAULT_RATIO_EDGES,
@@ -23,6 +23,7 @@ from cribra.functions.util import col_of
 from cribra.operators import parse as ps
 from cribra.operators import rules as rl
 from cribra.operators import select as sl
+from cribra.session import write_shared
 
 # Input and output column lists of the two batch jobs.
 SCAFFOLD_INPUT = ("material_id", "pretty_formula", "space_group")
@@ -63,20 +64,30 @@ def check_requests(df: DataFrame, with_scaffold: bool = False) -> DataFrame:
     return df.select(*cols, err.alias("row_error"))
 
 
-def split_requests(df: DataFrame, with_scaffold: bool = False,
-                   on_error: str = "fail") -> tuple[DataFrame, DataFrame]:
-    """P1 with both policies: ``fail`` raises the first bad row's message (one
-    aggregate row reaches the driver); ``quarantine`` returns ``(good, bad)``."""
+def split_requests(df: DataFrame, with_scaffold: bool = False, on_error: str = "fail",
+                   require: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """P1 with both policies: ``fail`` raises the first bad row's message,
+    ``quarantine`` returns ``(good, bad)``.
+
+    With ``fail`` the checked rows are written to the shared folder once, and the first
+    error is found while they are written, so that the input is read a single time;
+    what is returned reads that table.  Nothing else has been written when it raises.
+    ``require`` names the input in the error for a table without rows.
+    """
     checked = check_requests(df, with_scaffold)
-    good = checked.filter(F.col("row_error").isNull()).drop("row_error")
-    bad = checked.filter(F.col("row_error").isNotNull())
     if on_error == "fail":
-        first = bad.agg(F.min_by("row_error", "row_id").alias("e")).first()
-        if first is not None and first["e"] is not None:
-            raise RequestError(first["e"])
+        obs = Observation("requests")
+        checked = write_shared(checked.observe(
+            obs, F.min_by("row_error", F.when(F.col("row_error").isNotNull(), F.col("row_id"))).alias("first"),
+            F.count(F.lit(1)).alias("rows")), "requests")
+        if obs.get["first"] is not None:
+            raise RequestError(obs.get["first"])
+        if require is not None and not obs.get["rows"]:
+            raise ValueError(f"No rows in {require}")
     elif on_error != "quarantine":
         raise ValueError("on_error must be 'fail' or 'quarantine'")
-    return good, bad
+    good = checked.filter(F.col("row_error").isNull()).drop("row_error")
+    return good, checked.filter(F.col("row_error").isNotNull())
 
 
 # ------------------------------------------------------------------ D1 W1 W2
@@ -88,14 +99,16 @@ def prepare_responses(responses: DataFrame, n: int | None, key: str = "row_id",
     whitespace-normalised text (stripped original kept), number 0.. in response
     order, keep the first ``n``.
 
-    One hash exchange on ``key``; both windows reuse it (a partitioning on
-    ``key`` satisfies ``partitionBy(key, k)``).  Responses per request are
-    bounded by the generator's sample count.
+    One hash exchange on ``key`` moves each text once; both windows reuse it (a
+    partitioning on ``key`` satisfies ``partitionBy(key, k)``).  What is compared is a
+    256-bit digest of the normalised text, made after the exchange, so that sorting
+    moves no second text.  Responses per request are bounded by the generator's sample
+    count.
     """
-    r = responses.select(key, seq, *keep, strip_ws(text).alias("response"),
-                         normalize_ws(text).alias("_k")).filter(F.col("_k") != "")
+    r = responses.select(key, seq, *keep, strip_ws(text).alias("response")).filter(F.col("response") != "")
     if not presorted:
         r = r.repartition(key)
+    r = r.withColumn("_k", F.unhex(F.sha2(normalize_ws("response"), 256)))
     r = sl.dedupe_first(r, key, "_k", seq)
     return sl.number_rows(r, key, seq, "rank", limit=n).drop("_k")
 

@@ -970,3 +970,64 @@ def q_csv_roundtrip(spark, sf):
     write_results(p, path, cols)
     back = read_requests(spark, path, cols, ordinal="line_no")
     return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cols], "line_no")
+
+
+_CSV_COLUMNS = ["row_id", "material_id", "pretty_formula", "space_group"]
+
+
+def _tricky_parts(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("material_id"),
+        _tricky_text().alias("pretty_formula"), F.col("p_size").alias("space_group"))
+
+
+_TRICKY_SQL = """CASE WHEN p_partkey % 5 = 0 THEN 'say "' || p_name || '"'
+       WHEN p_partkey % 5 = 1 THEN p_name || chr(10) || 'second, line'
+       WHEN p_partkey % 5 = 2 THEN '  ' || p_name || '\\n'
+       WHEN p_partkey % 5 = 3 THEN '' ELSE p_name END"""
+
+
+@register("csv_splits", f"""
+SELECT CAST(p_partkey AS VARCHAR) AS row_id, {_TRICKY_SQL} AS pretty_formula,
+  row_number() OVER (ORDER BY p_partkey) - 1 AS line_no
+FROM part""")
+def q_csv_splits(spark, sf):
+    """S1 on one file that is read in many splits, quoted line ends across their borders."""
+    from cribra.session import shared_path
+    from cribra.sources.io import read_requests, write_results
+    path = shared_path(spark, "one-file")
+    write_results(_tricky_parts(spark, sf), path, _CSV_COLUMNS, single_file=True)
+    back = read_requests(spark, path, _CSV_COLUMNS, ordinal="line_no", split_bytes=4096)
+    return back.select("row_id", F.coalesce("pretty_formula", F.lit("")).alias("pretty_formula"), "line_no")
+
+
+@register("first_rows", f"""
+SELECT CAST(p_partkey AS VARCHAR) AS row_id, {_TRICKY_SQL} AS pretty_formula, line_no
+FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS line_no FROM part)
+WHERE line_no < 150""")
+def q_first_rows(spark, sf):
+    """L1: the first rows of a CSV of many files; later files are not read."""
+    from cribra.session import shared_path
+    from cribra.sources.io import read_requests, write_results
+    path = shared_path(spark, "many-files")
+    write_results(_tricky_parts(spark, sf), path, _CSV_COLUMNS)
+    back = read_requests(spark, path, _CSV_COLUMNS, first_n=150, ordinal="line_no")
+    return back.select("row_id", F.coalesce("pretty_formula", F.lit("")).alias("pretty_formula"), "line_no")
+
+
+@register("text_file", """
+SELECT regexp_replace(s_name, '[^A-Za-z0-9._-]+', '_', 'g') || '.txt' AS file,
+       'supplier ' || s_name || chr(10) || 'nation ' || CAST(s_nationkey AS VARCHAR) AS text
+FROM supplier""")
+def q_text_file(spark, sf):
+    """S6 then S3: a text file per supplier, read back as one stripped value each."""
+    from cribra.session import shared_path
+    from cribra.sources.io import read_text, text_files, write_text_files
+    path = shared_path(spark, "texts")
+    texts = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("row_id"), "s_name",
+        F.concat(F.lit("  supplier "), "s_name", F.lit("\nnation "), F.col("s_nationkey").cast("string"),
+                 F.lit(" \t\n")).alias("text"))
+    write_text_files(text_files(texts, "s_name", "text", path, suffix=".txt"))
+    return read_text(spark, path, file="file").select(
+        F.element_at(F.split("file", "/"), -1).alias("file"), "text")

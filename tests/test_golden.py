@@ -2,6 +2,7 @@
 
 import csv
 import io
+import random
 import json
 
 import pytest
@@ -564,6 +565,65 @@ def test_rows_of_many_files_are_numbered_in_file_order(spark, tmp_path):
     assert part[0].read_text().split() == ["row_id"] + [str(i) for i in range(1000)] and len(part) == 1
 
 
+CSV_VALUES = ["plain", "", 'q"uote', "a,b", "two\nlines", "\n", "cr\r\nlf", '"', '""', "\u00e9\U0001f600", " pad ",
+              '5" pipe', 'a\n"b"\n,c', ",", '"\n"', "x" * 300]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", [64, 1000, 1 << 20])
+def test_csv_is_read_alike_in_any_number_of_splits(spark, tmp_path, end, split):
+    from cribra.sources.io import read_requests
+    rng = random.Random(split)
+    path = tmp_path / "in.csv"
+    rows = [r for r in ([rng.choice(CSV_VALUES) for _ in range(3)] for _ in range(250)) if any(r)]
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, lineterminator=end)
+        out.writerow(["a", "b", "c"])
+        out.writerows(rows)
+        f.write(end + end + 'un"quoted,5" x,t' + end + "short" + end + "1,2,3,4" + end + '"open,\n1,2')
+    with open(path, newline="", encoding="utf-8") as f:
+        want = [(r + ["", ""])[:3] for r in list(csv.reader(f))[1:] if r]
+    got = read_requests(spark, str(path), ["c", "a", "b"], split_bytes=split).orderBy("row_id").collect()
+    assert [[r.a or "", r.b or "", r.c or ""] for r in got] == want
+    assert [r.row_id for r in got] == list(range(len(want)))
+
+
+def test_first_rows_read_only_the_files_that_hold_them(spark, tmp_path):
+    from cribra.sources import io, records
+    for i in range(6):
+        text = "id,x\n" + "".join(f'"{i}\n{j}",{j}\n' for j in range(10))
+        (tmp_path / f"f{i}.csv").write_text(text if i < 4 else "id,x\n" + '"broken' * 3)
+    read = []
+    table = records.line_table
+    records.line_table = lambda s, paths, sep: read.append(len(paths)) or table(s, paths, sep)
+    try:
+        got = io.read_requests(spark, str(tmp_path), ["id"], first_n=10).orderBy("row_id").collect()
+        assert [r.id for r in got] == [f"0\n{j}" for j in range(10)] and read == [1]
+        read.clear()
+        assert io.read_requests(spark, str(tmp_path), ["id"], first_n=25).count() == 25 and read == [1, 2, 4]
+    finally:
+        records.line_table = table
+    with pytest.raises(ValueError, match="Missing columns"):
+        io.read_requests(spark, str(tmp_path / "f0.csv"), ["id", "y"])
+    (tmp_path / "other.csv").write_text("x,id\n1,2\n")
+    with pytest.raises(ValueError, match="Headers differ"):
+        io.read_requests(spark, str(tmp_path), ["id"])
+
+
+def test_requests_are_scanned_once_and_the_first_error_raises(spark, tmp_path):
+    from cribra.plans.batch import run_scaffold_batch
+    path = tmp_path / "in.csv"
+    path.write_text("material_id,pretty_formula,space_group\nm,NaCl,225\n,NaCl,1\nk,NaCl,999\n")
+    resp = spark.createDataFrame([(0, 0, "x")], "row_id long, seq int, response string")
+    with pytest.raises(jobs.RequestError, match="CSV line 3"):
+        run_scaffold_batch(spark, str(path), str(tmp_path / "out"), responses=resp)
+    assert not (tmp_path / "out").exists()
+    assert run_scaffold_batch(spark, str(path), str(tmp_path / "out"), responses=resp, first_n=1) == {"written": 1}
+    path.write_text("material_id,pretty_formula,space_group\n")
+    with pytest.raises(ValueError, match="No rows"):
+        run_scaffold_batch(spark, str(path), str(tmp_path / "out2"), responses=resp)
+
+
 def test_best_and_all_starts_from_the_requests(spark):
     cands = spark.createDataFrame([(0, 1, 5, False), (0, 2, 6, True)],
                                   "row_id long, order_no int, rank int, valid_cif boolean")
