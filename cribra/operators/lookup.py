@@ -2,10 +2,11 @@
 
 The key ladder is a relational plan: each request's (level, key) pairs are
 exploded, equi-joined to the index, deduplicated by row value and cut to the
-first k per request.  The index is pre-trimmed to k distinct rows per
-(level, key) first, which bounds the join fan-out to 3 x k per request even on
-hot keys; the join strategy (broadcast or sort-merge) is left to Catalyst's
-size estimate and AQE's runtime statistics.
+first k per tuple of keys; requests then take the hints of their tuple.  The index is
+pre-trimmed to k distinct rows per (level, key) first, which bounds the join fan-out to
+3 x k per tuple even on hot keys, and a tuple that a third of all requests hold is
+looked up once.  The join strategies (broadcast or sort-merge, skew splitting) are left
+to Catalyst's size estimate and AQE's runtime statistics.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from cribra.functions.text import join_keys, strip_ws
 from cribra.functions.util import col_of
 from cribra.operators import select as sl
+from cribra.session import scan_splits, write_shared
+from cribra.sources import documents
 
 # Open and close tags of the rendered hint block.
 HINT_OPEN, HINT_CLOSE = "<PROTOTYPE_HINTS_V4>", "</PROTOTYPE_HINTS_V4>"
@@ -43,32 +46,39 @@ def ladder_keys(fields) -> Column:
     )
 
 
-def read_index(spark: SparkSession, path: str, layout: str = "object") -> DataFrame:
+def read_index(spark: SparkSession, path: str, layout: str = "object",
+               split_bytes: int | None = None) -> DataFrame:
     """Index as JSON ``level -> key -> [row objects]`` -> ``(level, key,
     pos, row VARIANT)``.
 
-    ``layout="object"``: every file is one JSON object (the reference's form; a
-    file is read by one task, so big indexes should be split into several
-    files).  ``layout="lines"``: every line is such an object, read in
-    parallel; each (level, key) list must sit whole in one line.  A value that
-    is not an object fails the job.  Lists of the same (level, key) in several
-    documents are not merged.
+    ``layout="object"``: every file is one JSON object, cut into rows by as many tasks
+    as it has splits (``split_bytes`` bounds one).  ``layout="lines"``: every line is
+    such an object.  ``pos`` is the place in the list; where several documents hold a
+    list of one (level, key), they follow each other by file name (and line), so the
+    hints are the same in every run.  A value that is not an object fails the job.
     """
     if layout == "object":
-        raw = spark.read.text(path, wholetext=True)
+        with scan_splits(spark, split_bytes):
+            rows = documents.json_lists(spark, path)
+        rows = documents.in_document_order(rows, ["file"])
     elif layout == "lines":
-        raw = spark.read.text(path)
+        raw = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("at"), "value").filter(F.trim("value") != "")
+        parsed = raw.select("file", "split", "at", "value", F.from_json(
+            "value", "map<string,map<string,array<string>>>").alias("idx"))
+        parsed = parsed.select("file", "split", "at", F.when(
+            F.trim("value").startswith("{") & F.col("idx").isNotNull(), F.col("idx"))
+            .otherwise(F.raise_error(F.lit("prototype index must be a JSON object"))).alias("idx"))
+        lists = parsed.select("file", "split", "at", F.explode("idx").alias("level", "keys")) \
+                      .select("file", "split", "at", "level", F.explode("keys").alias("key", "rows"))
+        # written, as the place of a line is only settled once
+        rows = write_shared(lists.select("file", "split", "at", "level", "key",
+                                         F.posexplode("rows").alias("pos", "row_json")), "index")
+        rows = documents.in_document_order(rows, ["file", "split", "at"])
     else:
         raise ValueError("layout must be 'object' or 'lines'")
-    raw = raw.filter(F.trim("value") != "")
-    parsed = raw.select(F.from_json("value", "map<string,map<string,array<string>>>").alias("idx"), "value")
-    parsed = parsed.select(
-        F.when(F.trim("value").startswith("{") & F.col("idx").isNotNull(), F.col("idx"))
-         .otherwise(F.raise_error(F.lit("prototype index must be a JSON object"))).alias("idx"))
-    lv = parsed.select(F.explode("idx").alias("level", "keys"))
-    kv = lv.select("level", F.explode("keys").alias("key", "rows"))
-    return kv.select("level", "key", F.posexplode("rows").alias("pos", "row_json")) \
-             .select("level", "key", "pos", F.parse_json("row_json").alias("row"))
+    return rows.select("level", "key", F.col("pos").cast("long").alias("pos"), F.parse_json("row_json").alias("row"))
 
 
 def row_text(row: Column, field: str = "scaffold_full") -> Column:
@@ -98,14 +108,22 @@ def ladder_join(requests: DataFrame, keys_col: str, index: DataFrame, value_key,
     """
     if k < 1:
         raise ValueError("top_k must be at least 1")
-    levels = requests.select(request_key, F.posexplode(keys_col).alias("level_no", "lk")) \
-                     .select(request_key, "level_no", F.col("lk.level").alias("level"),
-                             F.col("lk.key").alias("key"))
+    # hints once per distinct tuple of keys: requests that share one share its hints
+    tuples = requests.groupBy(keys_col).agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col(keys_col).alias("_keys"), tuple_id(keys_col).alias("_tuple"))
+    levels = tuples.select("_tuple", F.posexplode("_keys").alias("level_no", "lk")) \
+                   .select("_tuple", "level_no", F.col("lk.level").alias("level"), F.col("lk.key").alias("key"))
     trimmed = trim_index(index, value_key, k).select("level", "key", "pos", "_vk", payload)
     hits = levels.join(trimmed, ["level", "key"], "inner")
-    hits = sl.dedupe_first(hits, request_key, "_vk", ["level_no", "pos"])
-    return sl.number_rows(hits, request_key, ["level_no", "pos"], "hint_no", limit=k) \
-             .select(request_key, "hint_no", payload)
+    hits = sl.dedupe_first(hits, "_tuple", "_vk", ["level_no", "pos"])
+    hits = sl.number_rows(hits, "_tuple", ["level_no", "pos"], "hint_no", limit=k)
+    return requests.select(request_key, tuple_id(keys_col).alias("_tuple")).join(
+        hits.select("_tuple", "hint_no", payload), "_tuple").select(request_key, "hint_no", payload)
+
+
+def tuple_id(keys) -> Column:
+    """256-bit digest of a tuple of (level, key) pairs."""
+    return F.unhex(F.sha2(F.to_json(col_of(keys)), 256))
 
 
 def hint_block(hints: DataFrame, text_col: str, request_key: str = "row_id",

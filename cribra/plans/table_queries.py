@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cribra.functions import formula as fm
@@ -738,6 +738,37 @@ def q_index_json(spark, sf):
         F.min_by("val", "pos").alias("first_val"))
 
 
+@register("index_object", _SQL_LADDER.split("req AS")[0].rstrip().rstrip(",") + """
+SELECT 'level' || CAST(level_no AS VARCHAR) AS level, key, count(*) AS n_rows,
+       count(DISTINCT val) AS n_distinct, arg_min(val, pos) AS first_val
+FROM idx GROUP BY level_no, key""")
+def q_index_object(spark, sf):
+    """The part index written as one JSON object in one file, read by many tasks."""
+    from cribra.operators.lookup import read_index, row_text
+    from cribra.session import shared_path
+
+    idx = _part_index(table(spark, sf, "part"))
+    text = F.to_json("row")
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key", "pos")) == 1
+    lines = idx.select("*", text.alias("_t"), first("level").alias("_l"), (F.row_number().over(
+        Window.partitionBy("level", "key").orderBy("pos")) == 1).alias("_k"))
+    name = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    # what stands before a row: the end of the list and of the level before it
+    lines = lines.select("level", "key", "pos", F.concat(
+        F.when(F.col("_l"), F.concat(F.when(F.col("level") == "level1", "{").otherwise("]},"), name("level"), F.lit(":{"),
+                                     name("key"), F.lit(":[")))
+         .when(F.col("_k"), F.concat(F.lit("],"), name("key"), F.lit(":["))).otherwise(","), "_t").alias("value"))
+    end = spark.range(1).select(F.lit("zz").alias("level"), F.lit("").alias("key"), F.lit(0).alias("pos"),
+                                F.lit("]}}").alias("value"))
+    path = shared_path(spark, "index-object")
+    lines.unionByName(end).repartition(1).sortWithinPartitions("level", "key", "pos") \
+         .select("value").write.option("lineSep", " ").text(path)
+    t = read_index(spark, path, split_bytes=4096).select("level", "key", "pos", row_text(F.col("row")).alias("val"))
+    return t.groupBy("level", "key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("val").alias("n_distinct"),
+        F.min_by("val", "pos").alias("first_val"))
+
+
 # --------------------------------------------------------------- T1
 
 def _event_text() -> Column:

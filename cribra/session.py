@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,20 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scan_splits(spark: SparkSession, split_bytes: int | None):
+    """Bounds a task's part of a file for the scans that are planned and run inside."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key, None)
+    if split_bytes is not None:
+        spark.conf.set(key, str(split_bytes))
+    try:
+        yield
+    finally:
+        if split_bytes is not None:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "cribra") -> SparkSession:
     """Local session for tests and the bench (UI off, no extra servers)."""

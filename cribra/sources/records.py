@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cribra.session import write_shared
+from cribra.session import scan_splits, write_shared
 
 #: A quoted field from its start to the delimiter after it, and the rest of one.
 _FIELD = r'(?:^|(?<=,))"(?:[^"]|"")*+"[^,]*'
@@ -138,21 +138,15 @@ def read_csv(spark: SparkSession, path: str, ordinal: str = "row_id", first_n: i
     read as hold that many records, by their counts.  ``split_bytes`` bounds a task's
     part of a file for this scan.  A file whose header differs fails the read.
     """
-    if split_bytes is not None:
-        key = "spark.sql.files.maxPartitionBytes"
-        before = spark.conf.get(key, None)
-        spark.conf.set(key, str(split_bytes))
-        try:
-            return read_csv(spark, path, ordinal, first_n, columns=columns)
-        finally:
-            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     files = list_files(spark, path)
     if not files:
         raise ValueError(f"No rows in {path}")
     separator = _separator(spark, files)
     used, found = len(files) if first_n is None else 1, None
     while found is None:
-        records = write_shared(csv_records(line_table(spark, files[:used], separator)), "records")
+        with scan_splits(spark, split_bytes):
+            lines = line_table(spark, files[:used], separator)
+        records = write_shared(csv_records(lines), "records")
         if used >= len(files) or records.filter("in_file > 0").count() >= first_n:
             found = records
         else:

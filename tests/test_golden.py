@@ -641,6 +641,68 @@ def test_truncated_index_fails(spark, tmp_path):
         lk.read_index(spark, str(tmp_path / "i.json")).collect()
 
 
+def _json_text(rng):
+    return "".join(rng.choice(["a", "}", "{", "[", "]", '"', "\\", '\\"', "},{", "\u00e9\U0001f600", "\n", "k:[{", '":[{"', ""])
+                   for _ in range(rng.randint(0, 4)))
+
+
+def _json_value(rng, depth=0):
+    kind = rng.random() if depth < 2 else 1
+    if kind < .2:
+        return {_json_text(rng) + str(i): _json_value(rng, depth + 1) for i in range(rng.randint(0, 3))}
+    if kind < .4:
+        return [_json_value(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return rng.choice([_json_text(rng), 1, 2.5, None, True])
+
+
+@pytest.mark.parametrize("seed,split", [(1, 29), (2, 64), (3, 1 << 20), (4, 200)])
+def test_an_index_of_one_object_in_many_splits(spark, tmp_path, seed, split):
+    rng = random.Random(seed)
+    want, place = [], {}
+    for name in ("a", "b", "c"):  # lists of one key follow each other by file name
+        doc = {level: {("shared" if not j else _json_text(rng) + f"k{j}"): [
+            {"x": _json_value(rng), "i": i} if i % 3 else {} for i in range(rng.choice([0, 1, 2, 9]))]
+            for j in range(rng.randint(0, 5))} for level in ("level1", 'le}v"el2', "level3")[:rng.randint(0, 3)]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=rng.choice([None, 1]),
+                                               ensure_ascii=rng.random() < .5) + rng.choice(["", " \n"]), encoding="utf-8")
+        for level, keys in doc.items():
+            for key, rows in keys.items():
+                for row in rows:
+                    at = place.get((level, key), 0)
+                    place[level, key] = at + 1
+                    want.append((level, key, at, json.dumps(row, sort_keys=True)))
+    got = lk.read_index(spark, str(tmp_path), split_bytes=split).select("level", "key", "pos", F.to_json("row").alias("j"))
+    assert sorted((r.level, r.key, r.pos, json.dumps(json.loads(r.j), sort_keys=True)) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("text", ['{"a":{"k":[1]}}', '{"a":5}', "[]", '{"a":{"k":["x"]}}', '{"a":{"k":[{}]}', '{"a":{"k":[{"x":1',
+                                  '{"a":{"k":[{}]}}}', '{"a":{"k":[{} {}]}}', "x", '{"a":{"k":[{}],}}', '{"a":{"k":[{}]}} {}'])
+def test_an_index_of_another_shape_fails(spark, tmp_path, text):
+    (tmp_path / "i.json").write_text(text)
+    with pytest.raises(Exception, match="must be a JSON object"):
+        lk.read_index(spark, str(tmp_path / "i.json")).collect()
+
+
+def test_empty_indexes(spark, tmp_path):
+    for text in ("{}", ' {}\n', '{"a":{}}', '{"a":{"k":[]}, "b":{}}'):
+        (tmp_path / "i.json").write_text(text)
+        assert lk.read_index(spark, str(tmp_path / "i.json")).count() == 0
+
+
+def test_requests_that_share_their_keys_are_looked_up_once(spark):
+    keys = F.array(*[F.struct(F.lit(f"level{i}").alias("level"), F.lit(k).alias("key")) for i, k in ((1, ""), (2, "a"))])
+    req = spark.range(2000).select(F.col("id").alias("row_id"), F.when(F.col("id") == 7, F.array(F.struct(
+        F.lit("level1").alias("level"), F.lit("z").alias("key")))).otherwise(keys).alias("keys"))
+    index = spark.createDataFrame([("level1", "", 0, "p"), ("level1", "", 1, "p"), ("level2", "a", 0, "q"),
+                                   ("level2", "a", 1, "r"), ("level2", "a", 2, "s")],
+                                  "level string, key string, pos int, val string")
+    hits = lk.ladder_join(req, "keys", index, "val", "val", 3)
+    assert {tuple(r) for r in hits.filter("row_id IN (3, 7)").collect()} == {(3, 0, "p"), (3, 1, "q"), (3, 2, "r")}
+    assert hits.count() == 3 * 1999
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # requests meet finished hints only
+
+
 def test_generated_records_can_be_valid(spark, tmp_path):
     from cribra.plans.batch import run_crystal_batch, run_scaffold_batch
     text = CIF
