@@ -248,16 +248,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _within_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges ``(u, v)`` that join what is not connected yet inside a cell.
+def _blocks(members: DataFrame, count) -> DataFrame:
+    """``members(cell, stray, rep, ...)`` in pairs of blocks: adds ``task`` and ``side``.
 
-    ``members``: rep, cell, n_shingles, comp and stray (outside the hub's component).
-    Strays meet strays and the hub's component in blocks; a cell without strays
-    costs nothing.
+    Strays are to meet the strays and the others of their cell.  ``count`` gives an
+    aggregate for the number of blocks of the rows that a condition picks; members are
+    dealt to blocks by hash.  A cell without strays gives no rows.
     """
-    count = lambda cond: F.greatest(
-        F.ceil(F.count_if(cond) / BLOCK_CLASSES),
-        F.ceil(F.sum(F.when(cond, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
     cells = members.groupBy("cell").agg(
         count(F.col("stray")).alias("strays"), count(~F.col("stray")).alias("mains")).filter("strays > 0")
     upto = lambda first, n: F.when(n > first, F.sequence(first, n - 1)) \
@@ -275,9 +272,22 @@ def _within_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
             "cell", "other.stray", "other.part", task.alias("task"), F.lit(1).alias("side")))
     dealt = members.join(cells, "cell").withColumn("part", F.pmod(
         F.xxhash64("rep"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))).cast("int"))
-    moved = dealt.select("cell", "stray", "part", "rep", "comp").join(sides, ["cell", "stray", "part"]) \
-                 .select("rep", "comp", "cell", "task", "side").join(sets, "rep") \
-                 .select("cell", F.xxhash64("task").alias("task"), "side", "rep", "comp", "s")
+    return dealt.join(sides, ["cell", "stray", "part"]).select(
+        *members.columns, F.xxhash64("task").alias("task"), "side")
+
+
+def _within_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(u, v)`` that join what is not connected yet inside a cell.
+
+    ``members``: rep, cell, n_shingles, comp and stray (outside the hub's component).
+    Strays meet strays and the hub's component in blocks; a cell without strays
+    costs nothing.
+    """
+    count = lambda cond: F.greatest(
+        F.ceil(F.count_if(cond) / BLOCK_CLASSES),
+        F.ceil(F.sum(F.when(cond, F.col("n_shingles")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    moved = _blocks(members, count).select("rep", "comp", "cell", "task", "side").join(sets, "rep") \
+        .select("cell", "task", "side", "rep", "comp", "s")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [g for _, g in pdf.groupby("side")]
@@ -294,6 +304,52 @@ def _within_cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return moved.groupBy("cell", "task").applyInPandas(compare, "u long, v long")
 
 
+def _across_cells(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different cells whose signatures are close enough.
+
+    ``members(cell, rep, own, comp, stray)``: here a cell is a bucket, ``own`` the cell of
+    a member and a stray one that is not of the hub's.  Blocks of a bucket meet inside a
+    task, which sends on only the pairs that are close, so rows do not grow with the
+    square of a bucket.  Two classes may share many buckets; the one of their first
+    common key gives the pair.
+    """
+    most = distance() + SLACK
+    count = lambda cond: F.ceil(F.count_if(cond) / BLOCK_CLASSES).cast("int")
+    moved = _blocks(members, count).join(classes.select("rep", "sig"), "rep")
+    groups = moved.groupBy("cell", "task").agg(  # at most two blocks
+        F.collect_list(F.struct("side", "rep", "own", "comp", "sig")).alias("m"))
+
+    def run(batches):
+        for batch in batches:
+            for key, m in zip(batch.column(0).to_pylist(), batch.column(1)):
+                side, rep, own, comp = (m.values.field(c).to_numpy() for c in ("side", "rep", "own", "comp"))
+                sig = np.frombuffer(b"".join(m.values.field("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                alone = not len(y)
+                y = x if alone else y
+                found = []
+                for at in range(0, len(x), 64):
+                    i = x[at:at + 64]
+                    ok = (own[i][:, None] != own[y][None, :]) & (comp[i][:, None] != comp[y][None, :])
+                    p, q = np.nonzero(ok)
+                    if alone:
+                        p, q = p[i[p] < y[q]], q[i[p] < y[q]]
+                    a, b = i[p], y[q]
+                    for part in np.array_split(np.arange(len(a)), max(1, len(a) >> 16)):
+                        near = part[(sig[a[part]] != sig[b[part]]).sum(axis=1) <= most]
+                        if len(near):
+                            ka, kb = index_keys(sig[a[near]]), index_keys(sig[b[near]])
+                            first = ka[np.arange(len(near)), (ka == kb).argmax(axis=1)]
+                            near = near[first.view(np.int64) == key]
+                            found.append((rep[a[near]], rep[b[near]]))
+                if found:
+                    a, b = (np.concatenate(f) for f in zip(*found))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return groups.select("cell", "m").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -358,12 +414,10 @@ def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
         F.min("cell").alias("lo"), F.max("cell").alias("hi"),
         F.max(F.when(F.col("rep") == F.col("hub"), F.col("cell"))).alias("main")) \
         .filter("lo <> hi").select("key", "main")
-    b = persist_shared(b.join(mixed, "key").select("key", "rep", "cell", "comp", "main"), "mixed")
-    x = b.filter("cell <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("rep", "cell", "comp")])
-    y = b.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "cell", "comp")])
-    across = x.join(y, "key").filter("cell_a <> cell_b AND comp_a <> comp_b") \
-              .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    across = _confirm(persist_shared(_near(across, classes), "across"), sets, percent)
+    mixed = persist_shared(b.join(mixed, "key").select(
+        F.col("key").alias("cell"), "rep", F.col("cell").alias("own"), "comp",
+        (F.col("cell") != F.col("main")).alias("stray")), "mixed")
+    across = _confirm(persist_shared(_across_cells(mixed, classes), "across"), sets, percent)
     across = across.join(label("u"), "u", "left").join(label("v"), "v", "left") \
                    .select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
     joined = components(inside.unionByName(across))

@@ -100,6 +100,22 @@ def test_families_blocks_and_odd_rows(make, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, _, k) in want.items() if k)
 
 
+def test_a_family_that_is_alike_but_mostly_not_linked(make, monkeypatch):
+    """Members meet in buckets of many cells; rows sent on grow with the members."""
+    monkeypatch.setattr(nd, "BLOCK_CLASSES", 64)
+    sent = []
+    across = nd._across_cells
+    monkeypatch.setattr(nd, "_across_cells", lambda m, c: sent.append(
+        (m.count(), across(m, c).count())) or across(m, c))
+    rng = random.Random(2)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(40)]
+    for n in (200, 800):
+        rows = list(enumerate(_family(rng, base, n, 3)))
+        df = make([(*r, 0, "s", 1) for r in rows], SCHEMA).repartition(6)
+        assert _got(nd.near_duplicates(df, 4, 80)) == brute(rows, 4, 80)
+    assert sent[1][1] <= 30 * 800
+
+
 def test_empty_table_null_ids_repeated_rows(make):
     assert nd.near_duplicates(make([], SCHEMA)).count() == 0
     rows = [(None, "a b c d e f", 0, "", 0), (7, "a b c d e f", 0, "", 0), (7, "a b c d e f", 0, "", 0),
