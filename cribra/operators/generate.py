@@ -16,9 +16,12 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cribra.session import write_shared
+
 RESPONSE_SCHEMA = "row_id long, seq int, response string, error string"
 
 
@@ -93,3 +96,48 @@ def persist_responses(spark: SparkSession, responses: DataFrame, path: str) -> D
     Fails if ``path`` exists, so that two jobs never share a table."""
     responses.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def generate_resumable(requests: DataFrame, factory: Callable, n: int, path: str, waves: int = 16,
+                       key: str = "row_id", prompt: str = "prompt", prompt_error: Column | None = None,
+                       retry_errors: bool = False) -> DataFrame:
+    """U1 in ``waves``, each appended to the table at ``path`` when it is done.
+
+    A run that breaks off has lost its last wave at most: started again with the same
+    path, an anti join leaves only the requests without committed responses (with
+    ``retry_errors`` also those that failed).  Each wave takes a hash share of the
+    requests and all tasks, and its append is committed as a whole.  A finished table
+    answers without calling the generator; requests are told apart by ``key``.
+    """
+    if waves < 1:
+        raise ValueError("waves must be positive")
+    spark = requests.sparkSession
+    src = requests.select(F.col(key).cast("long").alias("row_id"), F.col(prompt).alias("prompt"),
+                          (F.lit(None) if prompt_error is None else prompt_error).cast("string").alias("_known"))
+    share = F.pmod(F.xxhash64("row_id"), F.lit(waves))
+
+    def committed() -> DataFrame:
+        """What ``path`` holds; an empty append makes the table."""
+        empty = spark.createDataFrame([], RESPONSE_SCHEMA)
+        try:
+            return spark.read.schema(RESPONSE_SCHEMA).parquet(path)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            empty.write.mode("append").parquet(path)
+            return spark.read.schema(RESPONSE_SCHEMA).parquet(path)
+
+    done = committed()
+    done = done.filter("error IS NULL") if retry_errors else done
+    left = write_shared(src.join(done.select("row_id").distinct(), "row_id", "left_anti"), "left")
+    for wave in range(waves):
+        todo = left.filter(share == wave)
+        if not todo.isEmpty():
+            generate(todo, factory, n, prompt_error=F.col("_known")).write.mode("append").parquet(path)
+    out = committed()
+    if retry_errors:  # a failure that a later run made good goes
+        fine = out.filter("error IS NULL").select("row_id").distinct()
+        failed = out.filter("error IS NOT NULL").join(fine, "row_id", "left_anti") \
+            .groupBy("row_id", "seq").agg(F.max("response").alias("response"), F.max("error").alias("error"))
+        return out.filter("error IS NULL").unionByName(failed)
+    return out

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cribra.functions.util import col_of
+from cribra.session import write_shared
 
 
 def _cols(xs) -> list[Column]:
@@ -24,7 +25,8 @@ def _cols(xs) -> list[Column]:
 
 
 def dedupe_first(df: DataFrame, group, key, order, keep_blank: bool = False) -> DataFrame:
-    """Keep the first row (by ``order``) of every ``(group, key)``.
+    """Keep the first row (by ``order``) of every ``(group, key)``.  A long text
+    as key is better given as its digest (the empty text as it is).
 
     ``order`` must be a total order within a group.  With ``keep_blank`` rows
     whose key is empty are never duplicates of each other (D2): they get a key
@@ -53,6 +55,30 @@ def number_rows(df: DataFrame, group, order, name: str = "rank", start: int = 0,
     return out.withColumn(name, F.col("_rn") - F.lit(1 - start)).drop("_rn")
 
 
+def number_large(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank",
+                 start: int = 0) -> DataFrame:
+    """W1 without a cap for groups of any size: numbers ``start..`` per group in ``order``.
+
+    Rows are dealt to sorted ranges of (group, order) and written to the shared folder, so
+    no task holds a group; the row counts of the (range, group) pairs, the only rows that
+    meet in a window, give each range its offset.  ``order`` must be total in a group;
+    a null group is a group.
+    """
+    keys = [*group, *order]
+    laid = write_shared(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                          .withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_at", 33)
+    counts = laid.groupBy(part.alias("_range"), *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_range", *[F.col(g).alias(f"_g_{g}") for g in group], "_first",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = part == F.col("_range")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return laid.join(counts, same).select(
+        *df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + start).alias(name))
+
+
 def rank_candidates(df: DataFrame, group, keys: Sequence[Column], name: str = "order_no",
                     limit: int | None = None) -> DataFrame:
     """1-based position of each row in its group under a composite

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cribra.functions.text import token_budget_error
-from cribra.operators.generate import generate, persist_responses
+from cribra.operators.generate import generate, generate_resumable, persist_responses
 from cribra.plans import jobs
 from cribra.session import shared_path, write_shared
 from cribra.sources.io import (read_requests, read_text, text_files, write_results,
@@ -28,13 +28,17 @@ def load_hint_text(spark: SparkSession, path: str) -> str:
 
 
 def _responses(spark: SparkSession, requests: DataFrame, responses: DataFrame | None,
-               factory, n: int, prompt_col: str, prompt_error: Column | None = None) -> DataFrame:
+               factory, n: int, prompt_col: str, prompt_error: Column | None = None,
+               resume: str | None = None) -> DataFrame:
     """A ready responses table, or U1 over the requests with the output cut to
-    a table in the shared folder (the model never runs twice)."""
+    a table in the shared folder (the model never runs twice); ``resume`` names a table
+    that a run which broke off goes on with."""
     if responses is not None:
         return responses
     if factory is None:
         raise ValueError("give a responses table or a generator factory")
+    if resume is not None:
+        return generate_resumable(requests, factory, n, resume, prompt=prompt_col, prompt_error=prompt_error)
     gen = generate(requests, factory, n, prompt=prompt_col, prompt_error=prompt_error)
     return persist_responses(spark, gen, shared_path(spark, "responses"))
 
@@ -62,16 +66,19 @@ def run_scaffold_batch(spark: SparkSession, input_csv: str, output_csv: str, *,
                        responses: DataFrame | None = None, factory=None, num_samples: int = 6,
                        first_n: int | None = None, instruction: str = "",
                        single_file: bool = False, prompt_tokens: Column | None = None,
-                       max_len: int | None = None) -> dict:
+                       max_len: int | None = None, resume: str | None = None) -> dict:
     """Q1 end to end; returns ``{"written": n}``.
 
+    ``resume`` is a path that keeps finished responses: after a failure the same call
+    generates only what is missing there.
+
     ``prompt_tokens`` counts the tokens of column ``prompt``; with ``max_len`` a
     prompt that leaves no room is not sent and reported as ``prompt_too_long``.
     """
     req = read_requests(spark, input_csv, jobs.SCAFFOLD_INPUT, first_n)
     good, _ = jobs.split_requests(req, require=input_csv)  # first bad row fails the job
     resp = _responses(spark, jobs.scaffold_prompts(good, instruction), responses, factory,
-                      num_samples, "prompt", _budget_error(prompt_tokens, max_len))
+                      num_samples, "prompt", _budget_error(prompt_tokens, max_len), resume)
     out = jobs.scaffold_job(good, resp, num_samples)
     obs = Observation("scaffold")
     # the sink orders the rows, which reads them twice: count and compute them once
@@ -86,14 +93,15 @@ def run_crystal_batch(spark: SparkSession, input_csv: str, output_csv: str, outp
                       instruction: str = "", hint_text: str | None = None,
                       index: DataFrame | None = None, write_files: bool = True,
                       single_file: bool = False, prompt_tokens: Column | None = None,
-                      max_len: int | None = None, labelers: dict | None = None) -> dict:
+                      max_len: int | None = None, labelers: dict | None = None,
+                      resume: str | None = None) -> dict:
     """Q2 end to end: result CSV plus one ``<stem>.cif`` per accepted row
     (P15: a strict reject writes no file).  Returns row counts and the number of
     stem collisions (the reference silently overwrote such files).
 
     ``labelers`` maps a label (see ``jobs.LABELS``) to a function of the parsed
     record's Column, for responses that bring no label columns; ``prompt_tokens``
-    and ``max_len`` as in ``run_scaffold_batch``.
+    and ``max_len`` and ``resume`` as in ``run_scaffold_batch``.
     """
     req = read_requests(spark, input_csv, jobs.CIF_INPUT, first_n)
     good, _ = jobs.split_requests(req, with_scaffold=True, require=input_csv)
@@ -102,7 +110,7 @@ def run_crystal_batch(spark: SparkSession, input_csv: str, output_csv: str, outp
         todo = _with_hints(todo, hint_text, index)
         todo = jobs.crystal_prompts(todo, instruction, "hints")
     resp = _responses(spark, todo, responses, factory, num_samples, "prompt",
-                      _budget_error(prompt_tokens, max_len) if responses is None else None)
+                      _budget_error(prompt_tokens, max_len) if responses is None else None, resume)
     out = jobs.crystal_job(good, resp, num_samples, strict=strict, out_dir=output_dir,
                            labelers=labelers)
     obs = Observation("crystal")
@@ -116,6 +124,6 @@ def run_crystal_batch(spark: SparkSession, input_csv: str, output_csv: str, outp
     if write_files:
         files = text_files(out.filter(F.col("outcome") == "success"), "material_id", "cif",
                            output_dir)
-        write_text_files(files)
+        write_text_files(files, output_dir)
         counts["stem_collisions"] = files.filter(~F.col("kept")).count()
     return counts

@@ -140,7 +140,9 @@ def compile_scaffolds(cands: DataFrame, begin: str = SCAFFOLD_BEGIN,
     c = c.withColumn("_derived", F.when(core_ok, ps.derive_full_fields("_core_fields",
                                                                        "pretty_formula")))
     c = c.withColumn("_full", F.when(core_ok, ps.compile_full_text("scaffold_core", "_derived")))
-    c = c.withColumn("_full_fields", ps.kv_map("_full"))
+    # what parsing the full text again would give: its derived lines come last
+    c = c.withColumn("_full_fields", F.when(F.col("_full").isNotNull(), F.map_concat(
+        F.map_filter("_core_fields", lambda k, _: ~k.isin(*rl.REQUIRED_FULL)), "_derived")))
     c = rl.with_scaffold_checks(c, "_full_fields", "pretty_formula", "space_group", full="_full_chk")
     compiled = core_ok & F.col("_full").isNotNull()
     errors = (F.when(F.col("_tag_err").isNotNull(), F.array(F.col("_tag_err")))
@@ -167,9 +169,14 @@ def scaffold_ranking() -> list[Column]:
 
 
 def scaffold_candidates(requests: DataFrame, responses: DataFrame, n: int,
-                        begin: str = SCAFFOLD_BEGIN, end: str = SCAFFOLD_END) -> DataFrame:
-    """Q1 candidate table: D1/W1/W2, P14, D2 on the compiled text, W3 ranking."""
-    cands = prepare_responses(responses, n)
+                        begin: str = SCAFFOLD_BEGIN, end: str = SCAFFOLD_END,
+                        bucketed: bool = False) -> DataFrame:
+    """Q1 candidate table: D1/W1/W2, P14, D2 on the compiled text, W3 ranking.
+
+    ``bucketed``: both tables are stored in buckets of ``row_id`` (``io.write_bucketed``),
+    so nothing is exchanged.
+    """
+    cands = prepare_responses(responses, n, presorted=bucketed)
     req = requests.select("row_id", "pretty_formula", "space_group")
     cands = cands.join(req, "row_id")
     comp = compile_scaffolds(cands, begin, end)
@@ -179,12 +186,14 @@ def scaffold_candidates(requests: DataFrame, responses: DataFrame, n: int,
 
 
 def scaffold_job(requests: DataFrame, responses: DataFrame, n: int = 6,
-                 begin: str = SCAFFOLD_BEGIN, end: str = SCAFFOLD_END) -> DataFrame:
+                 begin: str = SCAFFOLD_BEGIN, end: str = SCAFFOLD_END,
+                 bucketed: bool = False) -> DataFrame:
     """Q1: one result row per request (P17): best candidate or empty text and
-    ``["generation_failed"]``; an invalid best is still reported."""
+    ``["generation_failed"]``; an invalid best is still reported.  ``bucketed`` as in
+    ``scaffold_candidates``."""
     if n < 1:
         raise ValueError("num_samples must be positive")
-    best = scaffold_candidates(requests, responses, n, begin, end) \
+    best = scaffold_candidates(requests, responses, n, begin, end, bucketed) \
         .filter(F.col("order_no") == 1) \
         .select("row_id", F.col("scaffold_core").alias("_core"),
                 F.col("scaffold_full").alias("_full"), F.col("valid_scaffold").alias("_valid"),
@@ -364,7 +373,8 @@ LABELS = ("metric_family", "position_family", "stack_family")
 
 def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int | None = 1,
                        labels: DataFrame | None = None,
-                       labelers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                       labelers: dict[str, Callable[[Column], Column]] | None = None,
+                       bucketed: bool = False) -> DataFrame:
     """Q2 candidate table: D1/W1/W2, F4 + T3, T2, P13, W4 ranking.
 
     ``requests`` must already be filtered to rows with a scaffold (P18).
@@ -381,7 +391,7 @@ def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int | None
                                   full="scaffold_check").drop("scaffold_full")
     req = req.withColumn("req_reduced", request_reduced())
     inline = [c for c in LABELS if c in responses.columns]
-    cands = prepare_responses(responses, n, keep=inline)
+    cands = prepare_responses(responses, n, keep=inline, presorted=bucketed)
     if labels is not None and not inline:
         cands = cands.join(labels, ["row_id", "seq"], "left")
     elif not inline:
@@ -401,15 +411,16 @@ def crystal_candidates(requests: DataFrame, responses: DataFrame, n: int | None
 
 def crystal_job(requests: DataFrame, responses: DataFrame, n: int = 1, strict: bool = False,
                 out_dir: str = "", labels: DataFrame | None = None,
-                labelers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                labelers: dict[str, Callable[[Column], Column]] | None = None,
+                bucketed: bool = False) -> DataFrame:
     """Q2: one result row per request (P16 routing, first match wins):
     ``missing_scaffold_full`` -> ``generation_failed`` -> strict reject ->
     success.  Adds ``outcome`` and ``cif`` (text of accepted rows) beside the
-    CSV columns."""
+    CSV columns.  ``bucketed`` as in ``scaffold_candidates``."""
     if n < 1:
         raise ValueError("num_samples must be positive")
     with_scaffold = requests.filter(F.col("scaffold_full") != "")   # P18, before generation
-    best = crystal_candidates(with_scaffold, responses, n, labels, labelers) \
+    best = crystal_candidates(with_scaffold, responses, n, labels, labelers, bucketed) \
         .filter(F.col("order_no") == 1) \
         .select("row_id", F.col("rank").alias("_rank"), F.col("valid_cif").alias("_valid"),
                 F.col("canonicalized").alias("_canon"),

@@ -79,7 +79,10 @@ def _docs_ranked(spark, sf, cap):
     k = tx.normalize_ws("text")
     keys = d.filter(k != "").select("doc_id", "source", F.sha2(k, 256).alias("k"))
     keys = sl.dedupe_first(keys, "source", "k", "doc_id")
-    keys = sl.number_rows(keys, "source", "doc_id", "rank", limit=cap).select("doc_id", "rank")
+    # without a cap a source may be of any size
+    keys = sl.number_large(keys, ["source"], ["doc_id"]) if cap is None else \
+        sl.number_rows(keys, "source", "doc_id", "rank", limit=cap)
+    keys = keys.select("doc_id", "rank")
     return d.join(keys, "doc_id").select("doc_id", "source", tx.strip_ws("text").alias("text"), "rank")
 
 
@@ -119,6 +122,8 @@ SELECT source, CAST(rank AS INTEGER) AS rank, doc_id, fk = '' AS blank_key
 FROM d2 WHERE fk = '' OR rn2 = 1""")
 def q_dedupe_keep_blank(spark, sf):
     r = _docs_ranked(spark, sf, None).withColumn("fk", _long_line_key(F.col("text")))
+    r = r.select("source", F.col("rank").cast("int").alias("rank"), "doc_id",
+                 F.when(F.col("fk") == "", "").otherwise(F.sha2("fk", 256)).alias("fk"))
     out = sl.dedupe_first(r, "source", "fk", "rank", keep_blank=True)
     return out.select("source", "rank", "doc_id", (F.col("fk") == "").alias("blank_key"))
 
@@ -1059,6 +1064,6 @@ def q_text_file(spark, sf):
         F.col("s_suppkey").alias("row_id"), "s_name",
         F.concat(F.lit("  supplier "), "s_name", F.lit("\nnation "), F.col("s_nationkey").cast("string"),
                  F.lit(" \t\n")).alias("text"))
-    write_text_files(text_files(texts, "s_name", "text", path, suffix=".txt"))
+    write_text_files(text_files(texts, "s_name", "text", path, suffix=".txt"), path)
     return read_text(spark, path, file="file").select(
         F.element_at(F.split("file", "/"), -1).alias("file"), "text")

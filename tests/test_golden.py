@@ -736,3 +736,105 @@ def test_zero_lattice_and_compile_failure(spark):
                                   "row_id long, response string, pretty_formula string, space_group int")
     got = jobs.compile_scaffolds(cands).first()["scaffold_errors"]
     assert got == ["compile_full_failed:bad_formula_or_Z"]
+
+
+# ---------------------------------------------------------------- large groups, storage, resuming, committed files
+
+def test_numbering_of_a_group_of_any_size(spark):
+    rows = [(i, None if i % 3 == 0 else "hot", i * 7 % 1009) for i in range(1000)] + [(2000, "lone", 0)]
+    df = spark.createDataFrame(rows, "id long, g string, o long").repartition(7)
+    got = {r.id: r["rank"] for r in sl.number_large(df, ["g"], ["o", "id"], start=0).collect()}
+    for g in (None, "hot", "lone"):
+        own = sorted((o, i) for i, x, o in rows if x == g)
+        assert [got[i] for _, i in own] == list(range(len(own)))
+    assert sl.number_large(df.limit(0), ["g"], ["o"]).count() == 0
+
+
+def test_bucketed_tables_need_no_exchange(spark, tmp_path):
+    from cribra.sources.io import write_bucketed
+    req = spark.createDataFrame([(i, f"m{i}", "NaCl", 225, scaffold_text()) for i in range(40)],
+                                "row_id long, material_id string, pretty_formula string, space_group int, scaffold_full string")
+    resp = spark.createDataFrame([(i, s, CIF if (i + s) % 3 else "data_x", "M1", "GENERAL_DOMINANT", "NO_LAYER")
+                                  for i in range(40) for s in range(3)],
+                                 "row_id long, seq int, response string, metric_family string, "
+                                 "position_family string, stack_family string")
+    want = sorted(map(str, jobs.crystal_job(req, resp, 2).collect()))
+    stored = [write_bucketed(df, str(tmp_path / name), buckets=4) for df, name in ((req, "req"), (resp, "resp"))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to send
+    try:
+        job = jobs.crystal_job(*stored, 2, bucketed=True)
+        assert "Exchange" not in job._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, job.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(Exception, match="(?i)exists|non-empty"):
+        write_bucketed(req, str(tmp_path / "req"), buckets=4)
+
+
+def test_generation_goes_on_where_it_broke_off(spark, tmp_path):
+    from cribra.operators.generate import generate_resumable
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def factory(broken):
+        def make():
+            def gen(prompts, n):
+                for p in prompts:
+                    (calls / f"{p}-{len(list(calls.glob(p + '-*')))}").touch()
+                if broken and any(p in ("p7", "p31") for p in prompts):
+                    import os
+                    os._exit(1)  # the worker dies: no error row, the wave fails
+                return [[f"{p}:{i}" for i in range(n)] for p in prompts]
+            return gen
+        return make
+
+    req = spark.range(40).select(F.col("id").alias("row_id"), F.concat(F.lit("p"), "id").alias("prompt"))
+    path = str(tmp_path / "responses")
+    with pytest.raises(Exception):
+        generate_resumable(req, factory(True), 2, path, waves=8).collect()
+    done = {r.row_id for r in spark.read.parquet(path).collect()}
+    assert 0 < len(done) < 40
+    before = {f.name.split("-")[0] for f in calls.iterdir()}
+    for f in list(calls.iterdir()):
+        f.rename(tmp_path / f"old-{f.name}")
+    out = generate_resumable(req, factory(False), 2, path, waves=8)
+    assert out.count() == 80 and out.select("row_id", "seq").distinct().count() == 80
+    asked = {f.name.split("-")[0] for f in calls.iterdir()}
+    assert asked == {f"p{i}" for i in range(40) if i not in done} and before
+    n = len(list(calls.iterdir()))
+    generate_resumable(req, factory(True), 2, path, waves=3).collect()  # finished: nobody is asked
+    assert len(list(calls.iterdir())) == n
+
+
+def test_failed_prompts_are_tried_again_on_request(spark, tmp_path):
+    from cribra.operators.generate import generate_resumable
+    req = spark.createDataFrame([(0, "a"), (1, "boom")], "row_id long, prompt string")
+    path = str(tmp_path / "r")
+    out = generate_resumable(req, _factory("A"), 1, path, waves=2)
+    assert sorted((r.row_id, r.error is None) for r in out.collect()) == [(0, True), (1, False)]
+    fixed = req.withColumn("prompt", F.lit("fine"))
+    assert generate_resumable(fixed, _factory("B"), 1, path).filter("error IS NOT NULL").count() == 1
+    out = generate_resumable(fixed, _factory("B"), 1, path, retry_errors=True)
+    assert sorted((r.row_id, r.response) for r in out.collect()) == [(0, "A:a0"), (1, "B:fine0")]
+
+
+def test_text_files_stand_only_after_the_commit(spark, tmp_path):
+    from cribra.sources.io import TextFileWriter, text_files, write_text_files
+    folder = tmp_path / "out"
+    files = spark.range(20).select(F.col("id").alias("row_id"), F.concat(F.lit("n/"), F.col("id") % 15).alias("name"),
+                                   F.concat(F.lit(" t"), "id").alias("text")).repartition(4)
+    table = text_files(files, "name", "text", str(folder), suffix=".txt")
+    write_text_files(table, str(folder))
+    got = {p.name: p.read_text() for p in folder.iterdir()}
+    assert got == {f"n_{i}.txt": f"t{i + 15 if i < 5 else i}\n" for i in range(15)}
+    bad = table.withColumn("text", F.when(F.col("row_id") == 17, F.raise_error(F.lit("killed"))).otherwise("new"))
+    with pytest.raises(Exception, match="killed"):
+        write_text_files(bad, str(folder))
+    assert {p.name: p.read_text() for p in folder.iterdir()} == got
+    w = TextFileWriter(str(folder))
+    from pyspark.sql import Row
+    message = w.write(iter([Row(path=str(folder / "x.txt"), text="x")]))
+    assert not (folder / "x.txt").exists()
+    w.abort([message])
+    assert {p.name for p in folder.iterdir()} == set(got)
+    assert "hashpartitioning(path" not in table._jdf.queryExecution().executedPlan().toString()
