@@ -5,10 +5,11 @@ byte-to-character images.  Every way to split a token into two known tokens is a
 merge rule, ordered by the token's rank, so the model joins exactly the pairs
 that rank-based merging joins.
 
-A match of the split pattern never holds a non-space character followed by white
-space, so a text can be cut in front of each white-space run and the parts
-encoded one by one.  Parts repeat a lot: each is encoded once per batch, and a
-bounded table keeps the codes of parts for the batches that follow.
+A match of the public split pattern never holds a non-space character followed by
+white space, so with it a text can be cut in front of each white-space run and the
+parts encoded one by one.  Parts repeat a lot: each is encoded once per batch, and a
+bounded table keeps the codes of parts for the batches that follow.  With any other
+pattern a text is matched whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -59,6 +61,7 @@ class Codec:
                          ignore_merges=True, cache_capacity=0)
         self.images = dict(enumerate(symbols))  # for str.translate on latin-1 text
         self.matches = regex.compile(pattern).findall
+        self.cuttable = pattern == public_tokenizers.PATTERN
         self.token_bytes = {r: t for t, r in ranks.items()}
         self.decimal = {r: str(r) for r in ranks.values()}
         self.codes: dict[str, tuple[int, ...]] = {}
@@ -69,6 +72,8 @@ class Codec:
                       tokenize(piece.encode("utf-8").decode("latin-1").translate(images))])
 
     def encode(self, text: str) -> list[int]:
+        if not self.cuttable:
+            return list(self._encode_part(text))
         parts = _PARTS.findall(text)
         codes = self.codes
         if len(codes) > PART_TABLE:

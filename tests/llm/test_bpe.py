@@ -37,6 +37,17 @@ def test_matches_rank_merging_on_odd_texts(reference, codec):
         assert codec.decode_bytes(ids) == t.encode()
 
 
+def test_other_patterns_match_whole_texts(reference):
+    pattern = r"\S+\s*|\s+"  # a match holds white space after other characters
+    with open(PATH, "rb") as f:
+        data = f.read()
+    own = bpe.codec(data, pattern)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("one two  three\n\nfour ", " x", "", "a\tb c"):
+        assert own.encode(text) == other.encode_ordinary(text)
+
+
 def test_offsets_cover_split_characters(codec):
     text = "a 😀é x"
     ids = codec.encode(text)
