@@ -1,76 +1,40 @@
 """Documents scored by the cross-entropy difference of two n-gram language models.
 
-Tokens are UTF-8 bytes, so target and background models share one vocabulary; they
-also share order and smoothing, and the background's counts are scaled to the
-target's total, so that neither is favoured for its size.  A document's score is the
-mean over its tokens of the target's loss minus the background's: the lower, the
-more the document is like the target.
+Tokens are words, so target and background models share one vocabulary; they also
+share order and smoothing, and the background's counts are scaled to the target's
+total, so that neither is favoured for its size.  A document's score is the mean over
+its tokens of the target's loss minus the background's: the lower, the more the
+document is like the target.
 
 All documents are counted.  Texts are dealt into chunks of about CHUNK_CHARS by a hash
-of doc_id.  A chunk counts its own n-grams first, in one group.  Orders up to SHORT get
-their losses by joins of one row per n-gram.  All longer orders of an n-gram share the
-SHORT - 1 bytes before its last one, so the chunks' counts meet once, in buckets by
-these bytes, get their losses there and go back to the chunks that asked for them.  No
-model is ever held whole, so it may grow with the corpus.
+of doc_id.  A chunk counts its own n-grams first, as sorted arrays cut into buckets by
+key ranges.  In a bucket the chunks' arrays meet once, whatever the n-gram at most one
+entry of each chunk, and every chunk gets the sums back in the order of its own keys.
+No model is ever held whole, so it may grow with the corpus.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribra.llm.common import persist_shared
+from cribra.llm.substrings import word_hashes
 
-#: Bytes of an n-gram (at most 16, two keys of 8), and code points of a chunk.  15 bytes
-#: of context are two to three English words, and what is counted grows with the corpus.
-ORDER, CHUNK_CHARS = 16, 1_000_000
-#: Orders up to this one are counted by joins on one key; rows of a bucket of the others.
-SHORT, BUCKET_ROWS = 7, 1_000_000
+#: Words of an n-gram, and code points of a chunk.
+ORDER, CHUNK_CHARS = 2, 8_000_000
+#: Code points of the corpus for each bucket: bounds what a bucket's task holds.
+BUCKET_CHARS = 12_000_000
 #: Tokens' worth of belief in the next lower order.
 PRIOR = 4.0
-#: Positions handled at a time.
-SLICE = 1_000_000
+#: Bytes of text that are cut into words at a time.
+SLICE = 1 << 20
 
-
-def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte, as two numbers (bytes up to the ninth last,
-    last eight bytes), and the end of each text.
-
-    Before a text stand ``order - 1`` zero bytes.
-    """
-    pad = bytes(order - 1)
-    raw = np.frombuffer(pad + pad.join(texts) if texts else b"", np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    n = int(sizes.sum())
-    # position of each text byte in ``raw``
-    at = np.arange(n) + np.repeat((np.arange(len(texts)) + 1) * (order - 1), sizes)
-    out = np.zeros((2, n), np.int64)
-    for j in range(order):
-        out[int(j < 8)] |= raw[at - j].astype(np.int64) << (8 * (j % 8))
-    return out[0], out[1], np.cumsum(sizes)
-
-
-def _mixed(hi: np.ndarray, lo: np.ndarray, seed: int) -> np.ndarray:
-    """One number per n-gram."""
-    x = hi.astype(np.uint64) + np.uint64(2 * seed + 1)
-    for _ in range(2):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * seed)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))) + lo.astype(np.uint64)
-
-
-def _index(hi: np.ndarray, lo: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """A seed that gives every n-gram a number of its own, the numbers in order, and a
-    row of each."""
-    seed = 0
-    while True:
-        key = _mixed(hi, lo, seed)
-        own, first, inv = np.unique(key, return_index=True, return_inverse=True)
-        if (hi[first][inv] == hi).all() and (lo[first][inv] == lo).all():
-            return seed, own, first
-        seed += 1
+_U = np.uint64
+#: The word that stands before a text, and per order a number of its own.
+_START, _STEP = _U(0x5851F42D4C957F2D), _U(0x9E3779B97F4A7C15)
 
 
 def _slices(texts: list[bytes]):
@@ -85,119 +49,149 @@ def _slices(texts: list[bytes]):
         yield start, len(texts)
 
 
-def _encoded(column) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace") for t in column.to_pylist()]
+class _Chunk:
+    """Word n-grams of the texts of a chunk.
 
+    Each text stands behind ``order`` start words.  Of a text of n words, place 0 is the
+    start and places 1 to n its words; empty texts have no places.  The k-gram that ends
+    at a place is counted as a gram (places 1 to n) and as the context of the next word
+    (places 0 to n - 1).
+    """
 
-def _count(docs: DataFrame, ids: DataFrame, order: int) -> DataFrame:
-    """``chunk, hi, lo, t, b``: a chunk's n-grams in target and in all documents."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = _encoded(left["text"])
-        target = np.isin(left["doc_id"].fill_null(0).to_numpy(), right["doc_id"].to_numpy())
-        target &= left["doc_id"].is_valid().to_numpy()
-        add = lambda parts: pa.concat_tables(parts).group_by(["hi", "lo"]) \
-            .aggregate([("t", "sum"), ("b", "sum")]).rename_columns(["hi", "lo", "t", "b"])
-        parts = [pa.table({k: np.zeros(0, np.int64) for k in ("hi", "lo", "t", "b")})]
+    def __init__(self, texts: list[bytes], order: int):
+        found, sizes = [], []
         for start, end in _slices(texts):
-            hi, lo, ends = _grams(texts[start:end], order)
-            hit = np.repeat(target[start:end], np.diff(ends, prepend=0)).astype(np.int64)
-            parts.append(add([pa.table({"hi": hi, "lo": lo, "t": hit, "b": np.ones(len(lo), np.int64)})]))
-        out = add(parts)
-        chunk = left["chunk"][0].as_py() if left.num_rows else 0
-        return pa.table({"chunk": np.full(out.num_rows, chunk, np.int64),
-                         **{k: out[k] for k in ("hi", "lo", "t", "b")}})
+            hashes, firsts = word_hashes(texts[start:end])
+            found.append(hashes)
+            sizes.append(np.diff(firsts))
+        words = np.concatenate(found) if found else np.zeros(0, _U)
+        self.sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        full = np.flatnonzero(self.sizes)
+        n = self.sizes[full]
+        ends = np.cumsum(n + order)
+        line = np.full(int(ends[-1]) if len(n) else 0, _START, _U)
+        shift = np.repeat((np.arange(len(full)) + 1) * order, n)
+        line[np.arange(len(words)) + shift] = words
+        small = np.int32 if len(line) < 1 << 31 else np.int64
+        self.text = np.repeat(full.astype(small), n + 1)  # text of each place
+        first = ends - n - 1  # place 0 of each text
+        self.at = np.arange(len(self.text), dtype=small)
+        self.at += np.repeat((first - (np.cumsum(n + 1) - n - 1)).astype(small), n + 1)
+        self.gram = np.ones(len(self.text), bool)
+        self.context = np.ones(len(self.text), bool)
+        stops = np.cumsum(n + 1)
+        self.gram[stops - n - 1] = False
+        self.context[stops - 1] = False
+        self.line = line
+
+    def keys(self, k: int) -> np.ndarray:
+        """The k-gram that ends at each place, as a 64-bit hash."""
+        h = np.full(len(self.at), _U(k) * _STEP, _U)
+        for j in reversed(range(k)):
+            h = (h ^ self.line[self.at - j]) * _U(0xBF58476D1CE4E5B9)
+            h ^= h >> _U(29)
+        return h * _U(0x94D049BB133111EB)
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ends of the buckets' ranges in sorted keys."""
+    number = ((keys >> _U(32)) * _U(buckets)) >> _U(32)
+    return np.searchsorted(number, np.arange(buckets, dtype=_U), side="right")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Counts, most of them small: their number, a byte each (255: at least that), and the
+    places and values of the large ones."""
+    large = np.flatnonzero(x >= 255)
+    return (np.array([len(x)], np.uint64).tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes()
+            + large.astype(np.uint32).tobytes() + x[large].astype(np.uint64).tobytes())
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    n = int(np.frombuffer(b, np.uint64, 1)[0])
+    out = np.frombuffer(b, np.uint8, n, 8).astype(np.int64)
+    large = (len(b) - 8 - n) // 12
+    places = np.frombuffer(b, np.uint32, large, 8 + n)
+    out[places] = np.frombuffer(b[8 + n + 4 * large:], np.uint64).astype(np.int64)
+    return out
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as gaps of as many bytes as the largest needs, which the first byte says."""
+    gaps = np.diff(keys, prepend=_U(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked_keys(b: bytes) -> np.ndarray:
+    gaps = np.zeros(((len(b) - 1) // b[0], 8), np.uint8)
+    gaps[:, :b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=_U)
 
-    return docs.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(
-        run, "chunk long, hi long, lo long, t long, b long")
 
+def _encoded(column) -> list[bytes]:
+    return [t or b"" for t in column.to_pylist()]
 
-def losses(counts: DataFrame, order: int = SHORT, prior: float = PRIOR) -> DataFrame:
-    """``gram, loss_t, loss_b`` from ``gram, t, b`` (one row per n-gram).
 
-    Order k believes its own counts as far as they go and ``prior`` tokens' worth of
-    order k - 1; order 0 is uniform.  Background counts are scaled to the target's
-    total.
-    """
-    total = counts.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
-    scale = (total["t"] or 0) / (total["b"] or 1)
-    lower = None
-    for k in range(1, order + 1):
-        mask = (1 << (8 * k)) - 1
-        n = counts.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")) \
-                  .agg(F.sum("t").cast("double").alias("t"), (F.sum("b") * F.lit(scale)).alias("b"))
-        n = n.withColumn("before", F.shiftright("gram", 8))
-        same = Window.partitionBy("before")  # at most 256 rows
-        n = n.withColumn("ct", F.sum("t").over(same)).withColumn("cb", F.sum("b").over(same))
-        if lower is None:
-            n = n.withColumn("qt", F.lit(1 / 256)).withColumn("qb", F.lit(1 / 256))
-        else:
-            n = n.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask >> 8))).join(lower, "suffix")
-        lower = n.select(
-            F.col("gram").alias("suffix"),
-            ((F.col("t") + prior * F.col("qt")) / (F.col("ct") + prior)).alias("qt"),
-            ((F.col("b") + prior * F.col("qb")) / (F.col("cb") + prior)).alias("qb"))
-    return lower.select(F.col("suffix").alias("gram"), (-F.log("qt")).alias("loss_t"),
-                        (-F.log("qb")).alias("loss_b"))
-
-
-def _runs(keys: list[np.ndarray], order: int):
-    """Groups of rows with equal last k bytes, for k = SHORT + 1 .. order.
-
-    ``keys`` are the last eight bytes and those before, each with the newest byte in
-    the highest place.  Gives a function from k and a column to the column's group
-    sums, one per row.
-    """
-    rows = np.lexsort(keys[::-1])
-    near, far = (k[rows] for k in keys)
-    step = [near[1:] ^ near[:-1], far[1:] ^ far[:-1]]
-
-    def sums(k: int, column: np.ndarray) -> np.ndarray:
-        new = (step[0] >> np.uint64(8 * max(0, 8 - k))) != 0
-        if k > 8:
-            new |= (step[1] >> np.uint64(8 * (16 - k))) != 0
-        starts = np.flatnonzero(np.append(True, new))
-        out = np.empty(len(rows))
-        out[rows] = np.repeat(np.add.reduceat(column[rows], starts), np.diff(starts, append=len(rows)))
-        return out
-
-    return sums
-
-
-def long_losses(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
-    """``chunk, hi, lo, loss_t, loss_b`` of every row of ``counts(chunk, hi, lo, t, b)``
-    by the model of ``losses``, of any order up to 16."""
-    short = min(order, SHORT)
-    mask = (1 << (8 * short)) - 1
-    base = persist_shared(counts.groupBy(F.col("lo").bitwiseAND(F.lit(mask)).alias("gram"))
-                                .agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "short")
-    total = base.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
-    scale = (total["t"] or 0) / (total["b"] or 1)
-    buckets = max(1, -(-counts.count() // BUCKET_ROWS))
-    # the bytes that the n-grams of all longer orders and their contexts share
-    middle = lambda c: F.pmod(F.xxhash64(F.shiftrightunsigned(F.col(c), 8).bitwiseAND(F.lit(mask >> 8))),
-                              F.lit(buckets)).alias("bucket")
+#: Counts of an entry: as a gram and as a context, in target and in all documents.
+_COUNTS = ("t", "b", "tc", "bc")
+_BUCKET = ("distinct", "total_t", "total_b")
 
+
+def _count(docs: DataFrame, ids: DataFrame, order: int, buckets: int) -> DataFrame:
+    """``bucket, chunk, k, keys, t, b, tc, bc``: a chunk's n-grams of order k."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk, hi, lo, t, b = (left[c].to_numpy() for c in ("chunk", "hi", "lo", "t", "b"))
-        gram = right["gram"].to_numpy()
-        rows = np.argsort(gram)
-        at = rows[np.searchsorted(gram[rows], lo & mask)] if len(lo) else np.zeros(0, np.int64)
-        qt, qb = (np.exp(-right[c].to_numpy()[at]) for c in ("loss_t", "loss_b"))
-        if order > short and len(lo):
-            near, far = lo.view(np.uint64).byteswap(), hi.view(np.uint64).byteswap()
-            whole = _runs([near, far], order)
-            # contexts: the same without the last byte
-            before = _runs([near << np.uint64(8) | far >> np.uint64(56), far << np.uint64(8)], order)
-            for k in range(short + 1, order + 1):
-                qt = (whole(k, t) + prior * qt) / (before(k - 1, t) + prior)
-                qb = (whole(k, b) * scale + prior * qb) / (before(k - 1, b) * scale + prior)
-        return pa.table({"chunk": chunk, "hi": hi, "lo": lo, "loss_t": -np.log(qt).astype(np.float32),
-                         "loss_b": -np.log(qb).astype(np.float32)})
-
-    known = persist_shared(losses(base, short, prior), "losses")
-    return counts.select(middle("lo"), "chunk", "hi", "lo", "t", "b").groupBy("bucket").cogroup(
-        known.select(middle("gram"), "gram", "loss_t", "loss_b").groupBy("bucket")).applyInArrow(
-        run, "chunk long, hi long, lo long, loss_t float, loss_b float")
+        chunk = _Chunk(_encoded(left["text"]), order)
+        target = np.isin(left["doc_id"].fill_null(0).to_numpy(), right["doc_id"].to_numpy())
+        target &= left["doc_id"].is_valid().to_numpy()
+        hit = target[chunk.text]
+        rows = {c: [] for c in ("bucket", "chunk", "k", "keys", *_COUNTS)}
+        number = left["chunk"][0].as_py() if left.num_rows else 0
+        for k in range(1, order + 1):
+            own, inv = np.unique(chunk.keys(k), return_inverse=True)
+            # the longest n-grams are no contexts
+            some = (chunk.gram & hit, chunk.gram, chunk.context & hit, chunk.context)[:4 if k < order else 2]
+            counts = [np.bincount(inv[m], minlength=len(own)) for m in some]
+            start = 0
+            for bucket, end in enumerate(_cuts(own, buckets)):
+                if end > start:
+                    for c, x in zip(rows, (bucket, number, k, _packed_keys(own[start:end]),
+                                           *[_packed(x[start:end]) for x in counts], None, None)):
+                        rows[c].append(x)
+                start = end
+        kinds = [pa.int32(), pa.int64(), pa.int32()] + 5 * [pa.binary()]
+        return pa.table({c: pa.array(v, kind) for (c, v), kind in zip(rows.items(), kinds)})
+
+    return docs.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(
+        run, "bucket int, chunk long, k int, keys binary, t binary, b binary, tc binary, bc binary")
+
+
+def _answer(counts: DataFrame) -> DataFrame:
+    """``chunk, k, bucket, distinct, total_t, total_b, t, b, tc, bc``: the sums over all
+    chunks of each chunk's keys, in their order; ``distinct`` and the totals are the
+    number of grams in the bucket and their counts."""
+    def run(table: pa.Table) -> pa.Table:
+        keys = [_unpacked_keys(b) for b in table["keys"].to_pylist()]
+        own, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum([len(k) for k in keys])
+        out: dict = {"chunk": table["chunk"], "k": table["k"], "bucket": table["bucket"]}
+        sums = {}
+        for c in _COUNTS:
+            if table[c].null_count:
+                out[c] = pa.nulls(table.num_rows, pa.binary())
+                continue
+            flat = np.concatenate([_unpacked(b) for b in table[c].to_pylist()])
+            sums[c] = np.zeros(len(own), np.int64)
+            np.add.at(sums[c], inv, flat)
+            back = sums[c][inv]
+            out[c] = pa.array([_packed(back[e - len(k):e]) for k, e in zip(keys, ends)], pa.binary())
+        for c, n in zip(_BUCKET, ((sums["b"] > 0).sum(), sums["t"].sum(), sums["b"].sum())):
+            out[c] = pa.array([int(n)] * table.num_rows, pa.int64())
+        return pa.table({c: out[c] for c in ("chunk", "k", "bucket", *_BUCKET, *_COUNTS)})
+
+    return counts.groupBy("k", "bucket").applyInArrow(
+        run, "chunk long, k int, bucket int, distinct long, total_t long, total_b long, "
+             "t binary, b binary, tc binary, bc binary")
 
 
 def score(docs: DataFrame, target_ids: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
@@ -205,43 +199,57 @@ def score(docs: DataFrame, target_ids: DataFrame, order: int = ORDER, prior: flo
     ``docs(doc_id, text)``; the target is the documents whose id is in
     ``target_ids(doc_id)``, the background all documents.
 
-    Losses are means per token in nats.  Null and empty texts have 0 tokens and null
-    losses and score.  Without any target text both models are uniform and scores 0.
-    Repeated rows are counted and scored each; ids may repeat in ``target_ids``; other
-    columns are ignored.
+    Tokens are words cut at ASCII white space.  Order k believes its own counts as far
+    as they go and ``prior`` tokens' worth of order k - 1; order 0 is uniform over the
+    words of all documents.  N-grams are told apart by 64-bit hashes.  Losses are means
+    per token in nats.  Null and empty texts have 0 tokens and null losses and score.
+    Without any target text the target knows nothing but the vocabulary.  Repeated rows
+    are counted and scored each; ids may repeat in ``target_ids``; other columns are
+    ignored; an empty table gives no rows.
     """
-    if not 1 <= order <= 16:
-        raise ValueError(f"order {order} is not in 1 .. 16")
+    if order < 1:
+        raise ValueError(f"order {order} is not positive")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-chars // CHUNK_CHARS))
+    buckets = max(1, -(-chars // BUCKET_CHARS))
     chunk = lambda key: F.pmod(F.hash(key), F.lit(chunks)).cast("long").alias("chunk")
     # rows without doc_id go by their text
-    d = docs.select("doc_id", "text", chunk(F.coalesce("doc_id", F.xxhash64("text"))))
+    d = docs.select("doc_id", F.col("text").cast("binary").alias("text"),
+                    chunk(F.coalesce("doc_id", F.xxhash64("text"))))
     ids = target_ids.filter("doc_id IS NOT NULL").select("doc_id").distinct() \
                     .select("doc_id", chunk(F.col("doc_id")))
-    counts = persist_shared(_count(d, ids, order), "grams")
-    asked = long_losses(counts, order, prior)
+    answers = persist_shared(_answer(_count(d, ids, order, buckets)), "answers", compression="zstd")
+    ones = answers.filter("k = 1").groupBy("bucket").agg(*[F.max(c).alias(c) for c in _BUCKET])
+    vocabulary, in_target, words = (n or 0 for n in ones.agg(*[F.sum(c) for c in _BUCKET]).first())
+    scale = in_target / words if words else 0.0
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        seed, own, first = _index(right["hi"].to_numpy(), right["lo"].to_numpy())
-        loss = [right[c].to_numpy()[first].astype(np.float64) for c in ("loss_t", "loss_b")]
-        texts = _encoded(left["text"])
-        size = np.array([len(t) for t in texts], np.int64)
-        sums = np.zeros((2, len(texts)))
-        for start, end in _slices(texts):
-            hi, lo, ends = _grams(texts[start:end], order)
-            row = np.repeat(np.arange(end - start), np.diff(ends, prepend=0))
-            at = np.searchsorted(own, _mixed(hi, lo, seed))
-            for k in (0, 1):
-                sums[k, start:end] = np.bincount(row, loss[k][at], end - start) if len(lo) else 0
-        none = size == 0
-        mean = sums / np.maximum(1, size)
+        texts = _Chunk(_encoded(left["text"]), order)
+        gram, before = np.flatnonzero(texts.gram), np.flatnonzero(texts.context)
+        sums = {}
+        table = right.sort_by([("k", "ascending"), ("bucket", "ascending")]) if right.num_rows else right
+        for k in range(1, order + 1):
+            rows = table.filter(pa.array(table["k"].to_numpy() == k)) if table.num_rows else table
+            sums[k] = {c: np.concatenate([_unpacked(b) for b in rows[c].to_pylist()] or [np.zeros(0, np.int64)])
+                       for c in _COUNTS[:4 if k < order else 2]}
+        losses = []
+        for count, context, by, total in (("t", "tc", 1.0, in_target), ("b", "bc", scale, words * scale)):
+            q = np.full(len(gram), 1.0 / max(1, vocabulary))
+            seen = np.full(len(gram), float(total))
+            for k in range(1, order + 1):
+                inv = np.unique(texts.keys(k), return_inverse=True)[1]
+                q = (sums[k][count][inv[gram]] * by + prior * q) / (seen + prior)
+                if k < order:  # the places before the words are the contexts of the next order
+                    seen = sums[k][context][inv[before]] * by
+            losses.append(np.bincount(texts.text[gram], -np.log(q), len(texts.sizes)))
+        none = texts.sizes == 0
+        mean = [x / np.maximum(1, texts.sizes) for x in losses]
         return pa.table({
-            "doc_id": left["doc_id"], "n_tokens": pa.array(size),
+            "doc_id": left["doc_id"], "n_tokens": pa.array(texts.sizes),
             "target_loss": pa.array(mean[0], mask=none), "background_loss": pa.array(mean[1], mask=none),
             "score": pa.array(mean[0] - mean[1], mask=none)})
 
-    return d.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(
+    return d.groupBy("chunk").cogroup(answers.drop(*_BUCKET).groupBy("chunk")).applyInArrow(
         rate, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
