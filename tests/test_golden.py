@@ -486,6 +486,21 @@ def test_t2_token_forms(spark):
         assert r.r.cell_a == 1.0 or "cell_length_a" in (r.r.parse_error or ""), r.k
 
 
+def test_t2_is_one_pass_over_arrow_batches(spark):
+    df = spark.createDataFrame([("data_x\n" + CELL,), (None,)], "t string")
+    out = ps.with_canonical(ps.with_crystal_record(df, "t", "r"), "r", "t").select("r.cell_a", "r.z", "cif")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+    assert [(r.cell_a, r.z) for r in out.collect()] == [(1.0, None), (None, None)]
+
+
+def test_white_space_runs(spark):
+    from cribra.functions.text import WS_CHARS, normalize_ws, remove_ws
+    text = "".join(f"{chr(0x21 + i)}{c}{c}" for i, c in enumerate(WS_CHARS)) + "~\x7f\u200b\u00e9"
+    r = spark.createDataFrame([(text,)], "t string").select(normalize_ws("t").alias("n"), remove_ws("t").alias("x")).first()
+    assert r.n == " ".join(text.split()) and r.x == "".join(text.split())
+
+
 def test_canonical_text_reads_back(spark):
     values = ["Na Cl", "it's", "a 'b' \"c\" d", "two\nlines", "_tag", "loop_", "#x", "plain(2)", "data_1", "'"]
     rows = [(f"data_x\n_chemical_formula_structural\n;{v}\n;\n" + CELL + "_cell_formula_units_Z 4\n" + SITES
