@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cribra.functions.text import join_keys, strip_ws
 from cribra.functions.util import col_of
 from cribra.operators import select as sl
-from cribra.session import scan_splits, write_shared
+from cribra.session import write_shared
 from cribra.sources import documents
 
 # Open and close tags of the rendered hint block.
@@ -58,8 +58,7 @@ def read_index(spark: SparkSession, path: str, layout: str = "object",
     hints are the same in every run.  A value that is not an object fails the job.
     """
     if layout == "object":
-        with scan_splits(spark, split_bytes):
-            rows = documents.json_lists(spark, path)
+        rows = documents.json_lists(spark, path, split_bytes)
         rows = documents.in_document_order(rows, ["file"])
     elif layout == "lines":
         raw = spark.read.text(path).select(

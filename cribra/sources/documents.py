@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cribra.session import write_shared
+from cribra.session import scan_splits, write_shared
 
 _SPLIT = ["file", "split"]
 _STRING = r'"(?:[^"\\]|\\.)*+"'
@@ -49,6 +49,14 @@ def _so_far(c: Column | str, window) -> Column:
     return F.coalesce(F.sum(c).over(_rows_before(window)), F.lit(0))
 
 
+def _few_tasks(pieces: DataFrame) -> DataFrame:
+    """Small splits stay apart, but a task reads many of them one after the other: tasks, and
+    files of the table, then follow the bytes and the cores, not the splits."""
+    splits = pieces.rdd.getNumPartitions()
+    cores = pieces.sparkSession.sparkContext.defaultParallelism
+    return pieces.coalesce(max(4 * cores, splits // 256)) if splits > 4 * cores else pieces
+
+
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """``file, split, at, piece, size, turns, out, in_``: pieces with what they change,
     written once; ``size`` is the file's."""
@@ -56,6 +64,7 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"),
         F.col("value").alias("piece"))
+    pieces = _few_tasks(pieces)
     plain = pieces.select("*", F.regexp_replace("piece", r"\\.", "").alias("_p"))
     out, in_ = _outside(F.col("_p"), False), _outside(F.col("_p"), True)
     deeper = lambda x: (_count(x, "[{") - _count(x, "]}")).cast("long")
@@ -101,10 +110,12 @@ def _unquoted(name: Column) -> Column:
     return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")[0]
 
 
-def json_lists(spark: SparkSession, path: str) -> DataFrame:
+def json_lists(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
     """``file, level, key, pos, row_json``: the elements of an object ``level -> key ->
     [objects]`` per file.  Other shapes fail the read."""
-    placed = write_shared(_placed(piece_table(spark, path)), "placed")
+    with scan_splits(spark, split_bytes):  # of the text; the tables made of it have their own
+        pieces = piece_table(spark, path)
+    placed = write_shared(_placed(pieces), "placed")
     here, files = Window.partitionBy(*_SPLIT).orderBy("at"), Window.partitionBy("file").orderBy("split")
 
     # a unit ends where a brace leads back to depth three or less
