@@ -833,6 +833,39 @@ def test_failed_prompts_are_tried_again_on_request(spark, tmp_path):
     assert sorted((r.row_id, r.response) for r in out.collect()) == [(0, "A:a0"), (1, "B:fine0")]
 
 
+def test_small_splits_of_an_object_share_tasks(spark, tmp_path):
+    import json
+    from pathlib import Path
+    from cribra.operators.lookup import read_index
+    from cribra.session import shared_path
+    lists = {"level1": {f"k{i}": [{"v": f"{i}}}{j}"} for j in range(3)] for i in range(300)}}
+    path = tmp_path / "index.json"
+    path.write_text(json.dumps(lists), encoding="utf-8")
+    folder = Path(shared_path(spark, "x").removeprefix("file:")).parent
+    known = set(folder.glob("pieces-*"))
+    rows = read_index(spark, str(path), split_bytes=64).collect()
+    assert sorted((r.level, r.key, r.pos, r.row.toPython()["v"]) for r in rows) == sorted(
+        ("level1", k, j, x["v"]) for k, many in lists["level1"].items() for j, x in enumerate(many))
+    made, = set(folder.glob("pieces-*")) - known
+    assert len(list(made.glob("*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_text_files_in_the_shared_folder_of_a_cluster(spark, tmp_path, monkeypatch):
+    from cribra.session import checkpoint_dir, shared_path
+    from cribra.sources.io import read_text, text_files, write_text_files
+    checkpoint_dir(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "row_id long, name string, text string")
+    for path in (shared_path(spark, "texts"), "file:" + shared_path(spark, "texts").removeprefix("file:")):
+        write_text_files(text_files(df, "name", "text", path, suffix=".txt"), path)
+        assert sorted(r.text for r in read_text(spark, path).collect()) == ["x", "y"]
+    with pytest.raises(ValueError, match="not a shared path"):
+        write_text_files(text_files(df, "name", "text", str(tmp_path / "own")), str(tmp_path / "own"))
+    with pytest.raises(ValueError, match="not a shared path"):
+        out = shared_path(spark, "x") + "/../../../../../out"
+        write_text_files(text_files(df, "name", "text", out), out)
+
+
 def test_text_files_stand_only_after_the_commit(spark, tmp_path):
     from cribra.sources.io import TextFileWriter, text_files, write_text_files
     folder = tmp_path / "out"
