@@ -27,6 +27,9 @@ SEGMENTS, FANOUT = 16, 4
 ANCHORS, ROWS, TILE = 1024, 8192, 1024
 #: Sums of squares from here on would not fit a 64-bit score.
 TOO_LARGE = 2.0 ** 62
+#: Whole numbers below it have doubles of their own.  A tile is scored whole where one
+#: pair of so many is left.
+EXACT, DENSE = 2.0 ** 52, 16
 
 
 def _cuts(dim: int) -> np.ndarray:
@@ -70,23 +73,27 @@ def surviving(a: list, b: list, can: np.ndarray, wanted) -> tuple[np.ndarray, np
 
     ``wanted(anchors, low, high, alive)`` says which pairs may still be asked for.
     """
-    alive = can
+    i, j, alive = np.arange(can.shape[0]), np.arange(can.shape[1]), can
     for (ma, da), (mb, db) in zip(a, b):
-        i, j = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        if not len(i):
+        rows, cols = alive.any(axis=1), alive.any(axis=0)
+        if not rows.any():
             break
+        i, j, alive = i[rows], j[cols], alive[rows][:, cols]
         mid, spread = ma[i] @ mb[j].T, da[i] @ db[j].T
-        spread += 1e-9 * (np.abs(mid) + spread) + 1e-6  # rounding
-        at = np.ix_(i, j)
-        kept = np.zeros_like(alive)
-        kept[at] = alive[at] & wanted(i, mid - spread, mid + spread, alive[at])
-        alive = kept
-    return np.nonzero(alive)
+        spread *= 1 + 1e-9  # rounding
+        spread += 1e-9 * max(mid.max(), -mid.min()) + 1e-6
+        alive = alive & wanted(i, mid - spread, mid + spread, alive)
+    found = np.nonzero(alive)
+    return i[found[0]], j[found[1]]
 
 
-def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of ``x`` and ``y`` (integers)."""
-    return np.einsum("ij,ij->i", x, y)
+def _scores(a: _Side, i: np.ndarray, b: _Side, j: np.ndarray, t: slice) -> np.ndarray:
+    """Exact inner products of rows ``i`` of ``a`` and ``j`` of tile ``t`` of ``b``.  Where
+    bounds left much of the tile it is multiplied whole, in doubles that hold every sum."""
+    y = b.x[t]
+    if len(i) * DENSE >= len(a.x) * len(y) and a.norm * b.norm < EXACT:
+        return (a.x.astype(np.float64) @ y.astype(np.float64).T)[i, j].astype(np.int64)
+    return np.einsum("ij,ij->i", a.x[i], y[j])
 
 
 def _prepared(vectors: DataFrame, shift_every: int, labels: int) -> DataFrame:
@@ -128,6 +135,7 @@ class _Side:
         self.x = np.frombuffer(b"".join(pdf["v"]), np.int64).reshape(n, dim)
         mean, dev = (np.frombuffer(b"".join(pdf[c])).reshape(n, -1) for c in ("mean", "dev"))
         self.levels = coarser(mean, dev, dim)
+        self.norm = max((float(v @ v) for v in self.x.astype(np.float64)), default=0.0) ** 0.5
         self.row, self.vec_id, self.label = (pdf[c].to_numpy() for c in ("row", "vec_id", "label"))
 
     def tiles(self, rows: int):
@@ -186,8 +194,8 @@ def _positives(prepared: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
                     return high >= np.maximum(floor[i], _kth(np.where(alive, low, -np.inf), k))[:, None]
 
                 i, j = surviving(a.levels, [(m[t], d[t]) for m, d in b.levels], can, wanted)
+                scores = _scores(a, i, b, j, t)
                 j = j + t.start
-                scores = _scores(a.x[i], b.x[j])
                 best = _best(i, b.vec_id[j], scores, k)
                 out.append(pd.DataFrame({"row": a.row[i[best]], "positive_id": b.vec_id[j[best]],
                                          "positive_score": scores[best], "p": b.row[j[best]]}))
@@ -217,24 +225,24 @@ def _negatives(prepared: DataFrame, anchors: DataFrame, k: int, low: int, high:
             for r, p in enumerate(own["scores"]):
                 least[r, :len(p)] = [-(-low * int(s) // 100) for s in p]
                 most[r, :len(p)] = [high * int(s) // 100 for s in p]
-            floor = np.full(least.shape, -np.inf)
+            none = least > most
+            least[none], most[none] = np.inf, -np.inf
+            top = most.max(axis=1)
+            floor = np.full(least.shape, -np.inf)  # k-th best score so far
             for t in b.tiles(TILE):
                 can = a.label[:, None] != b.label[t][None, :]
 
+                # what any positive may still ask for: one test of a pair for all of them
+                reach = np.maximum(least, floor).min(axis=1)
+
                 def wanted(i, lo, hi, alive):
-                    ok = np.zeros(lo.shape, bool)
-                    for s in range(slots):
-                        bottom, top = least[i, s][:, None], most[i, s][:, None]
-                        sure = np.where(alive & (lo >= bottom) & (hi <= top), lo, -np.inf)
-                        reach = np.maximum(np.maximum(bottom[:, 0], floor[i, s]), _kth(sure, k))
-                        ok |= (hi >= reach[:, None]) & (lo <= top)
-                    return ok
+                    return (hi >= reach[i][:, None]) & (lo <= top[i][:, None])
 
                 i, j = surviving(a.levels, [(m[t], d[t]) for m, d in b.levels], can, wanted)
+                scores = _scores(a, i, b, j, t)
                 j = j + t.start
-                scores = _scores(a.x[i], b.x[j])
                 for s in range(slots):
-                    hit = np.flatnonzero((scores >= least[i, s]) & (scores <= most[i, s]))
+                    hit = np.flatnonzero((scores >= np.maximum(least, floor)[i, s]) & (scores <= most[i, s]))
                     best = hit[_best(i[hit], b.vec_id[j[hit]], scores[hit], k)]
                     out.append(pd.DataFrame({"row": a.row[i[best]], "nth": s + 1, "negative_id": b.vec_id[j[best]],
                                              "negative_score": scores[best], "n": b.row[j[best]]}))

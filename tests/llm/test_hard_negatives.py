@@ -75,3 +75,23 @@ def test_empty_table_and_too_few_rows(make):
     two = one + [(51, [1.0, 2.0], 1, "r", 1, "x"), (52, [0.5, 1.5], 2, "r", 1, "x")]
     got = hn.hard_negatives(make(two, SCHEMA)).collect()
     assert [(r.anchor_id, r.positive_id, r.negative_id) for r in got] == [(50, 51, 52)]
+
+
+def test_tiles_that_bounds_leave_whole_are_multiplied_whole(monkeypatch):
+    """Exact scores, pair by pair only where few are left or doubles would round."""
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    side = lambda x: hn._Side(pd.DataFrame({
+        "row": range(len(x)), "vec_id": range(len(x)), "label": 0, "v": [r.tobytes() for r in x],
+        **{c: [r.tobytes() for r in m] for c, m in zip(("mean", "dev"), hn.summaries(x.astype(float)))}}), x.shape[1])
+    pairs = []
+    real = np.einsum
+    monkeypatch.setattr(hn.np, "einsum", lambda how, x, y: pairs.append(len(x)) or real(how, x, y))
+    for top, few in ((900, False), (900, True), (2 ** 28, False)):
+        a, b = (side(rng.integers(-top, top, (n, 64))) for n in (40, 90))
+        t = slice(30, 90)
+        i, j = (v.ravel() for v in np.indices((40, 60)))
+        if few:
+            i, j = i[::40], j[::40]
+        assert (hn._scores(a, i, b, j, t) == (a.x.astype(object) @ b.x[t].astype(object).T)[i, j]).all()
+    assert pairs == [60, 2400]
