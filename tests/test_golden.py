@@ -886,3 +886,47 @@ def test_text_files_stand_only_after_the_commit(spark, tmp_path):
     w.abort([message])
     assert {p.name for p in folder.iterdir()} == set(got)
     assert "hashpartitioning(path" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+# ---------------------------------------------------------------- work once per request, per text
+
+def _python_calls(df):
+    """Functions that a plan runs over Arrow batches."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line.strip(" :+-") for line in plan.splitlines() if "ArrowEvalPython" in line]
+
+
+def test_scaffold_request_formula_is_parsed_before_the_join(spark):
+    from cribra.plans import jobs
+    req = spark.createDataFrame([(1, "NaCl2", 5)], "row_id long, pretty_formula string, space_group int")
+    resp = spark.createDataFrame([(1, 0, "x")], "row_id long, seq long, response string")
+    out = jobs.scaffold_candidates(req, resp, 2)
+    assert not set(jobs.REQUEST_COUNTS) & set(out.columns)
+    calls = _python_calls(out)
+    assert sum("_counts" in c for c in calls) == 1 and sum("maps" in c for c in calls) == 1, calls
+
+
+def test_formulas_and_fields_as_the_column_functions_read_them(spark):
+    from cribra.functions import formula as fm
+    from cribra.operators import parse as ps
+    texts = {"H2O": {"H": 2, "O": 1}, " Na Cl ": {"Na": 1, "Cl": 1}, "Ca(OH)2": {"Ca": 1, "O": 2, "H": 2},
+             "Li0.5CoO2": {"Li": 5, "Co": 10, "O": 20}, "CuSO4*5H2O": {"Cu": 1, "S": 1, "O": 9, "H": 10},
+             "H9223372036854775807": {"H": 2 ** 63 - 1}, "H9223372036854775807H": None, "H01": None, "": None,
+             "H0." + "0" * 30 + "1C": None, "(H4)4611686018427387904": None, "(2H)": None, "<H>": None, "*H": None}
+    got = col_values(spark, [*texts, None], fm.formula_counts)
+    assert [g and {p["element"]: p["n"] for p in g} for g in got] == [*texts.values(), None]
+    got = col_values(spark, ["b=1\r\na = x=y \rb=2\n=3\nno", "", None], ps.kv_map)
+    assert got == [{"a": "x=y", "b": "2"}, {}, {}]
+
+
+def test_response_text_is_made_once(spark):
+    """No filter in front of the exchange repeats the expression that makes the text."""
+    from cribra.plans import jobs
+    resp = spark.range(4).selectExpr("id % 2 AS row_id", "id AS seq", "concat('text ', id) AS response")
+    out = jobs.prepare_responses(resp, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(text ") == 1, plan
+    blank = spark.createDataFrame([(1, 0, " \t"), (1, 1, None), (1, 2, "a"), (1, 3, ""), (1, 4, " a "), (1, 5, "b")],
+                                  "row_id long, seq long, response string")
+    got = [(r["seq"], r["rank"], r["response"]) for r in jobs.prepare_responses(blank, 2).orderBy("seq").collect()]
+    assert got == [(2, 0, "a"), (5, 1, "b")]
