@@ -914,3 +914,25 @@ def test_response_text_is_made_once(spark):
                                   "row_id long, seq long, response string")
     got = [(r["seq"], r["rank"], r["response"]) for r in jobs.prepare_responses(blank, 2).orderBy("seq").collect()]
     assert got == [(2, 0, "a"), (5, 1, "b")]
+
+
+def test_responses_that_lie_by_request_move_no_more(spark):
+    """Texts made from rows that a window dealt out by request are not exchanged again."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("row_id").orderBy("id")
+    resp = spark.range(40).selectExpr("id % 4 AS row_id", "id").withColumn("seq", F.row_number().over(w)) \
+        .selectExpr("row_id", "seq", "concat('text  ', seq % 3) AS response")
+    out = jobs.prepare_responses(resp, None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION" not in plan, plan
+    assert sorted((r.row_id, r["rank"], r.seq) for r in out.collect()) == [(i, j, j + 1) for i in range(4) for j in range(3)]
+
+
+def test_best_and_all_files_are_compressed(spark, tmp_path):
+    from cribra.sources.io import write_json
+    text = "data_x\n" + CELL * 20
+    df = spark.createDataFrame([(i, text) for i in range(200)], "row_id long, cif string").coalesce(1)
+    write_json(df, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("part-*"))
+    assert files and sum(f.stat().st_size for f in files) < 200 * len(text) / 10
+    assert spark.read.json(str(tmp_path / "out"), schema=df.schema).distinct().count() == 200
