@@ -916,6 +916,57 @@ def test_response_text_is_made_once(spark):
     assert got == [(2, 0, "a"), (5, 1, "b")]
 
 
+# ---------------------------------------------------------------- batches of crystal texts
+
+def test_batch_steps_read_as_the_columns_do(spark):
+    """T3 and T1 over Arrow batches give what the Column functions give."""
+    values = ["1", "90.0", "2.0000005", "3.25(2)", "'4'", "-0.0000004", "123456789.1234565", "1e999", "bad", "0"]
+    forms = ["NaCl", "'Na Cl'", "\n;two\nlines\n;", "loop_x", "unknown", "(a)", "\"it's\"", "xé"]
+    texts = []
+    for i in range(240):
+        v = [values[(i * 7 + k * (i % 3)) % len(values)] if i % 4 == 3 else values[(i + k) % 3] for k in range(6)]
+        cell = "".join(f"_cell_{name} {x}\n" for name, x in zip(
+            ("length_a", "length_b", "length_c", "angle_alpha", "angle_beta", "angle_gamma"), v))
+        sites = "".join(f"s{j} {('Na', 'Cl', chr(39) + 'O 1' + chr(39))[(i + j) % 3]} 0.{j} -0.0000001 {values[(i + j) % 3]}\n"
+                        for j in range(i % 5))
+        texts.append(f"data_{'x' * (i % 2)}\n_chemical_formula_structural {forms[i % len(forms)]}\n{cell}"
+                     f"_cell_formula_units_Z {('1', '2', '004', '0')[i % 7 % 4]}\n{SITES}{sites}" + "1 2\n" * (i % 11 == 0))
+    texts += ["", " \n　", "data_", "#", "loop_ data_a data_b _cell_length_a", "_atom_site_label", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(3)
+    pick = ("i", "r.parse_error", "r.sites", "cif", "canonicalized", "canonicalize_error", "counts")
+    one, two = [sorted(map(repr, ps.with_canonical(ps.with_crystal_record(df, "t", "r", canonical=c), "r", "t")
+                           .select(*pick).collect())) for c in (True, False)]
+    assert one == two
+    assert sum("canonicalized=True" in x for x in one) > 40
+    texts = ["b=1\r\na = x=y \rb=2\n=3\nno", "", None, "　k\x85=\tv ", "a=\nA=1\na=2"]
+    assert col_values(spark, texts, ps.kv_map_batches) == col_values(spark, texts, ps.kv_map)
+
+
+def test_batch_steps_take_any_number_of_texts():
+    import pyarrow as pa
+    from cribra.operators.crystal import canonical_records, records
+    whole = ["data_a\n" + CELL + "_cell_formula_units_Z 4\n" + SITES + "a Na 0 0 0\n", None, "", "'", "x", "data_ '"]
+    want = [r for t in whole for r in canonical_records(pa.array([t], pa.string())).to_pylist()]
+    assert canonical_records(pa.array(whole)).to_pylist() == want and want[0]["counts"] == [{"element": "Na", "n": 1}]
+    assert canonical_records(pa.array(["cut", *whole])[1:]).to_pylist() == want
+    assert len(records(pa.array([], pa.string()))) == 0 and records(pa.array(whole)).to_pylist()[0]["z"] == 4
+
+
+def test_numbers_at_six_decimals_round_as_the_formatter_does(spark):
+    import numpy as np
+    from cribra.operators.crystal import _six
+    values = [5e-7, -5e-7, 1.5e-6, 1.0000005, -0.0, 2.5e-7, 1e8, 123456789.1234565, 33333333.3333335, 1e22, 2.675]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").orderBy("i")
+    want = [r.s for r in df.select(F.format_string("%.6f", "v").alias("s")).collect()]
+    assert _six(np.array(values)).to_pylist() == want
+    rec = F.struct(F.lit("x").alias("name"), F.lit("x").alias("formula_structural"), F.lit("x").alias("formula_sum"),
+                   *[F.col("v").alias(k) for k in ("cell_a", "cell_b", "cell_c", "alpha", "beta", "gamma")],
+                   F.lit(1).alias("z"), F.array(F.struct(F.lit("Na").alias("element"), *[F.col("v").alias(k) for k in "xyz"]))
+                   .alias("sites"), F.lit(None).cast("string").alias("parse_error"))
+    got = df.select(jobs.canonical_record(rec).alias("r")).collect()
+    assert [repr(r.r.cell_a) for r in got] == [repr(float(x)) for x in want]
+
+
 def test_responses_that_lie_by_request_move_no_more(spark):
     """Texts made from rows that a window dealt out by request are not exchanged again."""
     from pyspark.sql import Window
